@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import mixing, shards
+from paperloom.llm import bpe, mixing, shards
 from paperloom.tables import table
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op5_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.lpt_shards(table(spark, sf_dir, "documents"))
 
@@ -21,6 +26,7 @@ def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op5_lpt_shards": op5_lpt_shards,
     "op8_systematic_mix": op8_systematic_mix,
 }

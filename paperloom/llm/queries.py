@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, mixing, shards
+from paperloom.llm import bpe, jaccard_join, mixing, shards
 from paperloom.tables import table
 
 
@@ -25,10 +25,15 @@ def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.systematic_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op5_lpt_shards": op5_lpt_shards,
     "op8_systematic_mix": op8_systematic_mix,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_systematic_mix": mixing.OP8_SQL}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, jaccard_join, mixing, shards
+from paperloom.llm import bpe, jaccard_join, mixing, recompression, shards
 from paperloom.tables import table
 
 
@@ -29,11 +29,17 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = recompression.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op5_lpt_shards": op5_lpt_shards,
     "op8_systematic_mix": op8_systematic_mix,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_recompression": op10_recompression,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_systematic_mix": mixing.OP8_SQL}

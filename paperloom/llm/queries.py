@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, jaccard_join, mixing, recompression, shards
+from paperloom.llm import bpe, jaccard_join, mixing, recompression, shards, suffix_dedup
 from paperloom.tables import table
 
 
@@ -16,6 +16,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.lpt_shards(table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_suffix_array": op2_suffix_array,
     "op5_lpt_shards": op5_lpt_shards,
     "op8_systematic_mix": op8_systematic_mix,
     "op9_jaccard_join": op9_jaccard_join,

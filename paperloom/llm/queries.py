@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, jaccard_join, mixing, recompression, shards, suffix_dedup
+from paperloom.llm import bpe, jaccard_join, mixing, quality, recompression, shards, suffix_dedup
 from paperloom.tables import table
 
 
@@ -25,6 +25,10 @@ def op5_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.lpt_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_features(table(spark, sf_dir, "documents"))
+
+
 def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.systematic_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_suffix_array": op2_suffix_array,
     "op5_lpt_shards": op5_lpt_shards,
+    "op7_compression_bands": op7_compression_bands,
     "op8_systematic_mix": op8_systematic_mix,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_recompression": op10_recompression,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, jaccard_join, mixing, quality, recompression, shards, suffix_dedup
+from paperloom.llm import bpe, embedding_join, jaccard_join, mixing, quality, recompression, shards, suffix_dedup
 from paperloom.tables import table
 
 
@@ -21,6 +21,10 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.metric_join(table(spark, sf_dir, "embeddings"))
+
+
 def op5_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.lpt_shards(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_suffix_array": op2_suffix_array,
+    "op3_metric_join": op3_metric_join,
     "op5_lpt_shards": op5_lpt_shards,
     "op7_compression_bands": op7_compression_bands,
     "op8_systematic_mix": op8_systematic_mix,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, embedding_join, jaccard_join, mixing, quality, recompression, shards, suffix_dedup
+from paperloom.llm import bpe, embedding_join, jaccard_join, language_id, mixing, quality, recompression, shards, suffix_dedup, toxicity
 from paperloom.tables import table
 
 
@@ -25,10 +25,19 @@ def op3_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.metric_join(table(spark, sf_dir, "embeddings"))
 
 
+def op4_gated_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.lpt_shards(table(spark, sf_dir, "documents"))
 
 
+def op6_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_features(table(spark, sf_dir, "documents"))
 
@@ -51,7 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_suffix_array": op2_suffix_array,
     "op3_metric_join": op3_metric_join,
+    "op4_gated_language": op4_gated_language,
     "op5_lpt_shards": op5_lpt_shards,
+    "op6_kneser_ney_toxicity": op6_kneser_ney_toxicity,
     "op7_compression_bands": op7_compression_bands,
     "op8_systematic_mix": op8_systematic_mix,
     "op9_jaccard_join": op9_jaccard_join,

@@ -1,6 +1,6 @@
 """All registered queries; importing this module registers them."""
 
-from paperloom.plans import text_queries  # noqa: F401
+from paperloom.plans import graph_queries, text_queries  # noqa: F401
 from paperloom.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -35,35 +35,43 @@ def needed(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def levels(n: int, percent: int) -> list[tuple[int, int]]:
-    """(level, number of parts) in which a set of n shingles takes part.
+def levels(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """(level, number of parts, empty parts to overlook) in which a set of n shingles takes part.
 
     Level l holds sizes from GROWTH ** l on. Of a similar pair, the smaller set also enters the next
     level if it can reach it, so both meet in the larger one's level. Within a level two similar
-    sets differ in at most a + b - 2 x needed(a, b) shingles, most at its largest sizes.
+    sets differ in at most a + b - 2 x needed(a, b) shingles, most at its largest sizes. There are a
+    few parts more, so that two sets with that many empty parts still agree on a full one.
     """
     own = int(math.log(n) / math.log(GROWTH) + 1e-9)
     out = []
     for level in (own, own + 1):
         low, high = math.ceil(GROWTH**level - 1e-9), math.ceil(GROWTH ** (level + 1) - 1e-9)
-        if level == own or n * 100 >= percent * low:
-            out.append((level, (2 * high * (100 - percent)) // (100 + percent) + 1))
+        differences = (2 * high * (100 - percent)) // (100 + percent)
+        if differences and (level == own or n * 100 >= percent * low):  # sets without differences are equal, and one class
+            out.append((level, differences + 1 + spare(differences), spare(differences)))
     return out
 
 
+def spare(differences: int) -> int:
+    return 3 + differences // 100
+
+
 def part_hashes(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """One hash for each part of each level; also of empty parts, on which two sets may agree."""
+    """One hash for each part of each level; empty parts count only where a set has more than the spare ones."""
     if not len(shingles):
         return np.zeros(0, dtype=np.int64)
     spread, found = mix(shingles, 3), []
-    for level, parts in levels(len(shingles), percent):
+    for level, parts, overlook in levels(len(shingles), percent):
         part = ((spread >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         order = np.argsort(part, kind="stable")
         begin = np.searchsorted(part[order], np.arange(parts, dtype=np.uint64))
         sums = np.concatenate([[np.uint64(0)], np.cumsum(spread[order], dtype=np.uint64)])
         total = sums[np.append(begin[1:], len(order))] - sums[begin]
-        found.append(mix(mix(total, level * 1_000_003 + 5) + np.arange(parts, dtype=np.uint64), 9))
-    return np.concatenate(found).view(np.int64)
+        hashes = mix(mix(total, level * 1_000_003 + 5) + np.arange(parts, dtype=np.uint64), 9)
+        full = np.bincount(part.astype(np.int64), minlength=parts) > 0
+        found.append(hashes[full] if parts - full.sum() <= overlook else hashes)
+    return np.concatenate([np.zeros(0, dtype=np.uint64), *found]).view(np.int64)
 
 
 def set_keys(shingles: np.ndarray) -> tuple[int, int]:

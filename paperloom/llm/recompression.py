@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.repeats import RUN_SCHEMA, covered, doc_key, equal_windows, meet, pack, tag_of, unpack, windows_to_runs, with_stretches
+from paperloom.llm.repeats import RUN_SCHEMA, covered, doc_key, equal_windows, hot_names, meet, pack, tag_of, unpack, windows_to_runs, with_stretches
 from paperloom.llm.words import M2, Prefix, Words, in_groups, mix
 from paperloom.tables import stable
 
@@ -144,7 +144,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, keep: str = "none", rounds:
     text; equal rows are occurrences of their own, except under 'first', where they are one document.
     Other columns are not read. An empty table gives no rows.
     """
-    flagged = stable(meet(run_table(docs, width, rounds), keep))
+    hot = hot_names(docs, lambda some: run_table(some, width, rounds))
+    flagged = stable(meet(run_table(docs, width, rounds), keep, hot))
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 
     def hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ where one name has several stretches do the windows themselves have to be compar
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,15 +56,29 @@ def windows_to_runs(places: np.ndarray, valid: np.ndarray, text_of: np.ndarray)
     return start, np.minimum(MOST_IN_RUN, np.repeat(at[begin] + count, pieces) - start)
 
 
-def meet(runs: DataFrame, keep: str, crowd: int = 2000, most_held: int = 100_000) -> DataFrame:
+def hot_names(docs: DataFrame, runs_of: Callable[[DataFrame], DataFrame], rows: int = 3000, share: float = 0.002) -> list[int]:
+    """Names that hold more than ``share`` of the runs (at 20 a document) of about ``rows`` documents drawn by hash.
+
+    A hint for spreading work, of at most 1 / ``share`` names; results don't depend on it.
+    """
+    part = min(1.0, rows / max(1, docs.count()))
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30)))
+    counts = runs_of(drawn).groupBy("name").count()
+    counts = counts.where(F.col("count") > 20).orderBy(F.desc("count"), "name").limit(int(1 / share)).collect()
+    return [r["name"] for r in counts if r["count"] > share * 20 * rows]
+
+
+def meet(runs: DataFrame, keep: str, hot: list[int], crowd: int = 2000, most_held: int = 100_000, salts: int = 64) -> DataFrame:
     """Judge runs by name: (name, doc, at, gone, check, crowded).
 
     gone: every window of the run is to be removed. check: its windows have to be compared with
     those of other runs of the name. crowded: the name has more than ``crowd`` runs to compare.
     keep 'none' removes every occurrence, 'first' all but that of the least (doc, position).
     Rows of a name are sorted and read as a stream; if a name has more than ``most_held`` rows,
-    it is judged in pieces, with more to check and the same result.
+    it is judged in pieces, with more to check and the same result. The names in ``hot`` are dealt
+    to ``salts`` tasks by document, each of which judges a piece.
     """
+    known = np.array(sorted(hot), dtype=np.int64)
 
     def judge(name, seg, doc, at, whole) -> pa.RecordBatch:  # noqa: ANN001
         if keep == "first":  # rows that agree in doc_id and text are one document
@@ -74,11 +88,11 @@ def meet(runs: DataFrame, keep: str, crowd: int = 2000, most_held: int = 100_000
         new_seg = new_name | np.append(True, seg[1:] != seg[:-1])
         name_at, seg_at = np.cumsum(new_name) - 1, np.cumsum(new_seg) - 1
         segs_of_name = np.bincount(name_at[new_seg])
-        several = np.ones(len(segs_of_name), dtype=bool) if not whole else segs_of_name > 1
+        several = (segs_of_name > 1) | (not whole) | np.isin(name[new_name], known)
         repeated = np.bincount(seg_at)[seg_at] > 1
         gone = repeated & ~new_seg if keep == "first" else repeated
         check = new_seg & several[name_at]
-        crowded = (segs_of_name > crowd)[name_at] if whole else np.ones(len(name), dtype=bool)
+        crowded = ((segs_of_name > crowd) | (not whole) | np.isin(name[new_name], known))[name_at]
         out = gone | check
         return pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (name, doc, at, gone, check, crowded)], names=["name", "doc", "at", "gone", "check", "crowded"])
 
@@ -112,7 +126,9 @@ def meet(runs: DataFrame, keep: str, crowd: int = 2000, most_held: int = 100_000
         if held is not None and len(held[0]):
             yield judge(*held, whole=not pieces)
 
-    return runs.repartition("name").sortWithinPartitions("name", "seg", "doc", "at").mapInArrow(run, "name bigint, doc bigint, at bigint, gone boolean, check boolean, crowded boolean")
+    salt = F.when(F.col("name").isin(hot), F.pmod(F.xxhash64("doc", "at"), F.lit(salts))).otherwise(0) if hot else F.lit(0)
+    dealt = runs.repartition("name", salt) if hot else runs.repartition("name")
+    return dealt.sortWithinPartitions("name", "seg", "doc", "at").mapInArrow(run, "name bigint, doc bigint, at bigint, gone boolean, check boolean, crowded boolean")
 
 
 def equal_windows(windows: DataFrame, keep: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.repeats import RUN_SCHEMA, covered, doc_key, equal_windows, meet, pack, tag_of, unpack, windows_to_runs, with_stretches
+from paperloom.llm.repeats import RUN_SCHEMA, covered, doc_key, equal_windows, hot_names, meet, pack, tag_of, unpack, windows_to_runs, with_stretches
 from paperloom.llm.words import BYTE_VALUES, Prefix, in_groups, mix
 from paperloom.tables import stable
 
@@ -157,8 +157,8 @@ def repeated_windows(stretches: list[bytes], doc: np.ndarray, at: np.ndarray, le
     return doc[owner], pack(tag[owner], low[owner] + inner[gone], np.ones(len(owner), dtype=np.int64))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "none", core: int = 200, block_bytes: int = 2_000_000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary) for every row.
+def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "none", core: int = 200, block_bytes: int = 2_000_000, carry: tuple[str, ...] = (), crowd: int = 2000) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary) and the columns ``carry`` for every row.
 
     A UTF-8 byte goes if a string of ``length`` bytes (a multiple of eight) that covers it also starts
     anywhere else, in the same document too; keep 'first' leaves the occurrence of the least
@@ -167,11 +167,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "none", core:
 
     Null texts count as empty. Rows of one doc_id and different texts are told apart by the text;
     equal rows are occurrences of their own, except under 'first', where they are one document.
-    Other columns are not read. An empty table gives no rows. A name with more than 2,000 distinct
+    Other columns are not read. An empty table gives no rows. A name with more than ``crowd`` distinct
     stretches (a passage in thousands of documents, at its edges) would be a block without bound:
     its windows are compared by 128-bit hashes in a sort over all tasks instead.
     """
-    flagged = stable(meet(run_table(docs, length, core), keep))
+    hot = hot_names(docs, lambda some: run_table(some, length, core))
+    flagged = stable(meet(run_table(docs, length, core), keep, hot, crowd))
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     check = flagged.where("check")
     n_check = check.where("NOT crowded").count()
@@ -221,6 +222,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "none", core:
                 spans.append(int(np.count_nonzero(np.diff(out, prepend=False) & out)))
                 kept.append(np.frombuffer(text, dtype=np.uint8)[~out].tobytes())
             counts = [pa.array(x, pa.int64()) for x in (size, removed, spans)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            own = [batch.column(c) for c in carry]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(kept, pa.binary()), *own], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carry])
 
-    return with_stretches(texts, gone, ["at"], "left").select("doc_id", "text", "ats").mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    whole = docs.select("doc_id", F.col("text").cast("binary").alias("text"), *carry)
+    schema = ", ".join(["doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
+    return with_stretches(whole, gone, ["at"], "left").select("doc_id", "text", "ats", *carry).mapInArrow(cut, schema)

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from paperloom.llm.words import in_groups
+
 LETTER, NUMBER, OTHER, QUOTE1, QUOTE2, SPACE, BLANK, LAST_SPACE, LAST_BLANK, END, PAD = range(11)
 START, JOIN, IN_LETTERS, IN_NUMBERS, IN_OTHER, ONE_MORE, TWO_MORE, QUOTED, IN_BLANKS = range(9)
 # Code points with the White_Space property.
@@ -287,25 +289,31 @@ def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
     return tokens.select(*rest, "ids").mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
     """Encode every text and decode its ids: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    The same tokenizer as ``encode`` and ``decode``, without the ids leaving the task. A null or
-    empty text has no tokens and the digests of the empty string; each row gives a row.
+    The same tokenizer as ``encode`` and ``decode`` in one task; the ids themselves leave it (as the
+    column ``ids``) only if asked for. A null or empty text has no tokens and the digests of the empty string; each row gives a row.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(_read(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(ranks.value)
         for batch in batches:
-            count, ids_hex, text_hex = [], [], []
-            for ids in t.encode_all(batch.column("text").to_pylist()):
-                count.append(len(ids))
-                ids_hex.append(hashlib.sha256(",".join(map(t.decimal.__getitem__, ids)).encode()).hexdigest())
-                text_hex.append(hashlib.sha256(t.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+            texts = batch.column("text").to_pylist()
+            for at in in_groups(texts):
+                count, ids_hex, text_hex, every = [], [], [], []
+                for ids in t.encode_all(texts[at]):
+                    count.append(len(ids))
+                    ids_hex.append(hashlib.sha256(",".join(map(t.decimal.__getitem__, ids)).encode()).hexdigest())
+                    text_hex.append(hashlib.sha256(t.decode(ids)).hexdigest())
+                    if with_ids:
+                        every.append(ids)
+                columns = [batch.column("doc_id").slice(at.start, len(count)), pa.array(count, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
+                columns += [pa.array(every, pa.list_(pa.int32()))] * with_ids
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def _read(path: str) -> bytes:

@@ -171,17 +171,21 @@ class InvertedLists:
         n_long = min(least - 1, int(least / (mu * math.log2(len(lists[-1]) + 1) + 1)))
         short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
         if len(short[-1]) > 64:  # many documents in every list: the merge as a count
-            docs, counts = np.unique(np.concatenate(short), return_counts=True)
-            merged = zip(docs.tolist(), counts.tolist())
+            merged = np.bincount(np.concatenate(short), minlength=len(self.sizes))
+            docs = np.flatnonzero(merged >= least - n_long)
+            counts = merged[docs]
         else:
             merged = ((d, sum(1 for _ in run)) for d, run in groupby(heapq.merge(*(s.tolist() for s in short))))
-        found = [(d, c) for d, c in merged if c >= least - n_long]
-        if not found:
+            found = [(d, c) for d, c in merged if c >= least - n_long]
+            docs, counts = np.array([d for d, _ in found], dtype=np.int64), np.array([c for _, c in found], dtype=np.int64)
+        if not len(docs):
             return []
-        docs, counts = (np.array(x) for x in zip(*found))
-        for probe in long:
-            at = np.searchsorted(probe, docs)
-            counts += probe[np.minimum(at, len(probe) - 1)] == docs
+        if long and len(docs) * n_long > sum(map(len, long)):  # more probes than entries
+            counts = counts + np.bincount(np.concatenate(long), minlength=len(self.sizes))[docs]
+        else:
+            for probe in long:
+                at = np.searchsorted(probe, docs)
+                counts += probe[np.minimum(at, len(probe) - 1)] == docs
         sizes = self.sizes[docs]
         return docs[counts * (100 + percent) >= percent * (n + sizes)].tolist()
 

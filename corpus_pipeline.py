@@ -1,14 +1,59 @@
-"""The corpus pipeline: stages over ``documents``, each on what the one before it kept."""
+"""The corpus pipeline: five stages over ``documents``, each on what the one before it kept.
+
+1. language: documents without a letter, or whose language the network can't tell, go.
+2. near_duplicates: of documents linked by 3-word shingles at Jaccard 0.9, the smallest doc_id stays.
+3. substrings: later copies of strings of 400 bytes are cut out, the first occurrence stays.
+4. mix: sources are brought to their target weights, a row for each copy taken.
+5. tokens: byte-level BPE ids of every text, decoded again to prove them.
+
+Null texts end in the first stage. A text that the third stage empties stays, with no text.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.llm import bpe, jaccard_join, language_id, mixing, suffix_dedup
+from paperloom.tables import landed, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+LEAST_SCORE = 0.35  # four languages: a guess has 0.25
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    told = language_id.identify(docs)
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard_join.jaccard_components(docs)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(docs, keep="first", carry=("lang", "source"))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))  # a cut within a character leaves replacement characters
+    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.emit_copies(mixing.systematic_mix(docs), COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), with_ids=True)
 
-from paperloom.tables import table
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("substrings", substrings), ("mix", mix), ("tokens", tokens)]
+ORACLE_SQL = None  # the first stage is a trained network
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    """The rows of the last stage; each stage before it is written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = landed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -90,7 +90,7 @@ class Network:
         scores /= scores.sum(axis=-1, keepdims=True)
         return scores
 
-    def train(self, sequences: np.ndarray, target: np.ndarray, passes: int = 400, batch: int = 192, rate: float = 0.02, seed: int = 2) -> None:
+    def train(self, sequences: np.ndarray, target: np.ndarray, passes: int = 160, batch: int = 256, rate: float = 0.03, seed: int = 2) -> None:
         """Adam on the cross entropy of every position that holds a byte. ``sequences``: rows of STEPS symbols."""
         rng, h = np.random.default_rng(seed), self.ahead.h
         groups = [self.ahead.weights, self.behind.weights, self.out]
@@ -146,7 +146,7 @@ def in_fold(doc_id: Column, folds: int, held: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == held, F.lit(False))
 
 
-def train_network(docs: DataFrame, per_language: int = 700, span: int = 2 * STEPS, passes: int = 400) -> Network | None:
+def train_network(docs: DataFrame, per_language: int = 700, span: int = 2 * STEPS, passes: int = 160) -> Network | None:
     """Fit on at most about ``per_language`` rows of each language outside the held-out fold.
 
     Of each sampled row, a stretch of ``span`` characters at a place drawn by hash; rows are drawn by

@@ -154,7 +154,7 @@ def connectivity(nodes: DataFrame, edges: DataFrame, least: float = 2.0) -> Data
 
 def density_gate(works: DataFrame, degree: DataFrame, least: float = 0.2) -> DataFrame:
     """Works with enough links for their citations: degree / ln(cites + 2) and a least degree by citations."""
-    floor = F.when(F.col("cited_by_count") >= 1000, 5).when(F.col("cited_by_count") >= 100, 4).otherwise(3)
+    floor = F.when(F.col("cited_by_count") > 50_000, 5).when(F.col("cited_by_count") > 10_000, 4).otherwise(3)
     both = works.join(degree.select("work_id", "degree"), "work_id")
     ratio = F.col("degree") / F.log1p(F.col("cited_by_count") + F.lit(1.0))
     return both.withColumn("density", ratio).where((ratio >= least) & (F.col("degree") >= floor))
@@ -179,42 +179,63 @@ def assign_labels(works: DataFrame, labels: DataFrame, least_words: int = 5) ->
     return works.select("work_id").join(best.select("work_id", "label"), "work_id", "left").select("work_id", F.coalesce("label", F.lit("Other")).alias("label"))
 
 
-def greedy_select(candidates: DataFrame, edges: DataFrame, target: int, backbone: float = 0.6) -> DataFrame:
-    """(map_id, work_id, pick): ``target`` works a map, by score first, then by score and links to what was taken.
+# Weights of relevance, links and temporal score by temporal preference.
+SELECT_WEIGHTS = {"seminal": (0.35, 0.30, 0.35), "recent": (0.35, 0.35, 0.30), "all": (0.45, 0.35, 0.20)}
 
-    ``candidates``: map_id, work_id, score; each map's best 3 x ``target`` are looked at, with the
-    edges among them. After the choice, isolated works are swapped for linked ones up to three times.
+
+def greedy_select(candidates: DataFrame, edges: DataFrame, target: int, preference: str = "all", backbone: float = 0.6, floor: float = 0.0) -> DataFrame:
+    """(map_id, work_id, pick): seeds, then the works that fit best to what is there, ``target`` a map.
+
+    ``candidates``: map_id, work_id, relevance, temporal, is_seed, is_enrichment. Beside the seeds,
+    each map's best 3 x ``target`` works by relevance and temporal score are looked at, with the edges
+    among them. The first ``backbone`` share is not from enrichment. Then, up to three times, works
+    without a link give way to the best linked ones, or go. Works below ``floor`` relevance are no choice.
+    The choice is sequential within a map; maps are independent groups of bounded size.
     """
-    best = Window.partitionBy("map_id").orderBy(F.desc("score"), "work_id")
-    pool = candidates.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= 3 * target).select("map_id", "work_id", "score")
-    inner = induced(pool, edges)
+    order = Window.partitionBy("map_id", "is_seed").orderBy(F.desc(F.col("relevance") + F.col("temporal")), "work_id")
+    pool = candidates.withColumn("_r", F.row_number().over(order)).where(F.col("is_seed") | ((F.col("_r") <= 3 * target) & (F.col("relevance") >= floor))).drop("_r")
+    inner = induced(pool.select("map_id", "work_id"), edges)
     links = inner.select("map_id", F.col("from_id").alias("work_id"), F.col("to_id").alias("_o")).union(inner.select("map_id", F.col("to_id").alias("work_id"), F.col("from_id").alias("_o"))).distinct()
     near = links.groupBy("map_id", "work_id").agg(F.sort_array(F.collect_list("_o")).alias("near"))
     rows = pool.join(near, ["map_id", "work_id"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<bigint>")))
+    weights = SELECT_WEIGHTS[preference]
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["score", "work_id"], ascending=[False, True])
-        score = dict(zip(group["work_id"].tolist(), group["score"].tolist()))
-        near = {w: set(n) for w, n in zip(group["work_id"].tolist(), group["near"].tolist())}
-        order = list(score)
-        picked = order[: int(target * backbone)]
-        rest = order[len(picked) :]
-        link = lambda w, to: [0.0, 0.3, 0.6, 0.6, 0.8, 0.8, 0.8][len(near[w] & to)] if len(near[w] & to) < 7 else 1.0
-        while rest and len(picked) < target:
-            taken = set(picked)
-            w = max(rest, key=lambda x: (0.7 * score[x] + 0.3 * link(x, taken), -x))
-            picked.append(w)
-            rest.remove(w)
+        import numpy as np
+
+        group = group.sort_values("work_id").reset_index(drop=True)
+        ids, seed, extra = group["work_id"].tolist(), group["is_seed"].to_numpy(), group["is_enrichment"].to_numpy()
+        place = {w: i for i, w in enumerate(ids)}
+        linked = np.zeros((len(ids), len(ids)), dtype=bool)
+        for i, others in enumerate(group["near"]):
+            linked[i, [place[o] for o in others if o in place]] = True
+        np.fill_diagonal(linked, False)
+        own = weights[0] * group["relevance"].to_numpy() + weights[2] * group["temporal"].to_numpy()
+        steps = np.array([0.0, 0.3, 0.6, 0.6, 0.8, 0.8, 0.8, 1.0])
+        chosen = np.flatnonzero(seed).tolist()
+
+        def best(allowed) -> int | None:  # noqa: ANN001
+            if not allowed.any():
+                return None
+            link = steps[np.minimum(linked[:, chosen].sum(axis=1), 7)] if chosen else 0.5
+            return int(np.argmax(np.where(allowed, own + weights[1] * link, -1.0)))
+
+        left = ~seed
+        for size, allowed in ((max(1, int(target * backbone)), ~extra), (target, np.ones(len(ids), dtype=bool))):
+            while len(chosen) < size and (pick := best(left & allowed)) is not None:
+                chosen.append(pick)
+                left[pick] = False
         for _ in range(3):
-            taken = set(picked)
-            lonely = [w for w in picked if not near[w] & taken]
-            linked = [w for w in rest if near[w] & taken]
-            if not lonely or not linked:
+            lonely = [i for i in chosen if not seed[i] and not linked[i, chosen].any()]
+            for i in lonely:
+                chosen.remove(i)
+                swap = best(left & linked[:, chosen].any(axis=1)) if chosen else None
+                if swap is not None:
+                    chosen.append(swap)
+                    left[swap] = False
+            if not lonely:
                 break
-            out, new = min(lonely, key=lambda x: (score[x], x)), max(linked, key=lambda x: (score[x], -x))
-            picked[picked.index(out)] = new
-            rest[rest.index(new)] = out
-        return pd.DataFrame({"map_id": group["map_id"].iloc[0], "work_id": picked, "pick": range(1, len(picked) + 1)})
+        return pd.DataFrame({"map_id": group["map_id"].iloc[0], "work_id": [ids[i] for i in chosen], "pick": range(1, len(chosen) + 1)})
 
     return rows.groupBy("map_id").applyInPandas(choose, "map_id long, work_id long, pick int")
 

@@ -104,7 +104,7 @@ def thirds_sample(works: DataFrame, by: str, total: int, shares: tuple[float, fl
     """``total`` works of each group from the thirds by citations, a short third borrowing from what the others leave."""
     w = Window.partitionBy(by)
     r, n = F.row_number().over(w.orderBy(F.desc("cited_by_count"), "work_id")), F.count(F.lit(1)).over(w)
-    rows = works.withColumn("_i", r).withColumn("_n", n).withColumn("_third", F.least(F.lit(2), F.floor((F.col("_i") - 1) * 3 / F.col("_n"))).cast("int"))
+    rows = works.withColumn("_i", r).withColumn("_n", n).withColumn("_third", F.when(F.col("_i") <= F.floor(F.col("_n") / 3), 0).when(F.col("_i") <= 2 * F.floor(F.col("_n") / 3), 1).otherwise(2))
     inside = F.row_number().over(Window.partitionBy(by, "_third").orderBy("_i"))
     quota = F.when(F.col("_third") == 0, int(total * shares[0])).when(F.col("_third") == 1, int(total * shares[1])).otherwise(total - int(total * shares[0]) - int(total * shares[1]))
     rows = rows.withColumn("_over", (inside > quota).cast("int"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paperloom.functions import scores
 from paperloom.operators import graph
 from paperloom.plans.registry import query
-from paperloom.plans.views import CITE_EDGES, DOC_EDGES, JUDGMENTS, WORKS, cite_edges, doc_edges, judgments, with_, works
+from paperloom.plans.views import AS_OF, CITE_EDGES, DOC_EDGES, JUDGMENTS, WORKS, cite_edges, doc_edges, judgments, with_, works
 
 
 @query(with_(CITE_EDGES) + ", p AS (SELECT a.to_id AS a, b.to_id AS b, count(*) AS shared FROM cite_edges a JOIN cite_edges b USING (from_id) WHERE a.to_id < b.to_id GROUP BY 1, 2 HAVING count(*) >= 2), u AS (SELECT a AS work_id, b AS other_id, shared FROM p UNION ALL SELECT b, a, shared FROM p) SELECT work_id, other_id, shared, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY shared DESC, other_id) AS rank FROM u) WHERE rank <= 15")
@@ -44,7 +45,7 @@ def bridges_and_isolated(spark, d):  # noqa: ANN001
     return graph.bridges_and_isolated(graph.degrees(nodes, edges))
 
 
-@query(with_(WORKS, DOC_EDGES, CLEAN, DEGREE) + "SELECT work_id, degree, round(degree / ln(cited_by_count + 2.0), 6) AS density FROM works JOIN deg USING (work_id) WHERE degree / ln(cited_by_count + 2.0) >= 0.2 AND degree >= CASE WHEN cited_by_count >= 1000 THEN 5 WHEN cited_by_count >= 100 THEN 4 ELSE 3 END")
+@query(with_(WORKS, DOC_EDGES, CLEAN, DEGREE) + "SELECT work_id, degree, round(degree / ln(cited_by_count + 2.0), 6) AS density FROM works JOIN deg USING (work_id) WHERE degree / ln(cited_by_count + 2.0) >= 0.2 AND degree >= CASE WHEN cited_by_count > 50000 THEN 5 WHEN cited_by_count > 10000 THEN 4 ELSE 3 END")
 def density_gate(spark, d):  # noqa: ANN001
     nodes, edges, _ = _clean(spark, d)
     return graph.density_gate(works(spark, d), graph.degrees(nodes, edges)).select("work_id", "degree", F.round("density", 6).alias("density"))
@@ -106,8 +107,10 @@ def one_hop_graph(spark, d):  # noqa: ANN001
 @query()
 def greedy_map_selection(spark, d):  # noqa: ANN001
     nodes, edges = _expanded(spark, d)
-    scored = nodes.join(works(spark, d), "work_id").select("map_id", "work_id", (F.log1p(F.col("cited_by_count").cast("double")) / 9 - 0.1 * F.col("hop")).alias("score"))
-    return graph.greedy_select(scored, edges, 40)
+    w = works(spark, d).join(judgments(spark, d), "work_id", "left")
+    temporal = scores.temporal_score(F.col("year"), F.col("cited_by_count"), "seminal", AS_OF)
+    rows = nodes.join(w, "work_id").select("map_id", "work_id", F.coalesce("relevance", F.lit(0.5)).alias("relevance"), temporal.alias("temporal"), (F.col("hop") == 0).alias("is_seed"), (F.col("work_id") % 9 == 0).alias("is_enrichment"))
+    return graph.greedy_select(rows, edges, 40, "seminal")
 
 
 SETS = "sets AS (SELECT topic AS set_id, work_id FROM (SELECT topic, work_id, row_number() OVER (PARTITION BY topic ORDER BY cited_by_count DESC, work_id) AS r FROM works) WHERE r <= 12)"

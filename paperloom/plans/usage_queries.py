@@ -133,7 +133,7 @@ def focus_recent(spark, d):  # noqa: ANN001
     return relational.focus_filter(_focus(spark, d), "recent", AS_OF).select("query_id", "work_id")
 
 
-@query(with_(WORKS) + ", r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY cited_by_count DESC, work_id) AS i, count(*) OVER (PARTITION BY topic) AS n FROM works), t AS (SELECT *, least(2, floor((i - 1) * 3 / n))::INT AS third FROM r), q AS (SELECT *, (row_number() OVER (PARTITION BY topic, third ORDER BY i) > CASE third WHEN 0 THEN 12 WHEN 1 THEN 6 ELSE 2 END)::INT AS over_q FROM t), o AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY over_q, i) AS o FROM q) SELECT topic, work_id FROM o WHERE o <= 20")
+@query(with_(WORKS) + ", r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY cited_by_count DESC, work_id) AS i, count(*) OVER (PARTITION BY topic) AS n FROM works), t AS (SELECT *, CASE WHEN i <= n // 3 THEN 0 WHEN i <= 2 * (n // 3) THEN 1 ELSE 2 END AS third FROM r), q AS (SELECT *, (row_number() OVER (PARTITION BY topic, third ORDER BY i) > CASE third WHEN 0 THEN 12 WHEN 1 THEN 6 ELSE 2 END)::INT AS over_q FROM t), o AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY over_q, i) AS o FROM q) SELECT topic, work_id FROM o WHERE o <= 20")
 def thirds_sample(spark, d):  # noqa: ANN001
     return relational.thirds_sample(works(spark, d), "topic", 20).select("topic", "work_id")
 

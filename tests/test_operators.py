@@ -74,11 +74,14 @@ def test_graph_normalization(spark):
     assert degree == {1: 1, 2: 1, 3: 0}
 
 
-def test_greedy_selection_keeps_sizes(spark):
-    c = spark.createDataFrame([(1, i, 1.0 / (i + 1)) for i in range(30)], "map_id long, work_id long, score double")
-    e = spark.createDataFrame([(i, (i * 7) % 30) for i in range(30)], "from_id long, to_id long")
-    got = graph.greedy_select(c, e, 10).collect()
-    assert len({r["work_id"] for r in got}) == 10
+def test_greedy_selection(spark):
+    rows = [(1, i, 1.0 / (i + 1), 0.5, i == 0, i % 2 == 1) for i in range(30)] + [(2, 1, 0.5, 0.5, False, False)]
+    c = spark.createDataFrame(rows, "map_id long, work_id long, relevance double, temporal double, is_seed boolean, is_enrichment boolean")
+    e = spark.createDataFrame([(i, 0) for i in range(1, 30)], "from_id long, to_id long")
+    got = sorted((r["map_id"], r["pick"], r["work_id"]) for r in graph.greedy_select(c, e, 10).collect())
+    first = [w for m, _, w in got if m == 1]
+    assert first[0] == 0 and len(set(first)) == 10 and all(w % 2 == 0 for w in first[:6])
+    assert [w for m, _, w in got if m == 2] == []
 
 
 def test_temporal_gap_and_comeback(spark):

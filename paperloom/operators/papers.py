@@ -129,3 +129,87 @@ def quota_selection(works: DataFrame, total: int) -> DataFrame:
     rows = works.withColumn("_k", cls).withColumn("_in", (inside <= quota).cast("int"))
     order = Window.partitionBy("map_id").orderBy(F.desc("_in"), F.desc("score"), "work_id")
     return rows.withColumn("_o", F.row_number().over(order)).where(F.col("_o") <= total).select(*works.columns)
+
+
+# Title patterns of reviews.
+REVIEW_TITLES = ["survey", "review", "overview", "tutorial", "primer"]
+
+
+def bad_metadata(works: DataFrame, as_of: int) -> DataFrame:
+    """Works without the faults: no title or year, a year to come, or this year's without a citation."""
+    cites = F.coalesce("cited_by_count", F.lit(0))
+    return works.where((F.coalesce("title", F.lit("")) != "") & F.col("year").isNotNull() & (F.col("year") <= as_of) & ~((F.col("year") >= as_of) & (cites == 0)))
+
+
+def review_override(title: Column, paper_type: Column) -> Column:
+    """'review' where the title says so, else the given type."""
+    low = F.lower(F.coalesce(title, F.lit("")))
+    return F.when(F.exists(F.array(*map(F.lit, REVIEW_TITLES)), lambda p: low.contains(p)), "review").otherwise(paper_type)
+
+
+def suspicious_citations(works: DataFrame, patterns: list[str]) -> DataFrame:
+    """Works with 10,000 citations or more that are recent beyond belief or carry a generic title."""
+    low = F.lower(F.coalesce("title", F.lit("")))
+    generic = F.exists(F.array(*map(F.lit, patterns)), lambda p: low.contains(p))
+    return works.where((F.col("cited_by_count") >= 10_000) & (((F.col("year") >= 2018) & (F.col("cited_by_count") > 30_000)) | generic))
+
+
+def cross_domain(pairs: DataFrame, least: float = 0.05) -> DataFrame:
+    """Pairs (title_a, abstract_a, title_b, abstract_b, ...) whose titles or abstracts share enough words."""
+    words = lambda c: F.array_distinct(tokens(F.col(c)))
+    return pairs.where((jaccard(words("title_a"), words("title_b")) >= least) | (jaccard(words("abstract_a"), words("abstract_b")) >= least))
+
+
+def grounding_consistency(texts: DataFrame, pattern: str) -> DataFrame:
+    """(doc_id, share, orphans, unused): ids that a text cites against the ids it was given. ``texts``: doc_id, text, given."""
+    cited = F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))
+    t = texts.withColumn("_c", cited)
+    known = F.size(F.array_intersect("_c", "given"))
+    return t.select("doc_id", F.when(F.size("_c") > 0, known / F.size("_c")).otherwise(0.0).alias("share"), F.size(F.array_except("_c", "given")).alias("orphans"), F.size(F.array_except("given", "_c")).alias("unused"))
+
+
+def title_seed(candidates: DataFrame) -> DataFrame:
+    """(query_id, work_id): the work whose title fits a query best; a near-equal title wins by citations."""
+    w = Window.partitionBy("query_id")
+    logc = F.log1p(F.col("cited_by_count").cast("double"))
+    ratio = logc / F.greatest(F.max(logc).over(w), F.lit(1e-9))
+    rows = candidates.withColumn("_v", F.round(F.when(F.col("similarity") > 0.85, 1 + logc).otherwise(0.6 * F.col("similarity") + 0.4 * ratio), 9))
+    return rows.groupBy("query_id").agg(F.max_by("work_id", F.struct("_v", -F.col("work_id"))).alias("work_id"))
+
+
+def topic_clusters(works: DataFrame, by: str, least: int = 2, k: int = 5) -> DataFrame:
+    """(by, topic, n): the ``k`` largest topics of at least ``least`` works."""
+    n = works.groupBy(by, "topic").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return n.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "topic"))).where(F.col("_r") <= k).drop("_r")
+
+
+def siblings(nodes: DataFrame, used: DataFrame, k: int = 10) -> DataFrame:
+    """(map_id, work_id): the most cited works of a map that are not used yet, one a lower-case title, at most ``k``."""
+    rest = nodes.join(used.select("map_id", "work_id"), ["map_id", "work_id"], "left_anti").withColumn("_t", F.lower("title"))
+    one = rest.withColumn("_r", F.row_number().over(Window.partitionBy("map_id", "_t").orderBy(F.desc("cited_by_count"), "work_id"))).where("_r = 1")
+    return one.withColumn("_o", F.row_number().over(Window.partitionBy("map_id").orderBy(F.desc("cited_by_count"), "work_id"))).where(F.col("_o") <= k).select("map_id", "work_id")
+
+
+def topic_names(ids: DataFrame, names: DataFrame, works: DataFrame) -> DataFrame:
+    """(cluster_id, name): the topic's name, else the most frequent topic of the cluster's works, else the id."""
+    n = works.groupBy("cluster_id", "topic").agg(F.count(F.lit(1)).alias("_n"))
+    major = n.groupBy("cluster_id").agg(F.max_by("topic", F.struct("_n", "topic")).alias("_major"))
+    return ids.join(names, "cluster_id", "left").join(major, "cluster_id", "left").select("cluster_id", F.coalesce("name", "_major", "cluster_id").alias("name"))
+
+
+def negated_share(statements: DataFrame, pattern: str) -> DataFrame:
+    """(set_id, share, mostly_negated) of statements that match a pattern of negation."""
+    g = statements.groupBy("set_id").agg(F.avg(F.col("text").rlike(pattern).cast("double")).alias("share"))
+    return g.withColumn("mostly_negated", F.col("share") > 0.5)
+
+
+def concept_multiplier(concepts: Column, wanted: Column) -> Column:
+    """0.85 + 0.15 x the share of wanted concepts that are there; 0.5 without data."""
+    return F.when((F.size(wanted) == 0) | concepts.isNull(), 0.5).otherwise(0.85 + 0.15 * F.size(F.array_intersect(concepts, wanted)) / F.size(F.array_distinct(wanted)))
+
+
+def drilldown_query(label: Column, query: Column, least: float = 0.3) -> Column:
+    """A label as a query, with the query appended if they share few words."""
+    a, b = keywords(label), keywords(query)
+    few = F.size(F.array_intersect(a, b)) / F.greatest(F.size(b), F.lit(1)) < least
+    return F.when(few, F.concat_ws(" ", label, query)).otherwise(label)

@@ -96,12 +96,13 @@ def train(docs: DataFrame, labels: DataFrame, calibration_rows: int = 20_000) ->
 
     Training rows have a label of 0 or 1 and crc32(doc_id as text) mod 5 other than 0; of these,
     remainder 4 is for the calibration alone, so that it sees texts that the counts don't hold.
-    The counts are 2 x 32 ** 4 numbers at most, whatever the input's size.
+    The counts are 2 x 32 ** 4 numbers at most, whatever the input's size. Labels grow with the
+    documents, so they are joined by a shuffle at every size, never broadcast.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_y")).where(~in_fold(F.col("doc_id"), 5, 0))
     texts = docs.where(F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 5, 0)).select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows = texts.join(known, "doc_id").select("text", "_y", in_fold(F.col("doc_id"), 5, 4).alias("_fit"), F.xxhash64("doc_id").alias("_draw"))
+    rows = texts.join(known.hint("merge"), "doc_id").select("text", "_y", in_fold(F.col("doc_id"), 5, 4).alias("_fit"), F.xxhash64("doc_id").alias("_draw"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = LETTERS**ORDER

@@ -1,9 +1,9 @@
 """Toxicity: class-conditional Kneser-Ney models of characters.
 
 Two models, of toxic and of ordinary text, predict each character from the three before it. Their
-four-character counts are their own; what they back off to, continuation counts of three, two and
-one characters, is shared, so an expression too rare to tell the classes apart counts the same in
-both. A document's score comes from the two log-likelihoods, compared by length.
+counts of four and three characters are their own; what they back off to, continuation counts of two
+and one characters, is shared, so an expression too rare to tell the classes apart counts the same
+in both. A document's score comes from the two log-likelihoods, compared by length.
 """
 
 from __future__ import annotations
@@ -60,23 +60,29 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.features(texts) @ self.weights, -30, 30)))
 
 
-def kneser_ney_ratio(toxic: np.ndarray, ordinary: np.ndarray, discount: float = 0.75) -> np.ndarray:
-    """log P(c | three before, toxic) - log P(c | three before, ordinary) for all four-character codes."""
+def discounted(counts: np.ndarray, lower: np.ndarray, discount: float) -> np.ndarray:
+    """Discounted probabilities of the last symbol, with what was taken off spread as ``lower`` says."""
+    total = counts.sum(axis=-1, keepdims=True)
+    left = discount * (counts > 0).sum(axis=-1, keepdims=True)
+    return np.where(total > 0, (np.maximum(counts - discount, 0) + left * lower) / np.maximum(total, 1), np.broadcast_to(lower, counts.shape))
+
+
+def kneser_ney_ratio(toxic: np.ndarray, ordinary: np.ndarray, discount: float = 0.75, shared_orders: int = 2) -> np.ndarray:
+    """log P(c | three before, toxic) - log P(c | three before, ordinary) for all four-character codes.
+
+    Up to ``shared_orders`` characters, both models back off to the same continuation counts: in how
+    many contexts of either class each string is found. Above, each class has counts of its own.
+    """
     shape = (LETTERS,) * ORDER
-    both = (toxic + ordinary).reshape(shape)
+    kinds = ((toxic + ordinary).reshape(shape) > 0).astype(np.float64)
     shared = np.full(LETTERS, 1.0 / LETTERS)
-    kinds = (both > 0).astype(np.float64)
-    for order in range(1, ORDER):  # continuation counts of 1, 2, 3 characters: in how many contexts each is found
-        counts = kinds.sum(axis=tuple(range(ORDER - order))) if order < ORDER else kinds
-        total = counts.sum(axis=-1, keepdims=True)
-        left = discount * (counts > 0).sum(axis=-1, keepdims=True)
-        own = np.maximum(counts - discount, 0)
-        shared = np.where(total > 0, (own + left * shared) / np.maximum(total, 1), np.broadcast_to(shared, counts.shape))
+    for order in range(1, shared_orders + 1):
+        shared = discounted(kinds.sum(axis=tuple(range(ORDER - order))), shared, discount)
     logs = []
     for counts in (toxic.reshape(shape), ordinary.reshape(shape)):
-        total = counts.sum(axis=-1, keepdims=True)
-        left = discount * (counts > 0).sum(axis=-1, keepdims=True)
-        p = np.where(total > 0, (np.maximum(counts - discount, 0) + left * shared) / np.maximum(total, 1), shared)
+        p = shared
+        for order in range(shared_orders + 1, ORDER + 1):
+            p = discounted(counts.sum(axis=tuple(range(ORDER - order))), p, discount)
         logs.append(np.log(np.maximum(p, 1e-12)).ravel())
     return (logs[0] - logs[1]).astype(np.float32)
 

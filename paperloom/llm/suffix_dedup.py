@@ -157,7 +157,7 @@ def repeated_windows(stretches: list[bytes], doc: np.ndarray, at: np.ndarray, le
     return doc[owner], pack(tag[owner], low[owner] + inner[gone], np.ones(len(owner), dtype=np.int64))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "none", core: int = 200, block_bytes: int = 2_000_000, carry: tuple[str, ...] = (), crowd: int = 2000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "none", core: int = 200, block_bytes: int = 1_000_000, carry: tuple[str, ...] = (), crowd: int = 2000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) and the columns ``carry`` for every row.
 
     A UTF-8 byte goes if a string of ``length`` bytes (a multiple of eight) that covers it also starts

@@ -135,8 +135,8 @@ def params_hash(*columns: Column) -> Column:
 def text_from_inverted_index(index: Column) -> Column:
     """Text of a map word -> positions; of two words at one place the first in order wins."""
     placed = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    ordered = F.array_sort(placed)
-    first = F.filter(ordered, lambda x, i: (i == 0) | (x["p"] != F.get(ordered, i - 1)["p"]))
+    once = lambda o: F.filter(o, lambda x, i: (i == 0) | (x["p"] != F.get(o, i - 1)["p"]))
+    first = F.get(F.transform(F.array(F.array_sort(placed)), once), 0)  # sorted once, then bound to a name
     return F.array_join(F.transform(first, lambda x: x["w"]), " ")
 
 

@@ -111,15 +111,16 @@ def drop_similar_titles(ranked: DataFrame, threshold: float = 0.4, most: int = 5
     return listed.select("query_id", F.explode(F.aggregate("_l", empty, keep)).alias("x")).select("query_id", "x.work_id", "x.rank")
 
 
-def vector_knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, cosine, rank): exact nearest neighbours of a small, bounded set of query vectors.
+def vector_knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """(query_id, vec_id, cosine, rank): exact nearest neighbours of a stated set of query vectors, itself excluded.
 
-    ``vectors``: vec_id, embedding; ``queries``: query_id, embedding. The queries are broadcast in
-    one row, so the vectors are read once and stay where they are.
+    ``vectors``: vec_id, embedding; ``queries``: query_id, embedding. Queries come in rows of about
+    ``block`` by hash, so a row of the join is bounded and the vectors are read once a block.
     """
-    q = queries.agg(F.collect_list(F.struct("query_id", F.col("embedding").cast("array<double>").alias("e"))).alias("_qs"))
+    n = max(1, -(-queries.count() // block))
+    q = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("_b")).agg(F.collect_list(F.struct("query_id", F.col("embedding").cast("array<double>").alias("e"))).alias("_qs"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    pairs = v.join(F.broadcast(q)).select("vec_id", "e", F.explode("_qs").alias("q")).where("q.query_id != vec_id")
+    pairs = v.join(q).select("vec_id", "e", F.explode("_qs").alias("q")).where("q.query_id != vec_id")
     scored = pairs.select(F.col("q.query_id").alias("query_id"), "vec_id", (dot(F.col("e"), F.col("q.e")) / F.sqrt(dot(F.col("e"), F.col("e")) * dot(F.col("q.e"), F.col("q.e")))).alias("cosine"))
     return top_k(scored, k, "query_id", F.desc("cosine"), F.asc("vec_id"))

@@ -58,9 +58,9 @@ def json_key_join(spark, d):  # noqa: ANN001
     return e.join(table(spark, d, "nation"), F.col("k") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.sum("value").cast("double").alias("value"))
 
 
-@query(with_(ACTIVITY) + "SELECT event_id FROM activity WHERE map_id IN (SELECT doc_id FROM documents WHERE doc_id % 50 = 0) OR work_id IN (SELECT doc_id + 1 FROM documents WHERE doc_id % 50 = 0)")
+@query(with_(ACTIVITY) + "SELECT event_id FROM activity WHERE map_id IN (SELECT doc_id FROM documents WHERE source = 'src3') OR work_id IN (SELECT doc_id + 1 FROM documents WHERE source = 'src3')")
 def either_key_match(spark, d):  # noqa: ANN001
-    keys = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("map_id"), (F.col("doc_id") + 1).alias("work_id"))
+    keys = table(spark, d, "documents").where("source = 'src3'").select(F.col("doc_id").alias("map_id"), (F.col("doc_id") + 1).alias("work_id"))
     return relational.either_key(activity(spark, d).select("event_id", "map_id", "work_id"), keys, "map_id", "work_id").select("event_id")
 
 

@@ -98,11 +98,11 @@ def impact_score(spark, d):  # noqa: ANN001
     return j.select("work_id", scores.impact_score(F.col("cited_by_count"), F.coalesce("n", F.lit(0)), F.col("work_id") % 9 == 0).alias("impact"))
 
 
-@query("WITH w AS (SELECT doc_id, string_split(trim(text), ' ') AS w FROM documents WHERE n_chars < 2000 AND NOT contains(text, '  ') AND NOT contains(text, chr(10)) AND NOT contains(text, chr(9))) SELECT doc_id, array_to_string(w, ' ') AS text FROM w")
+@query(r"SELECT doc_id, array_to_string(w, ' ') AS text FROM (SELECT doc_id, regexp_extract_all(text, '[^\x09-\x0D ]+') AS w FROM documents) WHERE len(w) > 0")
 def abstract_from_inverted_index(spark, d):  # noqa: ANN001
-    """Index the words of short texts by position and read the text back."""
-    t = table(spark, d, "documents").where("n_chars < 2000 AND NOT contains(text, '  ') AND NOT contains(text, '\n') AND NOT contains(text, '\t')")
-    at = t.select("doc_id", F.posexplode(F.split(F.trim("text"), " ")).alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps"))
+    """Index the words of every text by position and read the text back."""
+    words = F.regexp_extract_all("text", F.lit(text.SPACED), F.lit(0))
+    at = table(spark, d, "documents").select("doc_id", F.posexplode(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps"))
     index = at.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
     return index.select("doc_id", text.text_from_inverted_index(F.col("m")).alias("text"))
 

@@ -39,13 +39,14 @@ def work_scores(spark, d):  # noqa: ANN001
 
 @query(
     with_(WORKS)
-    + rf"""SELECT work_id, array_to_string(list_slice(list_filter(list_distinct_ordered, lambda w: NOT list_contains({STOPS}, w)), 1, 8), ' ') AS terms, len(toks) AS n_tokens,
-len(list_filter(toks, lambda t: length(t) > 2 AND NOT list_contains({STOPS}, t))) AS n_content FROM (SELECT work_id, regexp_extract_all(lower(coalesce(abstract, '')), '[\p{{L}}\p{{N}}_]+') AS toks,
-list_reverse(list_reduce(list_prepend([]::VARCHAR[], [[w] FOR w IN regexp_extract_all(lower(coalesce(abstract, '')), '[a-z]{{4,}}')]), lambda a, w: CASE WHEN list_contains(a, w[1]) THEN a ELSE list_prepend(w[1], a) END)) AS list_distinct_ordered FROM works WHERE length(abstract) < 3000)"""
+    + rf""", t AS (SELECT work_id, regexp_extract_all(lower(coalesce(abstract, '')), '[\p{{L}}\p{{N}}_]+') AS toks, regexp_extract_all(lower(coalesce(abstract, '')), '[a-z]{{4,}}') AS m FROM works),
+f AS (SELECT work_id, w, min(i) AS i FROM (SELECT work_id, unnest(m) AS w, generate_subscripts(m, 1) AS i FROM t) WHERE NOT list_contains({STOPS}, w) GROUP BY 1, 2),
+e AS (SELECT work_id, string_agg(w, ' ' ORDER BY i) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY i) AS r FROM f) WHERE r <= 8 GROUP BY 1)
+SELECT work_id, coalesce(terms, '') AS terms, len(toks) AS n_tokens, len(list_filter(toks, lambda x: length(x) > 2 AND NOT list_contains({STOPS}, x))) AS n_content FROM t LEFT JOIN e USING (work_id)"""
 )
 def search_terms(spark, d):  # noqa: ANN001
     a = F.col("abstract")
-    return works(spark, d).where(F.length("abstract") < 3000).select("work_id", F.array_join(text.search_terms(a), " ").alias("terms"), F.size(text.tokens(a)).cast("bigint").alias("n_tokens"), F.size(text.content_tokens(a)).cast("bigint").alias("n_content"))
+    return works(spark, d).select("work_id", F.array_join(text.search_terms(a), " ").alias("terms"), F.size(text.tokens(a)).cast("bigint").alias("n_tokens"), F.size(text.content_tokens(a)).cast("bigint").alias("n_content"))
 
 
 @query(with_(WORKS) + rf"SELECT work_id, trim(regexp_replace(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}_\x09-\x0D ]', ' ', 'g'), '[\x09-\x0D ]+', ' ', 'g')) AS title, len(list_distinct(list_filter(regexp_extract_all(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}_\x09-\x0D ]', '', 'g'), '[^\x09-\x0D ]+'), lambda w: length(w) > 2 AND NOT list_contains({TITLE_STOPS}, w)))) AS n_words, sha256(coalesce(topic, '') || '|' || coalesce(subfield, '') || '|' || year::VARCHAR) AS params FROM works")

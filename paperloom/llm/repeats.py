@@ -97,34 +97,34 @@ def meet(runs: DataFrame, keep: str, hot: list[int], crowd: int = 2000, most_hel
         return pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (name, doc, at, gone, check, crowded)], names=["name", "doc", "at", "gone", "check", "crowded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, pieces = None, False  # rows of the last name; whether some of them have been judged
+        held, cut = None, None  # rows of the last name; that name, if some of its rows have been judged
         for batch in batches:
             rows = [c.to_numpy() for c in batch.columns]
             if not len(rows[0]):
                 continue
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows)]
-            if pieces:
-                end = int(np.searchsorted(rows[0], rows[0][0], "right"))
-                if end < len(rows[0]) or end > most_held:
+                held = None
+            if cut is not None:
+                end = int(np.searchsorted(rows[0], cut, "right"))
+                if end == len(rows[0]) and end <= most_held:
+                    held = rows
+                    continue
+                if end:
                     yield judge(*(x[:end] for x in rows), whole=False)
                     rows = [x[end:] for x in rows]
-                    pieces = not len(rows[0])
                 if not len(rows[0]):
-                    held = None if not pieces else [x[:0] for x in rows]
-                    continue
-                if pieces:
-                    held = rows
                     continue
+                cut = None
             begin = int(np.searchsorted(rows[0], rows[0][-1], "left"))
             if begin:
                 yield judge(*(x[:begin] for x in rows), whole=True)
             held = [x[begin:] for x in rows]
-            if len(held[0]) > most_held:
+            if len(held[0]) > most_held:  # no row is in two pieces, else its windows would meet themselves
                 yield judge(*held, whole=False)
-                held, pieces = [x[-1:] for x in held], True
-        if held is not None and len(held[0]):
-            yield judge(*held, whole=not pieces)
+                held, cut = None, int(held[0][0])
+        if held is not None:
+            yield judge(*held, whole=cut is None)
 
     salt = F.when(F.col("name").isin(hot), F.pmod(F.xxhash64("doc", "at"), F.lit(salts))).otherwise(0) if hot else F.lit(0)
     dealt = runs.repartition("name", salt) if hot else runs.repartition("name")
@@ -135,7 +135,8 @@ def equal_windows(windows: DataFrame, keep: str) -> DataFrame:
     """(doc, at) of the windows to remove among rows (h1, h2, doc, at), each one window with its 128-bit hash.
 
     Rows are ordered over all partitions, so a window with a third of all rows is spread over many
-    tasks; the ends of the partitions (two rows each) are compared on the driver.
+    tasks; the ends of the partitions (two rows each) are compared on the driver. Under 'first', rows
+    that agree in (doc, at) as well are one window.
     """
     ordered = windows.repartitionByRange("h1", "h2", "doc", "at").sortWithinPartitions("h1", "h2", "doc", "at")
 
@@ -151,6 +152,9 @@ def equal_windows(windows: DataFrame, keep: str) -> DataFrame:
                 first = [int(x[0]) for x in rows]
             else:
                 rows = [np.append(x, y) for x, y in zip(last, rows)]
+            if keep == "first":
+                other = np.append(True, np.any([x[1:] != x[:-1] for x in rows], axis=0))
+                rows = [x[other] for x in rows]
             same = (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1])
             if keep == "first":
                 gone = np.append(False, same)

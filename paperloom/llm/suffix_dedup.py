@@ -144,6 +144,8 @@ def repeated_windows(stretches: list[bytes], doc: np.ndarray, at: np.ndarray, le
     """(doc, packed window) to remove among the windows of some stretches, by LPF."""
     tag, low, n = unpack(at)
     in_text_order = np.lexsort((low, tag, doc))
+    if keep == "first":  # rows that agree in doc_id and text are one document
+        in_text_order = in_text_order[np.append(True, np.any([x[in_text_order][1:] != x[in_text_order][:-1] for x in (doc, tag, low)], axis=0))]
     doc, tag, low, n = doc[in_text_order], tag[in_text_order], low[in_text_order], n[in_text_order]
     stretches = [stretches[i] for i in in_text_order.tolist()]
     data = np.frombuffer(b"".join(stretches), dtype=np.uint8)

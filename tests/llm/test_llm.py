@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -140,6 +141,32 @@ def test_names_judged_in_pieces(spark, held):
             assert d in got and (got[d]["gone"] or got[d]["check"]) and (not got[d]["gone"] or counts[n, s] > 1)
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+@pytest.mark.parametrize("held", [1, 3])
+def test_pieces_of_names_end_to_end(spark, corpus, monkeypatch, keep, held):
+    for module in (suffix_dedup, recompression):
+        monkeypatch.setattr(module, "meet", functools.partial(repeats.meet, most_held=held))
+    rng = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"{rng.random()} {passage} {rng.random()}" for _ in range(20)] + corpus[25:40]
+    docs = docs_of(spark, texts)
+    docs = docs.union(docs.where("doc_id % 4 = 0"))  # rows given twice: one document under 'first', copies under 'none'
+    order = list(range(len(texts))) + [i for i in range(len(texts)) if i % 4 == 0 and keep == "none"]
+    raw = [(texts[i] or "").encode() for i in order]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        by_bytes = suffix_dedup.remove_repeats(docs, length=80, core=40, keep=keep).collect()
+        by_words = recompression.remove_repeats(docs, width=12, keep=keep).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(by_bytes) == len(by_words) == docs.count()
+    want = {i: int(gone.sum()) for i, gone in zip(order, repeated_bytes(raw, 80, keep))}
+    assert [(r["doc_id"], r["n_removed"]) for r in by_bytes if r["n_removed"] != want[r["doc_id"]]] == []
+    want = {i: sum(gone) for i, gone in zip(order, repeated_words(raw, 12, keep)[1])}
+    assert [(r["doc_id"], r["n_removed"]) for r in by_words if r["n_removed"] != want[r["doc_id"]]] == []
+
+
 @pytest.mark.parametrize("keep", ["none", "first"])
 def test_equal_windows_over_partitions(spark, keep):
     rows = [(h, 0, d, 1) for h in range(5) for d in range(1 if h == 3 else 400)]

@@ -330,6 +330,21 @@ def test_quality(spark, corpus):
     assert not got[len(texts) - 2]["kept"] and got[0]["kept"] == (not got[0]["base_failed"])
 
 
+def test_ascii_noise_falls_in_every_band(spark):
+    rng = random.Random(14)
+    common = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    prose = lambda n: " ".join(common[min(int(rng.expovariate(0.003)), 1999)] for _ in range(n // 3))[:n]
+    noise = lambda letters, n: "".join(" " if rng.random() < 0.12 else rng.choice(letters) for _ in range(n))
+    base, ascii_, sizes = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "+/", "".join(map(chr, range(33, 127))), [250, 500, 1000, 4096, 12000, 50000, 90000]
+    bad = [noise(x, n) for n in sizes for x in (base, ascii_)] + [noise("abcdefghijklmnopqrstuvwxyz", n) for n in sizes[4:]]
+    bad.append(prose(8 * 4096) + noise(base, 4 * 4096))  # a third of the chunks, whole ratio within its band
+    good = [prose(n) for n in sizes]
+    got = {r["doc_id"]: r for r in quality.quality_features(docs_of(spark, bad + good)).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert [i for i in range(len(bad)) if got[i]["kept"]] == [] and all(got[i]["kept"] for i in range(len(bad), len(got)))
+    assert all(got[2 * sizes.index(12000) + k]["chunk_high"] == 1.0 for k in (0, 1))
+
+
 def test_shards(spark, corpus):
     texts = corpus + ["same"] * 500 + [None] * 20
     got = shards.lpt_shards(docs_of(spark, texts, extra=True)).collect()

@@ -84,39 +84,38 @@ def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return half.join(b, (half["to_id"] == b["_t"]) & (half["map_id"] == b["_m"]), "left_semi").select("map_id", "from_id", "to_id").distinct()
 
 
-def co_citation(edges: DataFrame, least: int = 3, k: int = 15, most_out: int = 10_000) -> DataFrame:
-    """(work_id, other_id, shared, rank): works that the same works cite, at least ``least`` of them.
-
-    A work that cites more than ``most_out`` others says little about any pair and would make the
-    square of that many; such works are left out, as ``heavy_citers`` reports.
-    """
+def co_citation(edges: DataFrame, least: int = 3, k: int = 15, block: int = 2000) -> DataFrame:
+    """(work_id, other_id, shared, rank): works that the same works cite, at least ``least`` of them."""
     e = edges.select("from_id", "to_id").distinct()
-    out = e.groupBy("from_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n").between(2, most_out)).select("from_id")
-    e = e.join(out, "from_id")
-    pairs = e.select("from_id", F.col("to_id").alias("a")).join(e.select("from_id", F.col("to_id").alias("b")), "from_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    cited = e.groupBy("to_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("to_id")  # fewer can't share as many
+    pairs = _pairs(e.join(cited, "to_id", "left_semi"), "from_id", "to_id", block).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
     return _both_ways(pairs, "shared", k)
 
 
-def heavy_citers(edges: DataFrame, most_out: int = 10_000) -> DataFrame:
-    """(from_id, n): what ``co_citation`` leaves out."""
-    return edges.distinct().groupBy("from_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_out)
-
-
-def bibliographic_coupling(edges: DataFrame, least: float = 0.2, k: int = 15, most_in: int = 10_000) -> DataFrame:
-    """(work_id, other_id, coupling, rank): Jaccard similarity of reference lists.
-
-    References with more than ``most_in`` citers are left out of the overlap, not of the list sizes.
-    """
+def bibliographic_coupling(edges: DataFrame, least: float = 0.2, k: int = 15, block: int = 2000) -> DataFrame:
+    """(work_id, other_id, coupling, rank): Jaccard similarity of reference lists."""
     e = edges.select("from_id", "to_id").distinct()
     size = e.groupBy("from_id").agg(F.count(F.lit(1)).alias("n"))
-    common = e.groupBy("to_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n").between(2, most_in)).select("to_id")
-    e = e.join(common, "to_id")
-    pairs = e.select("to_id", F.col("from_id").alias("a")).join(e.select("to_id", F.col("from_id").alias("b")), "to_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("_i"))
+    pairs = _pairs(e, "to_id", "from_id", block).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_i"))
     na, nb = size.select(F.col("from_id").alias("a"), F.col("n").alias("_na")), size.select(F.col("from_id").alias("b"), F.col("n").alias("_nb"))
     jaccard = F.col("_i") / (F.col("_na") + F.col("_nb") - F.col("_i"))
     return _both_ways(pairs.join(na, "a").join(nb, "b").select("a", "b", jaccard.alias("coupling")).where(F.col("coupling") >= least), "coupling", k)
 
 
+def _pairs(rows: DataFrame, key: str, member: str, block: int) -> DataFrame:
+    """(a, b), a < b: all pairs of members of each key, a row for each key that has both.
+
+    Members of a key with more than ``block`` of them are dealt by hash to blocks, and each pair of
+    blocks is joined on its own, so that one key is the work of many tasks. ``rows`` are distinct.
+    """
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    own = F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int").alias("_own")
+    dealt = rows.join(n, key).select(key, F.col(member).alias("a"), own, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+    dealt = dealt.select(key, F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "a", "_own")
+    other = dealt.select(key, "_i", "_j", F.col("a").alias("b"), F.col("_own").alias("_its"))
+    return dealt.join(other, [key, "_i", "_j"]).where("a < b AND (_i = _j OR _own <> _its)").select("a", "b")
+
+
 def _both_ways(pairs: DataFrame, value: str, k: int) -> DataFrame:
     both = pairs.select(F.col("a").alias("work_id"), F.col("b").alias("other_id"), value).union(pairs.select(F.col("b").alias("work_id"), F.col("a").alias("other_id"), value))
     order = Window.partitionBy("work_id").orderBy(F.desc(value), "other_id")

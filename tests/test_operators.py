@@ -126,3 +126,22 @@ def test_entity_match(spark):
     rows = spark.createDataFrame([("10.1/a", None, "x", 1, "10.1/b", None, "x", 1), (None, "1.2", "x", 1, None, "1.2v3", "y", 5), (None, None, "deep nets", 2000, None, None, "deep nets", 2000), (None, None, "abc", 2000, None, None, "xyz", 2000)], schema)
     got = [tuple(r["m"])[:2] for r in rows.select(text.entity_match(side("a"), side("b")).alias("m")).collect()]
     assert got == [(False, 0.0), (True, 0.98), (True, 0.95), (False, 0.0)]
+
+
+@pytest.mark.parametrize("block", [3, 2000])
+def test_pairs_of_hubs(spark, block):
+    hub = [(0, t) for t in range(30)] + [(f, t) for f in (1, 2, 3) for t in range(8 * f)]
+    edges = spark.createDataFrame(hub + [(0, 1)], "from_id long, to_id long")
+    refs = {f: {t for g, t in hub if g == f} for f in range(4)}
+    shared = {(a, b): sum(a in r and b in r for r in refs.values()) for a in range(30) for b in range(30) if a != b}
+    got = {(r["work_id"], r["other_id"]): r["shared"] for r in graph.co_citation(edges, least=2, k=100, block=block).collect()}
+    assert got == {p: n for p, n in shared.items() if n >= 2}
+    got = {(r["work_id"], r["other_id"]): r["coupling"] for r in graph.bibliographic_coupling(edges, k=100, block=block).collect()}
+    assert got == pytest.approx({(a, b): len(refs[a] & refs[b]) / len(refs[a] | refs[b]) for a in refs for b in refs if a != b})
+
+
+def test_pairs_of_a_hub_beyond_ten_thousand(spark):
+    pair = [(1, -1), (1, -2), (2, -1), (2, -2)]
+    cites = spark.range(10_001).select(F.lit(0).cast("long").alias("from_id"), (-F.col("id") - 1).alias("to_id"))
+    got = graph.co_citation(cites.union(spark.createDataFrame(pair, "a long, b long")), least=3).collect()
+    assert {(r["work_id"], r["other_id"], r["shared"]) for r in got} == {(-1, -2, 3), (-2, -1, 3)}

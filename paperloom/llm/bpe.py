@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from paperloom.llm.words import in_groups
+from paperloom.llm.words import GROUP, text_groups
 
 LETTER, NUMBER, OTHER, QUOTE1, QUOTE2, SPACE, BLANK, LAST_SPACE, LAST_BLANK, END, PAD = range(11)
 START, JOIN, IN_LETTERS, IN_NUMBERS, IN_OTHER, ONE_MORE, TWO_MORE, QUOTED, IN_BLANKS = range(9)
@@ -128,6 +128,8 @@ class Tokenizer:
         for word, rank in self.ranks.items():
             self.words[rank] = word
         self.decimal = [str(i) for i in range(len(self.words))]
+        self.bytes, self.sizes = np.frombuffer(b"".join(self.words), dtype=np.uint8), np.array([len(w) for w in self.words])
+        self.begins = np.cumsum(self.sizes) - self.sizes  # where each token lies in `bytes`
         self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
         self.pairs = {}  # any two tokens whose bytes together are a token
         for word, rank in self.ranks.items():
@@ -204,7 +206,7 @@ class Tokenizer:
             begin = end + 1
         return out
 
-    def encode_all(self, texts: list[str | None], most: int = 1 << 20) -> Iterator[list[int]]:
+    def encode_all(self, texts: list[str | None], most: int = GROUP) -> Iterator[list[int]]:
         """Token ids of each text in order, with at most about ``most`` code points laid out at once."""
         group, size = [], 0
         for text in texts:
@@ -221,12 +223,25 @@ class Tokenizer:
             size += len(text) + 1
         yield from self.encode_batch(group)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.words.__getitem__, ids))
-
     def offsets(self, ids: list[int]) -> np.ndarray:
         """Byte offset at which each token begins, with the length of the text at the end."""
-        return np.concatenate([[0], np.cumsum([len(self.words[i]) for i in ids], dtype=np.int64)])
+        return np.concatenate([[0], np.cumsum(self.sizes[np.array(ids, dtype=np.int64)], dtype=np.int64)])
+
+    def decode(self, ids: list[int], offsets: np.ndarray, most: int = 1 << 16) -> bytes:
+        """The text's bytes: those of every token are put at its offset, ``most`` tokens at a time."""
+        ids, out = np.array(ids, dtype=np.int64), np.empty(int(offsets[-1]), dtype=np.uint8)
+        for k in range(0, len(ids), most):
+            part, to = ids[k : k + most], offsets[k : k + most + 1]
+            from_token = np.repeat(self.begins[part] - to[:-1], np.diff(to))
+            out[to[0] : to[-1]] = self.bytes[np.arange(to[0], to[-1]) + from_token]
+        return out.tobytes()
+
+    def stretch(self, ids: list[int], offsets: np.ndarray, begin: int, end: int) -> bytes:
+        """The bytes from ``begin`` to ``end`` of the text, from only those tokens that hold them."""
+        if begin >= end:
+            return b""
+        a, b = int(np.searchsorted(offsets, begin, "right")) - 1, int(np.searchsorted(offsets, end, "left"))
+        return self.decode(ids[a:b], offsets[a : b + 1] - offsets[a])[begin - int(offsets[a]) : end - int(offsets[a])]
 
 
 def parts(text: str, most: int) -> Iterator[str]:
@@ -255,19 +270,19 @@ def tokenizer(rank_file: bytes) -> Tokenizer:
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Replace ``text`` by ``ids`` (array<int>) and ``offsets`` (array<bigint>, byte offset of each token).
+    """Replace ``text`` by ``ids`` (array<int>) and ``offsets`` (array<bigint>, byte offset of each token, and the text's length).
 
     ``vocabulary`` is the path of a rank file on the driver; its bytes go to the tasks. A null text
-    counts as empty and gives empty arrays; other columns pass through, repeated rows each give a row.
+    counts as empty and gives no ids and the offset 0; other columns pass through, repeated rows each give a row.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(_read(vocabulary))  # one vocabulary file
     rest = [c for c in docs.columns if c not in ("text", "ids", "offsets")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(ranks.value)
-        for batch in batches:
-            ids = list(t.encode_all(batch.column("text").to_pylist()))
-            columns = [batch.column(c) for c in rest] + [pa.array(ids, pa.list_(pa.int32())), pa.array([t.offsets(i)[:-1] for i in ids], pa.list_(pa.int64()))]
+        for rows, texts in text_groups(batches):
+            ids = list(t.encode_all(texts))
+            columns = [rows.column(c) for c in rest] + [pa.array(ids, pa.list_(pa.int32())), pa.array([t.offsets(i) for i in ids], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*rest, "ids", "offsets"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest), "ids array<int>, offsets array<bigint>"])
@@ -275,45 +290,53 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
-    """Replace ``ids`` (null: none) by ``text``; bytes that are not UTF-8 become replacement characters."""
+    """Replace ``ids`` (null: none) by ``text``; bytes that are not UTF-8 become replacement characters.
+
+    ``offsets``, where given, say where each token's bytes go; else they are found again. Other
+    columns pass through, each row gives a row.
+    """
     ranks = tokens.sparkSession.sparkContext.broadcast(_read(vocabulary))
     rest = [c for c in tokens.columns if c not in ("ids", "offsets", "text")]
+    placed = "offsets" in tokens.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(ranks.value)
         for batch in batches:
-            texts = [t.decode(ids or []).decode(errors="replace") for ids in batch.column("ids").to_pylist()]
+            ids = [x or [] for x in batch.column("ids").to_pylist()]
+            given = batch.column("offsets").to_pylist() if placed else [None] * len(ids)
+            texts = [t.decode(x, t.offsets(x) if at is None else np.array(at)).decode(errors="replace") for x, at in zip(ids, given)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string())], names=[*rest, "text"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name in rest), "text string"])
-    return tokens.select(*rest, "ids").mapInArrow(run, schema)
+    return tokens.select(*rest, "ids", *["offsets"] * placed).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
-    """Encode every text and decode its ids: doc_id, n_tokens, ids_sha256, decoded_sha256.
+    """Encode every text and decode its ids by their offsets: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    The same tokenizer as ``encode`` and ``decode`` in one task; the ids themselves leave it (as the
-    column ``ids``) only if asked for. A null or empty text has no tokens and the digests of the empty string; each row gives a row.
+    The same tokenizer as ``encode`` and ``decode`` in one task; ids and offsets leave it (as columns
+    of these names) only if asked for. A null or empty text has no tokens and the digests of the empty
+    string; each row gives a row; other columns are not read. A text is cut for the work only before
+    single spaces; one without any is laid out whole.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(_read(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(ranks.value)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for at in in_groups(texts):
-                count, ids_hex, text_hex, every = [], [], [], []
-                for ids in t.encode_all(texts[at]):
-                    count.append(len(ids))
-                    ids_hex.append(hashlib.sha256(",".join(map(t.decimal.__getitem__, ids)).encode()).hexdigest())
-                    text_hex.append(hashlib.sha256(t.decode(ids)).hexdigest())
-                    if with_ids:
-                        every.append(ids)
-                columns = [batch.column("doc_id").slice(at.start, len(count)), pa.array(count, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
-                columns += [pa.array(every, pa.list_(pa.int32()))] * with_ids
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+        for rows, texts in text_groups(batches):
+            count, ids_hex, text_hex, every, places = [], [], [], [], []
+            for ids in t.encode_all(texts):
+                offsets = t.offsets(ids)
+                count.append(len(ids))
+                ids_hex.append(hashlib.sha256(",".join(map(t.decimal.__getitem__, ids)).encode()).hexdigest())
+                text_hex.append(hashlib.sha256(t.decode(ids, offsets)).hexdigest())
+                if with_ids:
+                    every.append(ids), places.append(offsets)
+            columns = [rows.column("doc_id"), pa.array(count, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
+            columns += [pa.array(every, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int64()))] if with_ids else []
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "offsets"] * with_ids)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, offsets array<bigint>" * with_ids)
 
 
 def _read(path: str) -> bytes:

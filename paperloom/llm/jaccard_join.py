@@ -1,9 +1,11 @@
 """N-gram Jaccard join by T-occurrence search.
 
-Blocks. Every set is cut into parts by hash, more parts than two similar sets can have differences,
-so two similar sets agree on some part as a whole; documents that share a part's hash are chained,
-and the chains' components are the blocks. A part holds about ten shingles, so blocks are families
-of copies, not documents that share a phrase.
+Blocks. In one order of all shingles, two similar sets agree on several of the first few of each: two
+that overlap in t shingles share at least l among their first n - t + l. Spark finds which of these
+no other set has; they come first in a second order, in which one of the first n - t + 1 is still
+shared. So a set that has enough shingles of its own there is linked with nothing, whatever phrases it
+has in common with others. Sets that share such a shingle and whose sizes allow it are chained, and
+the chains' components are the blocks: families of copies.
 
 Search. Within a block, each set asks the others' inverted lists which documents reach the overlap
 that the threshold needs: short lists are merged through a heap, the long ones are only probed by
@@ -24,10 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.components import connected_components
-from paperloom.llm.words import in_groups, mix, shingle_sets
+from paperloom.llm.repeats import keyed
+from paperloom.llm.words import in_groups, mix, shingle_sets, text_groups
 from paperloom.tables import stable
 
-GROWTH = 1.5  # sizes of a level lie within this factor
+NAMELESS = 1 << 62  # from here on, a node stands for copies none of which has a doc_id
 
 
 def needed(a: int, b: int, percent: int) -> int:
@@ -35,43 +38,57 @@ def needed(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def levels(n: int, percent: int) -> list[tuple[int, int, int]]:
-    """(level, number of parts, empty parts to overlook) in which a set of n shingles takes part.
-
-    Level l holds sizes from GROWTH ** l on. Of a similar pair, the smaller set also enters the next
-    level if it can reach it, so both meet in the larger one's level. Within a level two similar
-    sets differ in at most a + b - 2 x needed(a, b) shingles, most at its largest sizes. There are a
-    few parts more, so that two sets with that many empty parts still agree on a full one.
-    """
-    own = int(math.log(n) / math.log(GROWTH) + 1e-9)
-    out = []
-    for level in (own, own + 1):
-        low, high = math.ceil(GROWTH**level - 1e-9), math.ceil(GROWTH ** (level + 1) - 1e-9)
-        differences = (2 * high * (100 - percent)) // (100 + percent)
-        if differences and (level == own or n * 100 >= percent * low):  # sets without differences are equal, and one class
-            out.append((level, differences + 1 + spare(differences), spare(differences)))
-    return out
+def least_overlap(n: int, percent: int) -> int:
+    """Least overlap of a set of ``n`` shingles with any similar one."""
+    return -(-percent * n // 100)
 
 
-def spare(differences: int) -> int:
-    return 3 + differences // 100
+def shared_lead(least: int) -> int:
+    """Shingles that similar sets share among their first ones; it grows no faster than ``least``."""
+    return max(1, least // 8)
 
 
-def part_hashes(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """One hash for each part of each level; empty parts count only where a set has more than the spare ones."""
-    if not len(shingles):
+def leading(shingles: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
+    """Names of the first n - t + l shingles of a set (by hash), those of ``common`` (sorted) with bit 62 set."""
+    n = len(shingles)
+    if not n:
         return np.zeros(0, dtype=np.int64)
-    spread, found = mix(shingles, 3), []
-    for level, parts, overlook in levels(len(shingles), percent):
-        part = ((spread >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        begin = np.searchsorted(part[order], np.arange(parts, dtype=np.uint64))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(spread[order], dtype=np.uint64)])
-        total = sums[np.append(begin[1:], len(order))] - sums[begin]
-        hashes = mix(mix(total, level * 1_000_003 + 5) + np.arange(parts, dtype=np.uint64), 9)
-        full = np.bincount(part.astype(np.int64), minlength=parts) > 0
-        found.append(hashes[full] if parts - full.sum() <= overlook else hashes)
-    return np.concatenate([np.zeros(0, dtype=np.uint64), *found]).view(np.int64)
+    least = least_overlap(n, percent)
+    take = n - least + shared_lead(least)
+    order = mix(shingles, 3) >> np.uint64(2)
+    if take < n:
+        at = np.argpartition(order, take - 1)[:take]
+        shingles, order = shingles[at], order[at]
+    if len(common):
+        often = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
+        order |= often.astype(np.uint64) << np.uint64(62)
+    return order.view(np.int64)
+
+
+def emitted(n: int, percent: int, shared: list[int]) -> list[int]:
+    """Of the shared ones among the leading shingles, those within the first n - t + 1 once all others come before them."""
+    least = least_overlap(n, percent)
+    own = n - least + shared_lead(least) - len(shared)
+    return sorted(shared)[: max(0, n - least + 1 - own)]
+
+
+def common_shingles(texts: DataFrame, k: int, rows: int = 3000, least: int = 4, most: int = 20_000) -> np.ndarray:
+    """Shingles of several different sets among about ``rows`` documents drawn by hash, ``most`` of the commonest.
+
+    They are known to be shared and are dealt to many tasks; which ones they are doesn't change what is found.
+    """
+    part = min(1.0, rows / max(1, texts.count()))
+    drawn = texts.where(F.pmod(F.col("key"), F.lit(1 << 30)) < int(part * (1 << 30)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, raw in text_groups(batches):
+            sets = [s for s in shingle_sets(raw, k) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_keys(s)[0] for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["k1", "shingles"])
+
+    sets = drawn.select("text").mapInArrow(run, "k1 bigint, shingles array<bigint>").dropDuplicates(["k1"])
+    counts = sets.select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= least)
+    found = counts.orderBy(F.desc("count"), "s").limit(most).select("s").toArrow()
+    return np.sort(found.column("s").to_numpy().view(np.uint64))
 
 
 def set_keys(shingles: np.ndarray) -> tuple[int, int]:
@@ -80,64 +97,94 @@ def set_keys(shingles: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def shingle_table(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (keys of the set) and the hashes of its parts."""
+def shingle_table(texts: DataFrame, k: int) -> DataFrame:
+    """doc_id, key (hash of doc_id and text), n_shingles, k1 and k2 (keys of the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, raw in text_groups(batches):
+            sets = shingle_sets(raw, k)
+            keys = [set_keys(s) for s in sets]
+            numbers = [[len(s) for s in sets], [a for a, _ in keys], [b for _, b in keys]]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("key"), *(pa.array(x, pa.int64()) for x in numbers)], names=["doc_id", "key", "n_shingles", "k1", "k2"])
+
+    return texts.select("doc_id", "key", "text").mapInArrow(run, "doc_id bigint, key bigint, n_shingles bigint, k1 bigint, k2 bigint")
+
+
+def first_shingles(texts: DataFrame, classes: DataFrame, total: int, k: int, percent: int, salts: int = 64) -> DataFrame:
+    """(key, size, node) for the shingles by which sets can meet; node is the set's k1.
+
+    Copies give the same rows and count once; of a class with more than a thousandth of all rows
+    (there are under a thousand) only the document that stands for it is read.
+    """
+    crowd = classes.where(F.col("members") * 1000 > total).select("k1", "rep_key").collect()
+    known = texts.sparkSession.sparkContext.broadcast((common_shingles(texts, k), {r["k1"]: r["rep_key"] for r in crowd}))  # 20,000 numbers, a thousand pairs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, stands = known.value
+        for rows, raw in text_groups(batches):
+            tokens, nodes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for shingles, key in zip(shingle_sets(raw, k), rows.column("key").to_pylist()):
+                if len(shingles) and stands.get(node := set_keys(shingles)[0], key) == key:
+                    tokens.append(leading(shingles, percent, common))
+                    nodes.append(np.full(len(tokens[-1]), node))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes)], names=["token", "node"])
+
+    found = texts.select("key", "text").mapInArrow(run, "token bigint, node bigint")
+    common = F.col("token") >= 1 << 62
+    one = Window.partitionBy("token", "_salt")
+    found = found.withColumn("_salt", F.when(common, F.pmod(F.xxhash64("node"), F.lit(salts))).otherwise(0))
+    shared = found.withColumn("_least", F.min("node").over(one)).withColumn("_most", F.max("node").over(one)).where(common | (F.col("_least") != F.col("_most")))
+    lists = shared.groupBy("node").agg(F.collect_set("token").alias("shared"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for at in in_groups(texts):
-                sets = shingle_sets(texts[at], k)
-                keys = [set_keys(s) for s in sets]
-                columns = [
-                    batch.column("doc_id").slice(at.start, at.stop - at.start),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([a for a, _ in keys], pa.int64()),
-                    pa.array([b for _, b in keys], pa.int64()),
-                    pa.array([part_hashes(s, percent) for s in sets], pa.list_(pa.int64())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "k1", "k2", "parts"])
-
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, parts array<bigint>")
-
-
-def chains(rows: DataFrame, key: str, node: str) -> DataFrame:
-    """Edges (a, b) that join the nodes of each key into a chain, in one shuffle.
-
-    Rows are ordered by (key, node) over all partitions, so a key that holds a third of the rows is
-    spread over many tasks; neighbours within a partition are linked there, and the last row of a
-    partition to the first of the next one by their ends alone (a few rows a partition).
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("n_shingles", "node", "shared"))))
+            chosen = [(token, n, node) for n, node, tokens in rows for token in emitted(n, percent, tokens)]
+            columns = list(zip(*chosen)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["key", "size", "node"])
+
+    sized = lists.join(classes.select("k1", "n_shingles"), lists["node"] == classes["k1"]).select("n_shingles", "node", "shared")
+    return sized.mapInArrow(choose, "key bigint, size bigint, node bigint")
+
+
+def chains(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that join the nodes of each key into chains, from rows (key, size, node), in one shuffle.
+
+    Rows are ordered by (key, size, node) over all partitions, so a key that holds a third of the
+    rows is spread over many tasks. Neighbours are linked where the sizes can be those of similar
+    sets: what lies between two similar ones in this order is linked to both. The last row of a
+    partition and the first of the next are compared on the driver (two rows a partition).
     """
-    ordered = rows.select(F.col(key).alias("key"), F.col(node).alias("node")).repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    order = ["key", "size", "node"]
+    ordered = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = None
         for batch in batches:
-            keys, nodes = (batch.column(i).to_numpy() for i in (0, 1))
+            keys, sizes, nodes = (batch.column(i).to_numpy() for i in range(3))
             if not len(keys):
                 continue
             if last is None:
-                first = (int(keys[0]), int(nodes[0]))
+                first = (int(keys[0]), int(sizes[0]), int(nodes[0]))
             else:
-                keys, nodes = np.append(last[0], keys), np.append(last[1], nodes)
-            last = (int(keys[-1]), int(nodes[-1]))
-            link = (keys[1:] == keys[:-1]) & (nodes[1:] != nodes[:-1])
+                keys, sizes, nodes = (np.append(x, y) for x, y in zip(last, (keys, sizes, nodes)))
+            last = (int(keys[-1]), int(sizes[-1]), int(nodes[-1]))
+            link = (keys[1:] == keys[:-1]) & (nodes[1:] != nodes[:-1]) & (100 * sizes[:-1] >= percent * sizes[1:])
             pairs = np.unique(np.stack([nodes[:-1][link], nodes[1:][link]], axis=1), axis=0)
-            yield _edges(pairs[:, 0], pairs[:, 1], None)
+            yield _edges(pairs[:, 0], pairs[:, 1], None, None)
         if last is not None:
-            yield _edges(np.array([first[1], last[1]]), np.array([0, 1]), np.array([first[0], last[0]]))
+            yield _edges(np.array([first[2], last[2]]), np.array([0, 1]), np.array([first[0], last[0]]), np.array([first[1], last[1]]))
 
-    schema = "a bigint, b bigint, edge_key bigint, part int"
-    found = stable(ordered.mapInArrow(run, schema.replace(", part int", "")).select("*", F.spark_partition_id().alias("part")))
-    ends = sorted((r["part"], r["b"], r["edge_key"], r["a"]) for r in found.where("edge_key IS NOT NULL").collect())  # two rows a partition
-    across = [(x[3], y[3]) for x, y in zip(ends[1::2], ends[2::2]) if x[2] == y[2] and x[3] != y[3]]
+    found = stable(ordered.mapInArrow(run, "a bigint, b bigint, edge_key bigint, edge_size bigint").select("*", F.spark_partition_id().alias("part")))
+    ends = sorted((r["part"], r["b"], r["edge_key"], r["edge_size"], r["a"]) for r in found.where("edge_key IS NOT NULL").collect())
+    across = [(x[4], y[4]) for x, y in zip(ends[1::2], ends[2::2]) if x[2] == y[2] and x[4] != y[4] and 100 * x[3] >= percent * y[3]]
     edges = found.where("edge_key IS NULL").select("a", "b").distinct()
     return edges.union(edges.sparkSession.createDataFrame(across, "a bigint, b bigint")) if across else edges
 
 
-def _edges(a: np.ndarray, b: np.ndarray, key: np.ndarray | None) -> pa.RecordBatch:
-    key = pa.nulls(len(a), pa.int64()) if key is None else pa.array(key, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), key], names=["a", "b", "edge_key"])
+def _edges(a: np.ndarray, b: np.ndarray, key: np.ndarray | None, size: np.ndarray | None) -> pa.RecordBatch:
+    ends = [pa.nulls(len(a), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (key, size)]
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *ends], names=["a", "b", "edge_key", "edge_size"])
 
 
 class InvertedLists:
@@ -145,49 +192,53 @@ class InvertedLists:
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(s) for s in sets])
-        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
         shingles, number = np.unique(np.concatenate(sets), return_inverse=True)
-        order = np.argsort(number, kind="stable")
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(shingles)))]).tolist()
-        self.lists = [owner[order[a:b]] for a, b in zip(bounds, bounds[1:])]
-        cut = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.own = [number[a:b].tolist() for a, b in zip(cut, cut[1:])]
+        number = number.astype(np.int32)
+        self.owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[np.argsort(number, kind="stable")]
+        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(shingles)))])
+        self.cut = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.number = number
+        self.with_others = np.diff(self.bounds)[number] > 1  # a list of the set alone finds nothing
+        self.lists_with_others = np.diff(np.concatenate([[0], np.cumsum(self.with_others)])[self.cut])
+        self.shrunk: dict[int, np.ndarray] = {}
         self.open = np.ones(len(sets), dtype=bool)
 
     def live(self, token: int) -> np.ndarray:
         """The list of a shingle without what was reached; it is kept that way."""
-        got = self.lists[token]
-        if len(got) and not self.open[got].all():
-            got = self.lists[token] = got[self.open[got]]
+        got = self.shrunk.get(token)
+        if got is None:
+            got = self.owner[self.bounds[token] : self.bounds[token + 1]]
+        if len(got) and not (still := self.open[got]).all():
+            got = self.shrunk[token] = got[still]
         return got
 
-    def search(self, query: int, percent: int, mu: float = 0.01) -> list[int]:
-        """Open documents that are similar to ``query``."""
+    def search(self, query: int, percent: int, mu: float = 0.002) -> list[int]:
+        """Open documents that are similar to ``query``.
+
+        ``mu`` weighs an entry merged against a probe: the smaller, the more lists count as long.
+        """
         n = int(self.sizes[query])
         least = max(1, -(-percent * n // 100))  # the overlap with the smallest set that can be similar
-        lists = sorted((got for t in self.own[query] if len(got := self.live(t))), key=len)
+        if self.lists_with_others[query] < least:
+            return []
+        at = slice(self.cut[query], self.cut[query + 1])
+        own = self.number[at][self.with_others[at]].tolist()
+        lists = sorted((got for t in own if len(got := self.live(t))), key=len)
         if len(lists) < least:
             return []
         n_long = min(least - 1, int(least / (mu * math.log2(len(lists[-1]) + 1) + 1)))
         short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        if len(short[-1]) > 64:  # many documents in every list: the merge as a count
-            merged = np.bincount(np.concatenate(short), minlength=len(self.sizes))
-            docs = np.flatnonzero(merged >= least - n_long)
-            counts = merged[docs]
-        else:
-            merged = ((d, sum(1 for _ in run)) for d, run in groupby(heapq.merge(*(s.tolist() for s in short))))
-            found = [(d, c) for d, c in merged if c >= least - n_long]
-            docs, counts = np.array([d for d, _ in found], dtype=np.int64), np.array([c for _, c in found], dtype=np.int64)
-        if not len(docs):
-            return []
-        if long and len(docs) * n_long > sum(map(len, long)):  # more probes than entries
-            counts = counts + np.bincount(np.concatenate(long), minlength=len(self.sizes))[docs]
-        else:
-            for probe in long:
-                at = np.searchsorted(probe, docs)
-                counts += probe[np.minimum(at, len(probe) - 1)] == docs
-        sizes = self.sizes[docs]
-        return docs[counts * (100 + percent) >= percent * (n + sizes)].tolist()
+        merged = ((d, sum(1 for _ in run)) for d, run in groupby(heapq.merge(*(s.tolist() for s in short))))
+        docs, counts = (np.array(x, dtype=np.int64) for x in (list(zip(*merged)) or ((), ())))
+        need = -(-percent * (n + self.sizes[docs]) // (100 + percent))
+        for k in range(0, n_long + 1, 16):  # whoever can't reach the overlap any more drops out
+            able = (counts + (n_long - k) >= need) & (need <= np.minimum(n, self.sizes[docs]))
+            docs, counts, need = docs[able], counts[able], need[able]
+            if not len(docs):
+                return []
+            for probe in long[k : k + 16]:
+                counts += probe[np.minimum(np.searchsorted(probe, docs), len(probe) - 1)] == docs
+        return docs[counts >= need].tolist()
 
 
 def reach(sets: list[np.ndarray], percent: int) -> list[int]:
@@ -208,42 +259,50 @@ def reach(sets: list[np.ndarray], percent: int) -> list[int]:
     return root
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: int = 1000) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row.
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: int = 600) -> DataFrame:
+    """doc_id, n_shingles, component_id, key and kept for every row.
 
     Words are lower-cased (A-Z) runs of bytes other than 0x20 and 0x09 to 0x0D; a set is the
     distinct k-word shingles, or the whole sequence if it is shorter. Two documents link when
-    100 x overlap >= percent x union. component_id is the smallest doc_id that links reach.
-
-    Null or empty texts, or texts without a word: n_shingles 0, linked with nothing. Equal sets are
-    one node from the start. Blocks above ``block`` sets are cut by hash and every two pieces
-    searched together, so a task holds 2 x ``block`` sets at most. A null doc_id takes part, but
-    never names a component. Repeated rows each give a row; an empty table gives none.
+    100 x overlap >= percent x union. component_id is the smallest doc_id that links reach. key is a
+    hash of doc_id and text; kept marks one document of each component (equal rows are marked alike).
+
+    Null or empty texts, or texts without a word: n_shingles 0, linked with nothing, kept. Equal sets
+    are one node from the start. Blocks above ``block`` sets are cut by hash and every two pieces
+    searched together, so a task holds 2 x ``block`` sets at most. A null doc_id takes part like any
+    other, but names no component: one of null doc_ids only has a null component_id. doc_ids lie
+    below 2 ** 62. Repeated rows each give a row; an empty table gives none. Other columns are not read.
     """
     spark = docs.sparkSession
-    sets = stable(shingle_table(docs, k, percent))
-    narrow = sets.select("doc_id", "n_shingles", "k1", "k2")
-    classes = stable(narrow.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"))
-    parts = sets.where("n_shingles > 0").join(classes, (sets["k1"] == classes["k1"]) & (sets["k2"] == classes["k2"]) & (sets["doc_id"] == classes["rep"]), "left_semi").select("k1", F.explode("parts").alias("part"))
-    family = connected_components(chains(parts, "part", "k1"))
+    texts = keyed(docs)
+    narrow = stable(shingle_table(texts, k))
+    node = F.coalesce("doc_id", F.lit(NAMELESS) + F.shiftrightunsigned("k1", 3))
+    classes = narrow.where("n_shingles > 0").groupBy("k1", "k2").agg(
+        F.min(node).alias("rep"), F.min_by("key", F.struct(node, "key")).alias("rep_key"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("members")
+    )
+    classes = stable(classes)
+    meeting = stable(first_shingles(texts, classes, narrow.count(), k, percent))
+    family = connected_components(chains(meeting, percent))
     family = family.union(family.select(F.col("root").alias("node"), "root").distinct())
-    members = stable(classes.join(family, classes["k1"] == family["node"]).select("rep", "k1", "k2", "root"))
+    members = stable(classes.join(family, classes["k1"] == family["node"]).select("rep", "rep_key", "k1", "k2", "root"))
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
     total = members.count()
     many = max(1, total // (block // 2))
     cuts = F.ceil(F.col("_n") / block).cast("int")
     placed = members.join(sizes, "root").withColumn("_cuts", cuts).withColumn("_cut", F.pmod(F.xxhash64("rep"), F.col("_cuts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1))
-    placed = placed.select("rep", "k1", "k2", "root", "_cuts", "_cut", other.alias("_other")).select(
+    placed = placed.select("rep", "rep_key", "k1", "k2", "root", "_cuts", "_cut", other.alias("_other")).select(
         "rep",
+        "rep_key",
         "k1",
         "k2",
         F.when(F.col("_cuts") == 1, F.pmod(F.xxhash64("root"), F.lit(many))).otherwise(F.col("root")).alias("bucket"),
         F.when(F.col("_cuts") == 1, -1).otherwise(F.least("_cut", "_other")).alias("i"),
         F.when(F.col("_cuts") == 1, -1).otherwise(F.greatest("_cut", "_other")).alias("j"),
     )
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    candidates = texts.join(placed, texts["doc_id"] == placed["rep"]).select("rep", "k1", "k2", "bucket", "i", "j", "text")
+    texts = texts.select("key", "text")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # the search is heavy for its bytes, by which tasks would be merged
+    candidates = texts.join(placed, texts["key"] == placed["rep_key"]).select("rep", "k1", "k2", "bucket", "i", "j", "text").repartition(tasks, "bucket", "i", "j")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         found, reps, seen = [], [], set()
@@ -262,6 +321,11 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: in
 
     links = candidates.groupBy("bucket", "i", "j").applyInPandas(run, "a bigint, b bigint")
     roots = connected_components(links)
-    named = classes.join(roots, classes["rep"] == roots["node"], "left").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.coalesce("root", "rep").alias("_root"))
+    first = classes.select(F.col("rep").alias("_first"), F.col("rep_key").alias("_first_key"))
+    named = classes.join(roots, classes["rep"] == roots["node"], "left").select("k1", "k2", "rep_key", F.coalesce("root", "rep").alias("_root"), F.col("root").isNotNull().alias("_moved"))
+    moved = named.where("_moved").join(first, F.col("_root") == F.col("_first")).drop("_first")
+    named = moved.unionByName(named.where("NOT _moved").withColumn("_first_key", F.col("rep_key")))
+    named = named.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_root", "_first_key")
     linked = (F.col("n_shingles") > 0) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
-    return narrow.join(named, linked, "left").select("doc_id", "n_shingles", F.coalesce("_root", "doc_id").alias("component_id"))
+    component = F.when(F.col("_root").isNull(), F.col("doc_id")).when(F.col("_root") < NAMELESS, F.col("_root"))
+    return narrow.join(named, linked, "left").select("doc_id", "n_shingles", component.alias("component_id"), "key", F.coalesce(F.col("key") == F.col("_first_key"), F.lit(True)).alias("kept"))

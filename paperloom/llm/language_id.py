@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.words import in_groups
+from paperloom.llm.words import text_groups
 
 STEPS = 96
 PAD = 256  # the symbol after a text's end
@@ -90,7 +90,7 @@ class Network:
         scores /= scores.sum(axis=-1, keepdims=True)
         return scores
 
-    def train(self, sequences: np.ndarray, target: np.ndarray, passes: int = 160, batch: int = 256, rate: float = 0.03, seed: int = 2) -> None:
+    def train(self, sequences: np.ndarray, target: np.ndarray, passes: int = 400, batch: int = 192, rate: float = 0.03, seed: int = 2) -> None:
         """Adam on the cross entropy of every position that holds a byte. ``sequences``: rows of STEPS symbols."""
         rng, h = np.random.default_rng(seed), self.ahead.h
         groups = [self.ahead.weights, self.behind.weights, self.out]
@@ -146,7 +146,7 @@ def in_fold(doc_id: Column, folds: int, held: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == held, F.lit(False))
 
 
-def train_network(docs: DataFrame, per_language: int = 700, span: int = 2 * STEPS, passes: int = 160) -> Network | None:
+def train_network(docs: DataFrame, per_language: int = 700, span: int = 2 * STEPS, passes: int = 400) -> Network | None:
     """Fit on at most about ``per_language`` rows of each language outside the held-out fold.
 
     Of each sampled row, a stretch of ``span`` characters at a place drawn by hash; rows are drawn by
@@ -178,23 +178,21 @@ def identify(docs: DataFrame, network: Network | None = None) -> DataFrame:
     network = network or train_network(docs)
     added = ["held_out", "lang_pred", "score"]
     rest = [f for f in docs.schema if f.name not in added]
-    plain = docs.select(*[f.name for f in rest], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"), in_fold(F.col("doc_id"), 4, 2).alias("held_out"))
+    letter = "_" * (1 + max(map(len, docs.columns))) + "letter"  # no column of the input has this name
+    plain = docs.select(*[f.name for f in rest], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(letter), in_fold(F.col("doc_id"), 4, 2).alias("held_out"))
     if network is None:
-        return plain.drop("_letter").withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
+        return plain.drop(letter).withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
     model = docs.sparkSession.sparkContext.broadcast(network)  # a few thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value
         names = np.array([*net.languages, "und"], dtype=object)
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            letter = batch.column("_letter").to_numpy(zero_copy_only=False)
+        for batch, texts in text_groups(batches):
+            some = np.flatnonzero(batch.column(letter).to_numpy(zero_copy_only=False))
             best, score = np.full(len(texts), len(net.languages)), np.zeros(len(texts))
-            for at in in_groups(texts):
-                some = np.flatnonzero(letter[at]) + at.start
-                if len(some):
-                    mean = net.documents([texts[i] for i in some.tolist()])
-                    best[some], score[some] = mean.argmax(axis=1), np.minimum(1.0, mean.max(axis=1))
+            if len(some):
+                mean = net.documents([texts[i].encode() for i in some.tolist()])
+                best[some], score[some] = mean.argmax(axis=1), np.minimum(1.0, mean.max(axis=1))
             kept = [batch.column(f.name) for f in rest] + [batch.column("held_out")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(names[best], pa.string()), pa.array(score)], names=[*(f.name for f in rest), *added])
 

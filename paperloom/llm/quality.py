@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.words import Prefix, Words, in_groups
+from paperloom.llm.words import Words, chained, text_groups
 
 #: The characters that count as symbols.
 SYMBOL = np.zeros(256, dtype=bool)
@@ -78,32 +78,29 @@ def quality_features(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=bands.level, write_checksum=False, write_content_size=False)
         shrink = compressor.compress
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for at in in_groups(texts):
-                own = [t or b"" for t in texts[at]]
-                words = Words(own)
-                windows = Prefix(words.hashes(), 61)
-                inner = np.append(0, np.cumsum((words.bytes & 0xC0) != 0x80))  # code points up to each byte
-                chars = np.append(0, np.cumsum(inner[words.end] - inner[words.start]))
-                symbols = np.append(0, np.cumsum(SYMBOL[words.bytes]))
-                rows = []
-                for i, text in enumerate(own):
-                    a, b, begin = int(words.first[i]), int(words.first[i + 1]), int(words.text_start[i])
-                    start = np.arange(a, max(a, b - 4))
-                    n, again = b - a, repeated(windows.hash(start, start + 5), 5)
-                    failed = n < 10 or 100 * again > 20 * n
-                    ratio = len(shrink(text)) / len(text) if text else 1.0
-                    pieces = [text[k : k + bands.chunk] for k in range(0, len(text), bands.chunk)]
-                    found = [bands.verdict(len(p), len(shrink(p)) / len(p)) for p in pieces] if len(pieces) > 1 else [bands.verdict(len(text), ratio)]
-                    low, high = found.count(-1) / len(found), found.count(1) / len(found)
-                    bad = sum(len(p) for p, v in zip(pieces, found) if v)  # a short last chunk counts for little
-                    good = not failed and bands.verdict(len(text), ratio) == 0 and bad <= bands.bad_chunks * len(text)
-                    rows.append((n, int(chars[b] - chars[a]), int(symbols[begin + len(text)] - symbols[begin]), duplicate_lines(text), again, failed, ratio, low, high, good))
-                names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "chunk_low", "chunk_high", "kept"]
-                kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.float64()] * 3 + [pa.bool_()]
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at.start, len(own)), *columns], names=["doc_id", *names])
+        for batch, texts in text_groups(batches):
+            own = [t or b"" for t in texts]
+            words = Words(own)
+            windows = chained(words.hashes(), 5, 61)
+            inner = np.append(0, np.cumsum((words.bytes & 0xC0) != 0x80))  # code points up to each byte
+            chars = np.append(0, np.cumsum(inner[words.end] - inner[words.start]))
+            symbols = np.append(0, np.cumsum(SYMBOL[words.bytes]))
+            rows = []
+            for i, text in enumerate(own):
+                a, b, begin = int(words.first[i]), int(words.first[i + 1]), int(words.text_start[i])
+                n, again = b - a, repeated(windows[a : max(a, b - 4)], 5)
+                failed = n < 10 or 100 * again > 20 * n
+                ratio = len(shrink(text)) / len(text) if text else 1.0
+                pieces = [text[k : k + bands.chunk] for k in range(0, len(text), bands.chunk)]
+                found = [bands.verdict(len(p), len(shrink(p)) / len(p)) for p in pieces] if len(pieces) > 1 else [bands.verdict(len(text), ratio)]
+                low, high = found.count(-1) / len(found), found.count(1) / len(found)
+                bad = sum(len(p) for p, v in zip(pieces, found) if v)  # a short last chunk counts for little
+                good = not failed and bands.verdict(len(text), ratio) == 0 and bad <= bands.bad_chunks * len(text)
+                rows.append((n, int(chars[b] - chars[a]), int(symbols[begin + len(text)] - symbols[begin]), duplicate_lines(text), again, failed, ratio, low, high, good))
+            names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "chunk_low", "chunk_high", "kept"]
+            kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.float64()] * 3 + [pa.bool_()]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *names])
 
     schema = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, ratio double, chunk_low double, chunk_high double, kept boolean"
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)

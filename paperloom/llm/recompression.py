@@ -5,7 +5,7 @@ of its hash in that round, and a left symbol joins the right symbol after it. A
 what it stands for, so tasks on any machine give equal substrings equal interior symbols without
 asking each other. Every symbol also knows the stretch of words that decides it; wherever that
 stretch recurs, so does the symbol. A window of words is named by the highest symbol decided within
-it and the words that decide it; documents meet at shared names in one Spark shuffle, and equal stretches and windows verify.
+it and the words that decide it; documents meet at shared names in one Spark shuffle, and equal digests of stretches and windows verify.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.repeats import RUN_SCHEMA, covered, doc_key, equal_windows, hot_names, meet, pack, tag_of, unpack, windows_to_runs, with_stretches
-from paperloom.llm.words import M2, Prefix, Words, in_groups, mix
+from paperloom.llm.repeats import RUN_COLUMNS, RUN_SCHEMA, covered, equal_windows, hot_names, keyed, meet, pack, unpack, windows_to_runs, with_stretches
+from paperloom.llm.words import GROUP, M2, Prefix, Words, digests, mix, text_groups
 from paperloom.tables import stable
 
 FAR = np.int64(1) << np.int64(40)  # a context that reaches past the text decides nothing
@@ -113,24 +113,34 @@ def _least_over(a: np.ndarray, b: np.ndarray, values: np.ndarray, n: int, width:
     return table[0]
 
 
+def pieces(words: Words, hashes: np.ndarray, width: int, most: int = GROUP // 4) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(word hashes, first word of each text, words before): one long text comes in pieces that overlap by ``width`` - 1 words."""
+    if len(words.first) > 2 or len(hashes) <= most + width:
+        yield hashes, words.first, 0
+        return
+    for begin in range(0, len(hashes) - width + 1, most):
+        part = hashes[begin : begin + most + width - 1]
+        yield part, np.array([0, len(part)]), begin
+
+
 def run_table(docs: DataFrame, width: int, rounds: int) -> DataFrame:
+    """Rows (name, seg, doc, key, at) of ``keyed`` texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, keys = batch.column("text").to_pylist(), batch.column("doc").to_numpy()
-            for at in in_groups(texts):
-                words = Words(texts[at])
-                hashes = words.hashes()
-                names, places, valid, text = window_names(hashes, words.first, width, rounds)
+        for rows, texts in text_groups(batches):
+            doc, key = rows.column("doc").to_numpy(), rows.column("key").to_numpy()
+            words = Words(texts)
+            for hashes, first, before in pieces(words, words.hashes(), width):
+                names, places, valid, text = window_names(hashes, first, width, rounds)
                 start, count = windows_to_runs(places, valid, text)
                 if not len(start):
                     continue
-                seg = Prefix(hashes, 21).hash(start, start + count + width - 1)
-                tags = np.array([tag_of(t) for t in texts[at]])
+                seg = digests(hashes.tobytes(), start * 8, (start + count + width - 1) * 8)[:, 0]
                 own = text[start]
-                columns = [names[start].view(np.int64), seg.view(np.int64), keys[at][own], pack(tags[own], start - words.first[own], count)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["name", "seg", "doc", "at"])
+                columns = [names[start].view(np.int64), seg, doc[own], key[own], pack(start - first[own] + before, count)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=RUN_COLUMNS)
 
-    return docs.select(doc_key(docs["doc_id"]).alias("doc"), F.col("text").cast("binary").alias("text")).mapInArrow(run, RUN_SCHEMA)
+    return docs.select("doc", "key", "text").mapInArrow(run, RUN_SCHEMA)
 
 
 def remove_repeats(docs: DataFrame, width: int = 35, keep: str = "none", rounds: int = 2) -> DataFrame:
@@ -140,45 +150,39 @@ def remove_repeats(docs: DataFrame, width: int = 35, keep: str = "none", rounds:
     document too; keep 'first' leaves the occurrence of the least (doc_id, position). Windows are
     judged on the input. Words are runs of bytes other than 0x20 and 0x09 to 0x0D, unchanged.
 
-    Null or empty texts have no words. Rows of one doc_id and different texts are told apart by the
-    text; equal rows are occurrences of their own, except under 'first', where they are one document.
-    Other columns are not read. An empty table gives no rows.
+    Null or empty texts have no words. Rows are told apart by doc_id and a hash of the text; equal
+    rows are occurrences of their own, except under 'first', where they are one document. Columns
+    other than doc_id and text are not read. An empty table gives no rows.
     """
-    hot = hot_names(docs, lambda some: run_table(some, width, rounds))
-    flagged = stable(meet(run_table(docs, width, rounds), keep, hot))
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-
-    def hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, lists, keys = batch.column("text").to_pylist(), batch.column("ats").to_pylist(), batch.column("doc").to_numpy()
-            for at in in_groups(texts):
-                words = Words(texts[at])
-                hashes = words.hashes()
-                one, two = Prefix(hashes, 31), Prefix(mix(hashes, 5), 33)
-                for i, (text, ats) in enumerate(zip(texts[at], lists[at])):
-                    tag = tag_of(text)
-                    of, low, n = unpack(np.array(ats, dtype=np.int64))
-                    low, n = low[of == tag], n[of == tag]
-                    begin = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    start = begin + words.first[i]
-                    h1, h2 = one.hash(start, start + width), two.hash(start, start + width)
-                    columns = [h1.view(np.int64), h2.view(np.int64), np.full(len(begin), keys[at.start + i]), pack(np.full(len(begin), tag), begin, np.ones(len(begin), dtype=np.int64))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h1", "h2", "doc", "at"])
-
-    checks = with_stretches(texts, flagged.where("check"), ["at"]).select("doc", "text", "ats")
-    same = equal_windows(checks.mapInArrow(hash_windows, "h1 bigint, h2 bigint, doc bigint, at bigint"), keep)
-    gone = flagged.where("gone").select("doc", "at").union(same)
+    texts = keyed(docs)
+    hot = hot_names(texts, lambda some: run_table(some, width, rounds))
+    flagged = stable(meet(run_table(texts, width, rounds), keep, hot, both=False))
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, raw in text_groups(batches):
+            words = Words(raw)
+            data = words.hashes().tobytes()
+            for i, (ats, doc, key) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("_at", "doc", "key")))):
+                low, n = unpack(np.array(ats, dtype=np.int64))
+                begin = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                start = (begin + words.first[i]) * 8
+                h = digests(data, start, start + 8 * width, 16)
+                columns = [h[:, 0], h[:, 1], np.full(len(begin), doc), np.full(len(begin), key), pack(begin, np.ones(len(begin), dtype=np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h1", "h2", "doc", "key", "at"])
+
+    checks = with_stretches(texts, flagged.where("check"))
+    same = equal_windows(checks.mapInArrow(digested, "h1 bigint, h2 bigint, doc bigint, key bigint, at bigint"), keep)
+    gone = flagged.where("gone").select("doc", "key", "at").union(same)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, lists = batch.column("text").to_pylist(), batch.column("ats").to_pylist()
+        for rows, raw in text_groups(batches):
             total, removed, kept = [], [], []
-            for text, ats in zip(texts, lists):
+            for text, ats in zip(raw, rows.column("_at").to_pylist()):
                 words = (text or b"").split()  # the same six bytes
-                out = covered(len(words), tag_of(text), np.array(ats or [], dtype=np.int64), width)
+                out = covered(len(words), np.array(ats or [], dtype=np.int64), width)
                 total.append(len(words))
                 removed.append(int(out.sum()))
                 kept.append(b" ".join([w for w, o in zip(words, out.tolist()) if not o] if removed[-1] else words).decode(errors="replace"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return with_stretches(texts, gone, ["at"], "left").select("doc_id", "text", "ats").mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    return with_stretches(texts, gone, "left").mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept string")

@@ -1,43 +1,42 @@
 """What both substring operators share: finding the windows of fixed length that occur more than once.
 
 Each operator names every window of a text by something inside it that any equal window also
-holds, and writes one row for each run of windows of one name: (name, seg, doc, at). seg hashes the
-stretch that the run covers. Rows of one name meet; equal (name, seg) are equal stretches, and only
-where one name has several stretches do the windows themselves have to be compared.
+holds, and writes one row for each run of windows of one name: (name, seg, doc, key, at). seg is the
+BLAKE2b digest of the stretch that the run covers; a row of the input is known by its doc_id and a
+hash of its text. Rows of one name meet; equal (name, seg) are equal stretches, and the windows of
+different stretches of one name have to be compared.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.tables import stable
 
 MOST_IN_RUN = 511  # windows of a run, 9 bits of `at`
-RUN_SCHEMA = "name bigint, seg bigint, doc bigint, at bigint"
+RUN_SCHEMA = "name bigint, seg bigint, doc bigint, key bigint, at bigint"
+RUN_COLUMNS = ["name", "seg", "doc", "key", "at"]
 
 
-def doc_key(doc_id: Column) -> Column:
-    return F.coalesce(doc_id, F.lit(-(2**63)))
+def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text (binary), doc and key, by which a row is known, and the carried columns as _c0, _c1, ..."""
+    text = docs["text"].cast("binary")
+    doc = F.coalesce(docs["doc_id"], F.lit(-(2**63)))
+    return docs.select(docs["doc_id"], text.alias("text"), doc.alias("doc"), F.xxhash64(docs["doc_id"], text).alias("key"), *(docs[c].alias(f"_c{i}") for i, c in enumerate(carry)))
 
 
-def tag_of(text: bytes | None) -> int:
-    """Tells rows of one doc_id and different texts apart."""
-    return zlib.crc32(text or b"") & 0x7FFFFF
+def pack(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (low.astype(np.int64) << 9) | n
 
 
-def pack(tag: np.ndarray, low: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return (tag.astype(np.int64) << 40) | (low.astype(np.int64) << 9) | n
-
-
-def unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tag, first window, number of windows)."""
-    return at >> 40, (at >> 9) & 0x7FFFFFFF, at & MOST_IN_RUN
+def unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first window, number of windows)."""
+    return at >> 9, at & MOST_IN_RUN
 
 
 def windows_to_runs(places: np.ndarray, valid: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,81 +67,85 @@ def hot_names(docs: DataFrame, runs_of: Callable[[DataFrame], DataFrame], rows:
     return [r["name"] for r in counts if r["count"] > share * 20 * rows]
 
 
-def meet(runs: DataFrame, keep: str, hot: list[int], crowd: int = 2000, most_held: int = 100_000, salts: int = 64) -> DataFrame:
-    """Judge runs by name: (name, doc, at, gone, check, crowded).
+def meet(runs: DataFrame, keep: str, hot: list[int], both: bool, salts: int = 64) -> DataFrame:
+    """Judge runs by name: (name, doc, key, at, gone, check); rows that need neither are left out.
 
-    gone: every window of the run is to be removed. check: its windows have to be compared with
-    those of other runs of the name. crowded: the name has more than ``crowd`` runs to compare.
-    keep 'none' removes every occurrence, 'first' all but that of the least (doc, position).
-    Rows of a name are sorted and read as a stream; if a name has more than ``most_held`` rows,
-    it is judged in pieces, with more to check and the same result. The names in ``hot`` are dealt
-    to ``salts`` tasks by document, each of which judges a piece.
+    gone: every window of the run is to be removed, as its stretch equals another one. check: its
+    windows have to be compared with those of other runs of the name. Of a stretch that occurs more
+    than once, the first two occurrences are compared like all others if ``both``, else only the
+    first; further ones share the fate of a copy. keep 'none' removes every occurrence, 'first' all
+    but that of the least (doc, position).
+
+    Rows of a name are sorted and read as a stream, of which one row is held: there is no group to
+    collect. The names in ``hot`` are dealt to ``salts`` tasks by document; each judges its own part,
+    and all that is left to compare meets again by name.
     """
     known = np.array(sorted(hot), dtype=np.int64)
 
-    def judge(name, seg, doc, at, whole) -> pa.RecordBatch:  # noqa: ANN001
-        if keep == "first":  # rows that agree in doc_id and text are one document
-            other = np.append(True, (name[1:] != name[:-1]) | (seg[1:] != seg[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))
-            name, seg, doc, at = name[other], seg[other], doc[other], at[other]
-        new_name = np.append(True, name[1:] != name[:-1])
-        new_seg = new_name | np.append(True, seg[1:] != seg[:-1])
-        name_at, seg_at = np.cumsum(new_name) - 1, np.cumsum(new_seg) - 1
-        segs_of_name = np.bincount(name_at[new_seg])
-        several = (segs_of_name > 1) | (not whole) | np.isin(name[new_name], known)
-        repeated = np.bincount(seg_at)[seg_at] > 1
-        gone = repeated & ~new_seg if keep == "first" else repeated
-        check = new_seg & several[name_at]
-        crowded = ((segs_of_name > crowd) | (not whole) | np.isin(name[new_name], known))[name_at]
-        out = gone | check
-        return pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (name, doc, at, gone, check, crowded)], names=["name", "doc", "at", "gone", "check", "crowded"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, cut = None, None  # rows of the last name; that name, if some of its rows have been judged
+        held, count, several, last = None, 0, False, None  # first row of an unfinished stretch, its rows so far, whether its name has others
         for batch in batches:
             rows = [c.to_numpy() for c in batch.columns]
+            if keep == "first" and len(rows[0]):  # rows that agree in doc_id and text are one document
+                before = [x[:1] if last is None else y for x, y in zip(rows, last or rows)]
+                other = np.any([np.append(y[:1], x[:-1]) != x for x, y in zip(rows, before)], axis=0)
+                other[0] |= last is None
+                last = [x[-1:] for x in rows]
+                rows = [x[other] for x in rows]
             if not len(rows[0]):
                 continue
             if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows)]
-                held = None
-            if cut is not None:
-                end = int(np.searchsorted(rows[0], cut, "right"))
-                if end == len(rows[0]) and end <= most_held:
-                    held = rows
-                    continue
-                if end:
-                    yield judge(*(x[:end] for x in rows), whole=False)
-                    rows = [x[end:] for x in rows]
-                if not len(rows[0]):
-                    continue
-                cut = None
-            begin = int(np.searchsorted(rows[0], rows[0][-1], "left"))
-            if begin:
-                yield judge(*(x[:begin] for x in rows), whole=True)
-            held = [x[begin:] for x in rows]
-            if len(held[0]) > most_held:  # no row is in two pieces, else its windows would meet themselves
-                yield judge(*held, whole=False)
-                held, cut = None, int(held[0][0])
+                rows = [np.append(y, x) for x, y in zip(rows, held)]
+            name, seg = rows[:2]
+            new_name = np.append(True, name[1:] != name[:-1])
+            new_seg = new_name | np.append(True, seg[1:] != seg[:-1])
+            begin, stretch = np.flatnonzero(new_seg), np.cumsum(new_seg) - 1
+            size, index = np.bincount(stretch), np.arange(len(name)) - begin[stretch]
+            of_name = (np.cumsum(new_name) - 1)[begin]
+            others = (np.bincount(of_name) > 1)[of_name] | np.isin(name[begin], known)
+            if held is not None:
+                size[0] += count - 1
+                index[(stretch == 0) & ~new_seg] += count - 1
+                others[of_name == 0] |= several
+            first_gone = (size > 1) & (keep == "none") & (not both)
+            first_check = others | ((size > 1) & both)
+            gone, check = first_gone[stretch], first_check[stretch]
+            gone[~new_seg], check[~new_seg] = True, False
+            if both:
+                second = index == 1
+                gone[second], check[second] = False, True
+            out = gone | check
+            out[begin[-1]] = False
+            yield _judged(rows, out, gone, check)
+            held, count = [x[begin[-1] : begin[-1] + 1] for x in rows], int(size[-1])
+            several = bool(others[-1])
         if held is not None:
-            yield judge(*held, whole=cut is None)
+            gone, check = np.array([count > 1 and keep == "none" and not both]), np.array([several or (count > 1 and both)])
+            yield _judged(held, gone | check, gone, check)
 
-    salt = F.when(F.col("name").isin(hot), F.pmod(F.xxhash64("doc", "at"), F.lit(salts))).otherwise(0) if hot else F.lit(0)
+    salt = F.when(F.col("name").isin(hot), F.pmod(F.xxhash64("doc", "key", "at"), F.lit(salts))).otherwise(0)
     dealt = runs.repartition("name", salt) if hot else runs.repartition("name")
-    return dealt.sortWithinPartitions("name", "seg", "doc", "at").mapInArrow(run, "name bigint, doc bigint, at bigint, gone boolean, check boolean, crowded boolean")
+    return dealt.sortWithinPartitions(*RUN_COLUMNS).mapInArrow(run, "name bigint, doc bigint, key bigint, at bigint, gone boolean, check boolean")
+
+
+def _judged(rows: list[np.ndarray], out: np.ndarray, gone: np.ndarray, check: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(x[out]) for x in (rows[0], *rows[2:], gone, check)]
+    return pa.RecordBatch.from_arrays(columns, names=["name", "doc", "key", "at", "gone", "check"])
 
 
 def equal_windows(windows: DataFrame, keep: str) -> DataFrame:
-    """(doc, at) of the windows to remove among rows (h1, h2, doc, at), each one window with its 128-bit hash.
+    """(doc, key, at) of the windows to remove among rows (h1, h2, doc, key, at), each one window with its 128-bit digest.
 
     Rows are ordered over all partitions, so a window with a third of all rows is spread over many
     tasks; the ends of the partitions (two rows each) are compared on the driver. Under 'first', rows
-    that agree in (doc, at) as well are one window.
+    that agree in (doc, key, at) as well are one window.
     """
-    ordered = windows.repartitionByRange("h1", "h2", "doc", "at").sortWithinPartitions("h1", "h2", "doc", "at")
+    order = ["h1", "h2", "doc", "key", "at"]
+    ordered = windows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = None
-        single = single_first = True
+        single = True
         for batch in batches:
             rows = [c.to_numpy() for c in batch.columns]
             if not len(rows[0]):
@@ -164,36 +167,35 @@ def equal_windows(windows: DataFrame, keep: str) -> DataFrame:
                 gone[0] &= single  # else it was given already
             single = not (len(same) and same[-1])
             last = [int(x[-1]) for x in rows]
-            yield _flagged(rows[2][gone], rows[3][gone])
+            yield _flagged([x[gone] for x in rows], None)
         if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([x[2] for x in (first, last)], pa.int64()), pa.array([x[3] for x in (first, last)], pa.int64()), pa.array([0, 1], pa.int32()), pa.array([x[0] for x in (first, last)], pa.int64()), pa.array([x[1] for x in (first, last)], pa.int64())], names=["doc", "at", "end", "e1", "e2"])
+            yield _flagged([np.array(x, dtype=np.int64) for x in zip(first, last)], np.array([0, 1]))
 
-    found = stable(ordered.mapInArrow(run, "doc bigint, at bigint, end int, e1 bigint, e2 bigint").select("*", F.spark_partition_id().alias("part")))
-    ends = sorted((r["part"], r["end"], r["e1"], r["e2"], r["doc"], r["at"]) for r in found.where("end IS NOT NULL").collect())  # two rows a partition
+    found = stable(ordered.mapInArrow(run, "h1 bigint, h2 bigint, doc bigint, key bigint, at bigint, end int").select("*", F.spark_partition_id().alias("part")))
+    ends = sorted((r["part"], r["end"], *(r[c] for c in order)) for r in found.where("end IS NOT NULL").collect())  # two rows a partition
     across = set()
     for x, y in zip(ends[1::2], ends[2::2]):
-        if x[2:4] == y[2:4]:
+        if x[2:4] == y[2:4] and not (keep == "first" and x[2:] == y[2:]):
             across |= {y[4:]} | ({x[4:]} if keep == "none" else set())
-    out = found.where("end IS NULL").select("doc", "at")
-    return out.union(out.sparkSession.createDataFrame(sorted(across), "doc bigint, at bigint")) if across else out
+    out = found.where("end IS NULL").select("doc", "key", "at")
+    return out.union(out.sparkSession.createDataFrame(sorted(across), "doc bigint, key bigint, at bigint")) if across else out
 
 
-def _flagged(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    none = lambda t: pa.nulls(len(doc), t)
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int64()), none(pa.int32()), none(pa.int64()), none(pa.int64())], names=["doc", "at", "end", "e1", "e2"])
+def _flagged(rows: list[np.ndarray], end: np.ndarray | None) -> pa.RecordBatch:
+    ends = pa.nulls(len(rows[0]), pa.int32()) if end is None else pa.array(end, pa.int32())
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in rows), ends], names=["h1", "h2", "doc", "key", "at", "end"])
 
 
-def with_stretches(docs: DataFrame, flagged: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
-    """Texts with the packed stretches of each, as the array ``ats`` (and ``names``)."""
-    lists = flagged.groupBy("doc").agg(*(F.collect_list(c).alias(f"{c}s") for c in columns))
-    return docs.join(lists, doc_key(docs["doc_id"]) == lists["doc"], how)
+def with_stretches(texts: DataFrame, flagged: DataFrame, how: str = "inner", columns: tuple[str, ...] = ("at",)) -> DataFrame:
+    """``keyed`` texts with the packed stretches of each, as the array _at (and one for each further column)."""
+    lists = flagged.groupBy("doc", "key").agg(*(F.collect_list(c).alias(f"_{c}") for c in columns))
+    lists = lists.select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), *(f"_{c}" for c in columns))
+    return texts.join(lists, (texts["doc"] == lists["_doc"]) & (texts["key"] == lists["_key"]), how)
 
 
-def covered(length: int, tag: int, ats: np.ndarray, width: int) -> np.ndarray:
+def covered(length: int, ats: np.ndarray, width: int) -> np.ndarray:
     """Which of ``length`` units lie in a window of ``width`` units that is to be removed."""
-    of, low, n = unpack(ats)
-    mine = of == tag
-    low, n = low[mine], n[mine]
+    low, n = unpack(ats)
     edge = np.zeros(length + 1, dtype=np.int32)
     np.add.at(edge, low, 1)
     np.add.at(edge, low + n + width - 1, -1)

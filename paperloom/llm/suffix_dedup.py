@@ -2,10 +2,10 @@
 
 Texts are too many for one suffix array, so windows of ``length`` bytes first meet by content: a
 window is named by the least hash among the ``core``-byte strings in it, which any equal window
-shares. Stretches of one name that are equal as a whole are settled by their hash; the others go, in
-blocks of whole names, through a suffix array. In suffix order the previous and next entries with a
-smaller text position give each suffix its longest earlier match (LPF); where that is ``length``
-or more, the suffix begins a later copy, and its source the first one.
+shares. Stretches of one name go, in blocks of whole names, through a suffix array. In suffix order
+the previous and next entries with a smaller text position give each suffix its longest earlier match
+(LPF); where that is ``length`` or more, the suffix begins a later copy, and its source the first one.
+A stretch that occurs more than twice is laid out twice; its further copies go as the second does.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.repeats import RUN_SCHEMA, covered, doc_key, equal_windows, hot_names, meet, pack, tag_of, unpack, windows_to_runs, with_stretches
-from paperloom.llm.words import BYTE_VALUES, Prefix, in_groups, mix
+from paperloom.llm.repeats import RUN_COLUMNS, RUN_SCHEMA, covered, equal_windows, hot_names, keyed, meet, pack, unpack, windows_to_runs, with_stretches
+from paperloom.llm.words import BYTE_VALUES, GROUP, Prefix, digests, mix, text_groups
 from paperloom.tables import stable
 
-NUMBER, NONE = np.uint64((1 << 28) - 1), np.uint64((1 << 64) - 1)
+NUMBER = np.uint64((1 << 28) - 1)  # low bits that number the bytes of a group of texts, at most some hundred thousand
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -59,22 +59,33 @@ def window_names(texts: Texts, length: int, core: int) -> tuple[np.ndarray, np.n
     return names, places, valid, text
 
 
+def pieces(texts: list[bytes | None], length: int, most: int = GROUP) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """(texts, their numbers, their first bytes): a text above ``most`` bytes comes in pieces that overlap by ``length`` - 1."""
+    if len(texts) > 1 or len(texts[0] or b"") <= most + length:
+        yield [t or b"" for t in texts], np.arange(len(texts)), np.zeros(len(texts), dtype=np.int64)
+        return
+    for begin in range(0, len(texts[0]) - length + 1, most):
+        yield [texts[0][begin : begin + most + length - 1]], np.zeros(1, dtype=np.int64), np.array([begin])
+
+
 def run_table(docs: DataFrame, length: int, core: int) -> DataFrame:
+    """Rows (name, seg, doc, key, at) of ``keyed`` texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, keys = batch.column("text").to_pylist(), batch.column("doc").to_numpy()
-            for at in in_groups(raw):
-                texts = Texts(raw[at])
+        for rows, raw in text_groups(batches):
+            doc, key = rows.column("doc").to_numpy(), rows.column("key").to_numpy()
+            for part, number, offset in pieces(raw, length):
+                texts = Texts(part)
                 names, places, valid, text = window_names(texts, length, core)
                 start, count = windows_to_runs(places, valid, text)
                 if not len(start):
                     continue
-                seg = mix(texts.prefix.hash(start, start + count + length - 1), 6)
-                tags, own = np.array([tag_of(t) for t in raw[at]]), text[start]
-                columns = [names[start].view(np.int64), seg.view(np.int64), keys[at][own], pack(tags[own], start - texts.first[own], count)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["name", "seg", "doc", "at"])
+                seg = digests(texts.bytes.data, start, start + count + length - 1)[:, 0]
+                own = text[start]
+                columns = [names[start].view(np.int64), seg, doc[number[own]], key[number[own]], pack(start - texts.first[own] + offset[own], count)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=RUN_COLUMNS)
 
-    return docs.select(doc_key(docs["doc_id"]).alias("doc"), F.col("text").cast("binary").alias("text")).mapInArrow(run, RUN_SCHEMA)
+    return docs.select("doc", "key", "text").mapInArrow(run, RUN_SCHEMA)
 
 
 class SuffixArray:
@@ -86,7 +97,7 @@ class SuffixArray:
         key = np.zeros(n, dtype=np.uint64)
         for i in range(8):
             key = (key << np.uint64(8)) | padded[i : i + n]
-        self.ranks = {8: np.unique(key, return_inverse=True)[1].astype(np.int64)}  # steps of eight bytes
+        self.ranks = {8: np.unique(key, return_inverse=True)[1].astype(np.int32)}  # steps of eight bytes
         have = 8
         while have * 2 <= depth:
             self.ranks[have * 2] = self._join(self.ranks[have], have)
@@ -95,8 +106,9 @@ class SuffixArray:
 
     def _join(self, rank: np.ndarray, shift: int) -> np.ndarray:
         n = len(rank)
-        after = np.append(rank[min(shift, n) :] + 1, np.zeros(min(shift, n), dtype=np.int64))
-        return np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64)
+        both = rank.astype(np.int64) * (n + 2)
+        both[: n - min(shift, n)] += rank[min(shift, n) :] + 1
+        return np.unique(both, return_inverse=True)[1].astype(np.int32)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefix of suffixes a and b in whole steps of eight bytes, up to ``depth``."""
@@ -140,13 +152,14 @@ def longest_previous_factors(data: np.ndarray, starts: np.ndarray, length: int)
     return factor, source
 
 
-def repeated_windows(stretches: list[bytes], doc: np.ndarray, at: np.ndarray, length: int, keep: str) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, packed window) to remove among the windows of some stretches, by LPF."""
-    tag, low, n = unpack(at)
-    in_text_order = np.lexsort((low, tag, doc))
+def repeated_windows(stretches: list[bytes], rows: list[np.ndarray], length: int, keep: str) -> list[np.ndarray]:
+    """(doc, key, packed windows) to remove among the windows of some stretches, by LPF."""
+    doc, key, at = rows
+    low, n = unpack(at)
+    in_text_order = np.lexsort((low, key, doc))
     if keep == "first":  # rows that agree in doc_id and text are one document
-        in_text_order = in_text_order[np.append(True, np.any([x[in_text_order][1:] != x[in_text_order][:-1] for x in (doc, tag, low)], axis=0))]
-    doc, tag, low, n = doc[in_text_order], tag[in_text_order], low[in_text_order], n[in_text_order]
+        in_text_order = in_text_order[np.append(True, np.any([x[in_text_order][1:] != x[in_text_order][:-1] for x in (doc, key, low)], axis=0))]
+    doc, key, low, n = doc[in_text_order], key[in_text_order], low[in_text_order], n[in_text_order]
     stretches = [stretches[i] for i in in_text_order.tolist()]
     data = np.frombuffer(b"".join(stretches), dtype=np.uint8)
     begin = np.concatenate([[0], np.cumsum([len(s) for s in stretches])[:-1]])
@@ -155,11 +168,14 @@ def repeated_windows(stretches: list[bytes], doc: np.ndarray, at: np.ndarray, le
     gone = factor >= length
     if keep == "none":
         gone[source[gone]] = True
-    owner = np.repeat(np.arange(len(stretches)), n)[gone]
-    return doc[owner], pack(tag[owner], low[owner] + inner[gone], np.ones(len(owner), dtype=np.int64))
+    owner, inner = np.repeat(np.arange(len(stretches)), n)[gone], inner[gone]
+    first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (np.diff(inner) > 1))) if len(owner) else np.zeros(0, dtype=np.int64)
+    count = np.diff(np.append(first, len(owner)))
+    owner = owner[first]
+    return [doc[owner], key[owner], pack(low[owner] + inner[first], count)]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "none", core: int = 200, block_bytes: int = 1_000_000, carry: tuple[str, ...] = (), crowd: int = 2000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "none", core: int = 200, block_bytes: int = 250_000, carry: tuple[str, ...] = (), crowd: int = 1000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) and the columns ``carry`` for every row.
 
     A UTF-8 byte goes if a string of ``length`` bytes (a multiple of eight) that covers it also starts
@@ -167,66 +183,74 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "none", core:
     (doc_id, position) and removes later copies. Strings are judged on the input and don't cross
     documents. n_spans counts the maximal removed runs.
 
-    Null texts count as empty. Rows of one doc_id and different texts are told apart by the text;
-    equal rows are occurrences of their own, except under 'first', where they are one document.
-    Other columns are not read. An empty table gives no rows. A name with more than ``crowd`` distinct
-    stretches (a passage in thousands of documents, at its edges) would be a block without bound:
-    its windows are compared by 128-bit hashes in a sort over all tasks instead.
+    Null texts count as empty. Rows are told apart by doc_id and a hash of the text, null doc_ids
+    come first; equal rows are occurrences of their own, except under 'first', where they are one
+    document. Columns other than doc_id, text and ``carry`` are not read; ``carry`` can't name one of
+    the result's own. An empty table gives no rows. A name with more than ``crowd`` stretches to
+    compare (a passage in many documents, at its edges) would be a block without bound: its windows
+    are compared by 128-bit digests in a sort over all tasks instead, with the same result.
     """
-    hot = hot_names(docs, lambda some: run_table(some, length, core))
-    flagged = stable(meet(run_table(docs, length, core), keep, hot, crowd))
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    texts = keyed(docs, carry)
+    hot = hot_names(texts, lambda some: run_table(some, length, core))
+    flagged = stable(meet(run_table(texts, length, core), keep, hot, both=True))
     check = flagged.where("check")
-    n_check = check.where("NOT crowded").count()
-    blocks = max(1, n_check * (length + length - core) // block_bytes)
-
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, keys = batch.column("text").to_pylist(), batch.column("doc").to_pylist()
-            for text, doc, ats, names in zip(texts, keys, batch.column("ats").to_pylist(), batch.column("names").to_pylist()):
-                tag, ats = tag_of(text), np.array(ats, dtype=np.int64)
-                of, low, n = unpack(ats)
-                mine = np.flatnonzero(of == tag).tolist()
-                data = [text[low[i] : low[i] + n[i] + length - 1] for i in mine]
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in mine], pa.int64()), pa.array([doc] * len(mine), pa.int64()), pa.array(ats[mine], pa.int64()), pa.array(data, pa.binary())], names=["name", "doc", "at", "data"])
+    crowds = check.groupBy("name").count().where(F.col("count") > crowd).select("name")
+    calm = check.join(crowds, "name", "left_anti")
+    blocks = max(1, check.count() * (length + length - core) // block_bytes)
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[bytes]]]:
+        for rows, raw in text_groups(batches):
+            columns = {c: [] for c in ("name", "doc", "key", "at")}
+            data = []
+            for text, doc, key, ats, names in zip(raw, *(rows.column(c).to_pylist() for c in ("doc", "key", "_at", "_name"))):
+                low, n = unpack(np.array(ats, dtype=np.int64))
+                data += [text[a : a + k + length - 1] for a, k in zip(low.tolist(), n.tolist())]
+                for c, values in zip(columns, (names, [doc] * len(ats), [key] * len(ats), ats)):
+                    columns[c] += values
+            yield columns, data
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, data in stretches(batches):
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns.values()), pa.array(data, pa.binary())], names=[*columns, "data"])
 
     def by_suffixes(block: pa.Table) -> pa.Table:
-        doc, at = repeated_windows(block.column("data").to_pylist(), block.column("doc").to_numpy(), block.column("at").to_numpy(), length, keep)
-        return pa.table({"doc": pa.array(doc, pa.int64()), "at": pa.array(at, pa.int64())})
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stretches(batches):
-            for data, doc, at in zip(batch.column("data").to_pylist(), batch.column("doc").to_pylist(), batch.column("at").to_pylist()):
-                tag, low, n = (int(x) for x in unpack(np.array([at]))[:3])
-                raw, begin = np.frombuffer(data, dtype=np.uint8), np.arange(n)
-                h1, h2 = (Prefix(BYTE_VALUES[raw] * np.uint64(k) + np.uint64(k), k).hash(begin, begin + length) for k in (51, 53))
-                rows = [h1.view(np.int64), h2.view(np.int64), np.full(n, doc), pack(np.full(n, tag), low + begin, np.ones(n, dtype=np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["h1", "h2", "doc", "at"])
-
-    found = with_stretches(texts, check.where("NOT crowded"), ["at", "name"]).select("text", "doc", "ats", "names").mapInArrow(stretches, "name bigint, doc bigint, at bigint, data binary")
-    same = found.groupBy(F.pmod(F.xxhash64("name"), F.lit(blocks)).alias("block")).applyInArrow(by_suffixes, "doc bigint, at bigint")
-    gone = flagged.where("gone").select("doc", "at").union(same)
-    if check.count() > n_check:
-        rest = with_stretches(texts, check.where("crowded"), ["at", "name"]).select("text", "doc", "ats", "names")
-        gone = gone.union(equal_windows(rest.mapInArrow(hashed, "h1 bigint, h2 bigint, doc bigint, at bigint"), keep))
+        rows = repeated_windows(block.column("data").to_pylist(), [block.column(c).to_numpy() for c in ("doc", "key", "at")], length, keep)
+        return pa.table(dict(zip(("doc", "key", "at"), (pa.array(x, pa.int64()) for x in rows))))
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, data in stretches(batches):
+            for piece, doc, key, at in zip(data, columns["doc"], columns["key"], columns["at"]):
+                low, n = (int(x) for x in unpack(np.int64(at)))
+                begin = np.arange(n)
+                h = digests(piece, begin, begin + length, 16)
+                rows = [h[:, 0], h[:, 1], np.full(n, doc), np.full(n, key), pack(low + begin, np.ones(n, dtype=np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["h1", "h2", "doc", "key", "at"])
+
+    found = with_stretches(texts, calm, columns=("at", "name")).mapInArrow(cut_out, "name bigint, doc bigint, key bigint, at bigint, data binary")
+    same = found.groupBy(F.pmod(F.xxhash64("name"), F.lit(blocks)).alias("block")).applyInArrow(by_suffixes, "doc bigint, key bigint, at bigint")
+    gone = flagged.where("gone").select("doc", "key", "at").union(same)
+    rest = check.join(crowds, "name", "left_semi")
+    if not crowds.isEmpty():
+        rows = with_stretches(texts, rest, columns=("at", "name")).mapInArrow(digested, "h1 bigint, h2 bigint, doc bigint, key bigint, at bigint")
+        gone = gone.union(equal_windows(rows, keep))
+    own = [f"_c{i}" for i in range(len(carry))]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for rows, raw in text_groups(batches):
             removed, spans, kept, size = [], [], [], []
-            for text, ats in zip(batch.column("text").to_pylist(), batch.column("ats").to_pylist()):
+            for text, ats in zip(raw, rows.column("_at").to_pylist()):
                 text = text or b""
                 size.append(len(text))
                 if not ats:
                     removed.append(0), spans.append(0), kept.append(text)
                     continue
-                out = covered(len(text), tag_of(text), np.array(ats, dtype=np.int64), length)
+                out = covered(len(text), np.array(ats, dtype=np.int64), length)
                 removed.append(int(out.sum()))
                 spans.append(int(np.count_nonzero(np.diff(out, prepend=False) & out)))
                 kept.append(np.frombuffer(text, dtype=np.uint8)[~out].tobytes())
             counts = [pa.array(x, pa.int64()) for x in (size, removed, spans)]
-            own = [batch.column(c) for c in carry]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(kept, pa.binary()), *own], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carry])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *counts, pa.array(kept, pa.binary()), *map(rows.column, own)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carry])
 
-    whole = docs.select("doc_id", F.col("text").cast("binary").alias("text"), *carry)
-    schema = ", ".join(["doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
-    return with_stretches(whole, gone, ["at"], "left").select("doc_id", "text", "ats", *carry).mapInArrow(cut, schema)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = ", ".join(["doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary", *(f"`{c}` {kinds[c]}" for c in carry)])
+    return with_stretches(texts, gone, "left").mapInArrow(cut, schema)

@@ -2,7 +2,6 @@
 
 import base64
 import collections
-import functools
 import hashlib
 import random
 import re
@@ -51,7 +50,13 @@ def test_slices_follow_the_pattern():
     texts += ["", "x" * 3000, "ab" * 2000, " " * 300, "'s's're'll", "a b " * 3000]
     t = bpe.Tokenizer(open(VOCABULARY, "rb").read(), remembered=500)
     assert list(t.encode_all(texts, most=5000)) == [reference.encode_ordinary(x) for x in texts]
-    assert t.offsets([]).tolist() == [0]
+    assert t.offsets([]).tolist() == [0] and t.decode([], t.offsets([])) == b""
+    for text in texts[::50]:
+        ids, raw = reference.encode_ordinary(text), text.encode()
+        at = t.offsets(ids)
+        assert t.decode(ids, at) == t.decode(ids, at, most=3) == raw and at[-1] == len(raw)
+        a, b = sorted(rng.randint(0, len(raw)) for _ in range(2))
+        assert t.stretch(ids, at, a, b) == raw[a:b]
 
 
 def test_round_trip_encode_decode(spark, corpus):
@@ -64,6 +69,7 @@ def test_round_trip_encode_decode(spark, corpus):
         assert got[i]["ids"] == ids and got[i]["n_tokens"] == len(ids)
         assert got[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+        assert got[i]["offsets"] == [0, *np.cumsum([len(reference.decode_single_token_bytes(x)) for x in ids]).tolist()]
     back = {r["doc_id"]: r for r in bpe.decode(bpe.encode(df, VOCABULARY), VOCABULARY).collect()}
     assert all(back[i]["text"] == (t or "") and back[i]["size"] == "x" for i, t in enumerate(corpus))
 
@@ -129,32 +135,59 @@ def test_recompression(spark, corpus, keep, rounds):
         assert got[i]["kept"].encode() == b" ".join(x for x, g in zip(w, gone) if not g)
 
 
-@pytest.mark.parametrize("held", [1, 100_000])
-def test_names_judged_in_pieces(spark, held):
+@pytest.mark.parametrize("keep", ["none", "first"])
+@pytest.mark.parametrize("both", [True, False])
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_runs_of_a_name_meet(spark, keep, both, batch):
     rng = random.Random(3)
-    rows = [(rng.choice([7, 8, 9]), rng.randint(0, 5), d, (d << 9) | 1) for d in range(200)]
-    runs = spark.createDataFrame(rows, "name bigint, seg bigint, doc bigint, at bigint")
-    for hot in ([], [7]):
-        got = {r["doc"]: r for r in repeats.meet(runs, "none", hot, most_held=held, salts=4).collect()}
-        counts = collections.Counter((n, s) for n, s, _, _ in rows)
-        for n, s, d, _ in rows:
-            assert d in got and (got[d]["gone"] or got[d]["check"]) and (not got[d]["gone"] or counts[n, s] > 1)
+    rows = [(rng.choice([7, 8, 9]), rng.randint(0, 30), d, 5, 1) for d in range(100)]
+    rows += [(100 + i, 1, i, 5, 1) for i in range(50)] + [(99, 4, 1, 5, 1), (99, 4, 2, 5, 1)]
+    rows += rows[::9] if keep == "first" else []  # rows given twice are one
+    runs = spark.createDataFrame(rows, "name bigint, seg bigint, doc bigint, key bigint, at bigint")
+    rows = sorted(set(rows))
+    segs, names = collections.defaultdict(list), collections.defaultdict(set)
+    for r in rows:
+        segs[r[:2]].append(r)
+        names[r[0]].add(r[1])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        for hot in ([], [7, 99]):
+            got = repeats.meet(runs, keep, hot, both, salts=4).collect()
+            assert len({(r["name"], r["doc"], r["at"]) for r in got}) == len(got)
+            found = {(r["name"], r["doc"]): (r["gone"], r["check"]) for r in got}
+            for (name, _), same in segs.items():
+                told = [found.get((name, r[2]), (False, False)) for r in same]
+                if name in hot:
+                    assert sum(c for _, c in told) >= 1 and all(g or c for g, c in told)
+                elif both:
+                    assert told == [(False, len(names[name]) > 1 or len(same) > 1)] + [(False, True)] * (len(same) > 1) + [(True, False)] * (len(same) - 2)
+                else:
+                    assert told == [(keep == "none" and len(same) > 1, len(names[name]) > 1)] + [(True, False)] * (len(same) - 1)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
-@pytest.mark.parametrize("held", [1, 3])
-def test_pieces_of_names_end_to_end(spark, corpus, monkeypatch, keep, held):
-    for module in (suffix_dedup, recompression):
-        monkeypatch.setattr(module, "meet", functools.partial(repeats.meet, most_held=held))
+@pytest.mark.parametrize("batch", [2, 10_000])
+@pytest.mark.parametrize("hot", [False, True])
+def test_repeats_end_to_end(spark, corpus, monkeypatch, keep, batch, hot):
+    if hot:  # every name in pieces
+        for module in (suffix_dedup, recompression):
+            monkeypatch.setattr(module, "hot_names", lambda docs, runs_of: [r["name"] for r in runs_of(docs).select("name").distinct().limit(300).collect()])
+        monkeypatch.setattr(words, "GROUP", 3000)
+        monkeypatch.setattr(words.text_groups, "__defaults__", (3000,))
+        monkeypatch.setattr(suffix_dedup.pieces, "__defaults__", (3000,))
+        monkeypatch.setattr(recompression.pieces, "__defaults__", (500,))
     rng = random.Random(12)
     passage = " ".join(f"p{i}" for i in range(60))
-    texts = [f"{rng.random()} {passage} {rng.random()}" for _ in range(20)] + corpus[25:40]
+    texts = [f"{rng.random()} {passage} {rng.random()}" for _ in range(20)] + corpus[25:40] + [corpus[-1]]
     docs = docs_of(spark, texts)
     docs = docs.union(docs.where("doc_id % 4 = 0"))  # rows given twice: one document under 'first', copies under 'none'
     order = list(range(len(texts))) + [i for i in range(len(texts)) if i % 4 == 0 and keep == "none"]
     raw = [(texts[i] or "").encode() for i in order]
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     try:
         by_bytes = suffix_dedup.remove_repeats(docs, length=80, core=40, keep=keep).collect()
         by_words = recompression.remove_repeats(docs, width=12, keep=keep).collect()
@@ -167,10 +200,52 @@ def test_pieces_of_names_end_to_end(spark, corpus, monkeypatch, keep, held):
     assert [(r["doc_id"], r["n_removed"]) for r in by_words if r["n_removed"] != want[r["doc_id"]]] == []
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_strings_whose_sums_agree(spark):
+    one, two = thue_morse(4096)
+    short = [thue_morse(n) for n in (64, 512, 2048)]
+    texts = [one, two, " ".join([one] * 40), " ".join([two] * 40), *(" ".join([x[i]] * 3 + [str(j) for j in range(9)]) for x in short for i in (0, 1))]
+    raw, docs = [t.encode() for t in texts], docs_of(spark, texts)
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs, length=400).collect()}
+    assert [got[i]["n_removed"] for i in range(len(texts))] == [int(g.sum()) for g in repeated_bytes(raw, 400, "none")]
+    got = {r["doc_id"]: r for r in recompression.remove_repeats(docs).collect()}
+    assert [got[i]["n_removed"] for i in range(len(texts))] == [sum(g) for g in repeated_words(raw, 35, "none")[1]]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == dict(enumerate(brute_components(texts)))
+    mixed = " ".join([*[one, two] * 5, "end"])
+    assert quality.quality_features(docs_of(spark, [mixed])).first()["n_repeat_words"] == 10
+
+
+def test_null_and_repeated_ids(spark, corpus):
+    texts = corpus[30:36] + corpus[36:40] + [corpus[36]]
+    rows = [(None if i % 2 else 7, t, None, None, 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    raw = [(t or "").encode() for t in texts]
+    gone = [int(g.sum()) for g in repeated_bytes(raw, 80, "none")]
+    got = suffix_dedup.remove_repeats(docs, length=80, core=40).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in got) == sorted((str(r[0]), len(t), g) for r, t, g in zip(rows, raw, gone))
+    got = recompression.remove_repeats(docs, width=12).collect()
+    split, flags = repeated_words(raw, 12, "none")
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in got) == sorted((str(r[0]), len(w), sum(g)) for r, w, g in zip(rows, split, flags))
+    # near copies that only documents without a doc_id link: 1 - null - 2
+    base = [f"w{i}" for i in range(100)]
+    chain = [" ".join(base[:a] + [f"x{j}" for j in range(b)] + base[a + b :]) for a, b in ((0, 0), (0, 3), (0, 6))]
+    docs = spark.createDataFrame([(5, chain[0], None, None, 0), (None, chain[1], None, None, 0), (3, chain[2], None, None, 0), (None, "alone here now", None, None, 0), (None, "alone here now", None, None, 0)], SCHEMA)
+    got = jaccard_join.jaccard_components(docs).collect()
+    want = [x[1] for x in brute_components(chain)]
+    assert want == [0, 0, 0] and sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in got) == sorted([("5", "3", False), ("None", "3", False), ("3", "3", True), ("None", "None", True), ("None", "None", True)])
+
+
 @pytest.mark.parametrize("keep", ["none", "first"])
 def test_equal_windows_over_partitions(spark, keep):
-    rows = [(h, 0, d, 1) for h in range(5) for d in range(1 if h == 3 else 400)]
-    df = spark.createDataFrame(rows, "h1 bigint, h2 bigint, doc bigint, at bigint").withColumn("at", F.col("h1") * 512 + 1)
+    rows = [(h, 0, d, 9, 1) for h in range(5) for d in range(1 if h == 3 else 400)]
+    df = spark.createDataFrame(rows, "h1 bigint, h2 bigint, doc bigint, key bigint, at bigint").withColumn("at", F.col("h1") * 512 + 1)
     got = collections.Counter((r["doc"], r["at"]) for r in repeats.equal_windows(df, keep).collect())
     want = {(d, h * 512 + 1) for h in (0, 1, 2, 4) for d in range(400) if keep == "none" or d}
     assert set(got) == want and set(got.values()) == {1}
@@ -207,16 +282,22 @@ def test_jaccard_components(spark, corpus, block):
     assert got == dict(enumerate(brute_components(texts)))
 
 
-def test_parts_leave_no_pair_out():
+@pytest.mark.parametrize("percent", [80, 90])
+def test_leading_shingles_leave_no_pair_out(percent):
     rng = np.random.default_rng(4)
-    for _ in range(300):
+    for _ in range(400):
         n = int(rng.integers(1, 400))
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-        drop, add = int(rng.integers(0, 1 + n // 12)), int(rng.integers(0, 1 + n // 12))
+        drop, add = int(rng.integers(0, 1 + n // 8)), int(rng.integers(0, 1 + n // 8))
         b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, add).astype(np.uint64)]))
+        common = np.unique(np.concatenate([a[::3], b[::7]]))
         both = len(np.intersect1d(a, b))
-        if len(b) and 100 * both >= 90 * (len(a) + len(b) - both) and both < max(len(a), len(b)):
-            assert set(jaccard_join.part_hashes(a, 90).tolist()) & set(jaccard_join.part_hashes(b, 90).tolist())
+        if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
+            x, y = (jaccard_join.leading(s, percent, common).tolist() for s in (a, b))
+            others = set(rng.choice(x, len(x) // 3).tolist())  # a third set has these as well
+            shared = set(x) & set(y) | others
+            x, y = (jaccard_join.emitted(len(s), percent, [t for t in lead if t in shared or t >= 1 << 62]) for s, lead in ((a, x), (b, y)))
+            assert set(x) & set(y)
 
 
 def test_components(spark):

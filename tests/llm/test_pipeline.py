@@ -20,12 +20,12 @@ def test_pipeline(spark, tables):
     before, after = seen["language"]
     assert {r["doc_id"] for r in after} <= {r["doc_id"] for r in before} and len(after) >= 0.97 * len(before)
     before, after = seen["near_duplicates"]
-    root = brute_components([r["text"] for r in before])
+    root = brute_components([r["text"] for r in before], k=5, percent=80)
     assert sorted(r["doc_id"] for r in after) == [r["doc_id"] for i, r in enumerate(before) if root[i][1] == i]
     before, after = seen["substrings"]
     texts = [r["text"].encode() for r in before]
     want = {}
-    for r, text, gone in zip(before, texts, repeated_bytes(texts, 400, "first")):
+    for r, text, gone in zip(before, texts, repeated_bytes(texts, corpus_pipeline.REPEAT_BYTES, "first")):
         want[r["doc_id"]] = bytes(b for b, g in zip(text, gone) if not g)
     assert {r["doc_id"]: r["text"] for r in after} == {k: v.decode(errors="replace") for k, v in want.items()}
     before, after = seen["mix"]
@@ -37,4 +37,4 @@ def test_pipeline(spark, tables):
 
 
 def test_run_returns_the_last_stage(spark, tables):
-    assert corpus_pipeline.run(spark, tables).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert corpus_pipeline.run(spark, tables).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "offsets"]

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.components import connected_components
@@ -25,10 +25,21 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
 
 
-def choose_pivots(vectors: DataFrame, n: int) -> np.ndarray:
-    """The ``n`` unit vectors whose keys hash lowest: the same ones on every run."""
-    rows = vectors.select("label", "k1", "k2", "_v").dropDuplicates(["label", "k1", "k2"]).orderBy(F.xxhash64("k1", "k2"), "k1", "k2").limit(n)
-    return unit(np.array([r["_v"] for r in rows.collect()], dtype=np.float64))
+def choose_pivots(vectors: DataFrame, cell: int, most: int) -> dict[int, np.ndarray]:
+    """Pivots by length of vector, one for ``cell`` vectors of the label that has most of them, ``most`` at most.
+
+    They are the unit vectors whose keys hash lowest: the same ones on every run.
+    """
+    sized = vectors.select("label", "k1", "k2", "_v", F.size("_v").alias("width"))
+    counts = sized.groupBy("label", "width").count().groupBy("width").agg(F.max("count").alias("n"))
+    wanted = counts.select("width", F.least(F.lit(most), F.ceil(F.col("n") / cell)).alias("wanted"))
+    order = Window.partitionBy("width", "_part").orderBy("_hash", "k1", "k2")
+    drawn = sized.withColumn("_hash", F.xxhash64("k1", "k2")).withColumn("_part", F.pmod("_hash", F.lit(64))).withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= most)
+    rows = drawn.withColumn("_at", F.row_number().over(Window.partitionBy("width").orderBy("_hash", "k1", "k2"))).join(wanted, "width").where(F.col("_at") <= F.col("wanted"))
+    found: dict[int, list] = {}
+    for r in rows.select("width", "_at", "_v").orderBy("width", "_at").collect():  # ``most`` vectors a length
+        found.setdefault(r["width"], []).append(r["_v"])
+    return {width: unit(np.array(v, dtype=np.float64)) for width, v in found.items()}
 
 
 def cells_of(points: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
@@ -44,15 +55,16 @@ def cells_of(points: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.
     return home, near
 
 
-def metric_join(vectors: DataFrame, cosine: float = 0.98, cell: int = 4000, most_pivots: int = 256, block: int = 2000) -> DataFrame:
+def metric_join(vectors: DataFrame, cosine: float = 0.98, cell: int = 50, most_pivots: int = 16, block: int = 8000) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label).
 
     Vectors of one non-null label link at cosine >= ``cosine`` in double precision. n_links counts
     the other rows linked directly; component_id is the smallest vec_id that links reach.
 
     Null, empty or zero vectors, and those with null or non-finite components, link with nothing;
-    so do vectors of other lengths. Equal vectors of a label are one node with a count, so copies
-    cost nothing. Pivots are at most ``most_pivots`` vectors, about one for ``cell`` distinct ones.
+    vectors of two lengths are never linked. Equal vectors of a label are one node with a count, so
+    copies cost nothing. Each length has pivots of its own, one for ``cell`` distinct vectors of a label
+    and ``most_pivots`` at most: a vector is copied to so many cells at most, whatever the data.
     A cell's members, at home or copied, are cut into blocks of about ``block`` by hash, and each
     block at home meets each block of members: a task holds two blocks whatever the cell's size.
     Repeated rows give a row each; a null vec_id takes part but names no component.
@@ -70,24 +82,23 @@ def metric_join(vectors: DataFrame, cosine: float = 0.98, cell: int = 4000, most
     n = distinct.count()
     if n == 0:
         return narrow.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    per_label = distinct.groupBy("label").count().agg(F.max("count")).first()[0]
-    pivots = choose_pivots(distinct, max(1, min(most_pivots, math.ceil(per_label / cell))))
+    pivots = choose_pivots(distinct, cell, most_pivots)
     radius = math.sqrt(max(0.0, 2.0 - 2.0 * cosine))
-    width = pivots.shape[1]
+    numbers = {width: k * most_pivots for k, width in enumerate(sorted(pivots))}  # cells of each length
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column("_v").to_pylist()
-            same = np.array([i for i, v in enumerate(raw) if len(v) == width], dtype=np.int64)
-            odd = [i for i in range(len(raw)) if len(raw[i]) != width]  # compared within their own length only
-            index, where, at_home = [np.array(odd, dtype=np.int64)], [np.array([-len(raw[i]) for i in odd], dtype=np.int64)], [np.ones(len(odd), dtype=bool)]
-            if len(same):
-                home, near = cells_of(unit(np.array([raw[i] for i in same.tolist()])), pivots, radius)
+            widths = np.array([len(v) for v in raw])
+            index, where, at_home = [], [], []
+            for width in np.unique(widths).tolist():
+                same = np.flatnonzero(widths == width)
+                home, near = cells_of(unit(np.array([raw[i] for i in same.tolist()])), pivots[width], radius)
                 i, q = np.nonzero(near)
-                index.append(same[i]), where.append(q), at_home.append(home[i] == q)
-            index, where, at_home = (np.concatenate(x) for x in (index, where, at_home))
-            keep = [batch.column(c).take(pa.array(index)) for c in ("label", "node", "copies", "rep", "_v")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(where, pa.int32()), pa.array(at_home)], names=["label", "node", "copies", "rep", "_v", "cell", "home"])
+                index.append(same[i]), where.append(q + numbers[width]), at_home.append(home[i] == q)
+            index, where, at_home = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (index, where, at_home))
+            keep = [batch.column(c).take(pa.array(index.astype(np.int64))) for c in ("label", "node", "copies", "rep", "_v")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(where, pa.int32()), pa.array(at_home.astype(bool))], names=["label", "node", "copies", "rep", "_v", "cell", "home"])
 
     label = vectors.schema["label"].dataType.simpleString()
     placed = distinct.select("label", "node", "copies", "rep", "_v").mapInArrow(place, f"label {label}, node bigint, copies bigint, rep bigint, _v array<double>, cell int, home boolean")

@@ -306,7 +306,8 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(1, 51)}, 101: 100, 102: 100, 103: 100}
 
 
-def test_metric_join(spark):
+@pytest.mark.parametrize("block", [40, 8000])
+def test_metric_join(spark, block):
     rng = np.random.default_rng(7)
     centre = rng.standard_normal((12, 16))
     rows = []
@@ -315,8 +316,11 @@ def test_metric_join(spark):
         rows.append((i, [float(x) for x in np.float32(v)], int(rng.integers(2)) if i % 40 else None))
     rows += [(260 + i, list(rows[1][1]), rows[1][2]) for i in range(6)]
     rows += [(300, None, 1), (301, [], 1), (302, [0.0] * 16, 1), (303, [float("nan")] * 16, 1), (304, [None] + [1.0] * 15, 1), (305, [float("inf")] * 16, 1), (306, [1.0, 2.0], 1), (307, [2.0, 4.0], 1), (308, [-0.0, 1.0], 1), (309, [0.0, 1.0], 1)]
+    for i in range(60):  # another length, with cells of its own
+        v = centre[rng.integers(3)][:9] + 0.05 * rng.standard_normal(9)
+        rows.append((400 + i, [float(x) for x in v], int(rng.integers(2))))
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").withColumn("cell", F.lit(1)).withColumn("node", F.lit("x"))
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_join.metric_join(df, cell=30, block=40).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_join.metric_join(df, cell=10 + 20 * (block == 40), block=block).collect()}
     usable = {i: np.array(v, dtype=float) for i, v, label in rows if v and label is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     label = {i: x for i, _, x in rows}
     links, root = collections.Counter(), {i: i for i, _, _ in rows}
@@ -482,14 +486,32 @@ def test_shards(spark, corpus):
     assert shards.lpt_shards(docs_of(spark, [])).count() == 0
 
 
-def test_longest_first():
-    rng = random.Random(6)
-    units = [(f"u{i}", rng.randint(1, 100)) for i in range(400)]
-    put = shards.longest_first(units, 16)
-    load = collections.Counter()
-    for name, n in units:
-        load[put[name]] += n
-    assert max(load.values()) - min(load.values()) <= 3
+def by_heap(sizes, n):
+    """Loads by the plain schedule, group by group."""
+    load = [0] * n
+    for size in sorted(sizes, reverse=True):
+        load[load.index(min(load))] += size
+    return load
+
+
+@pytest.mark.parametrize("groups", [400, 5, 3000])
+def test_longest_first(groups):
+    rng = random.Random(groups)
+    sizes = [rng.choice([1, 2, 3, 7, rng.randint(1, 100)]) for _ in range(groups)] + [2500] * 2
+    put = shards.longest_first(list(collections.Counter(sizes).items()), 16)
+    assert {s: sum(given) for s, given in put.items()} == collections.Counter(sizes)
+    assert [sum(s * given[k] for s, given in put.items()) for k in range(16)] == by_heap(sizes, 16)
+
+
+def test_shards_by_brute_force(spark):
+    rng = random.Random(3)
+    texts = ["x" * rng.choice([3, 3, 3, 8, rng.randint(0, 60)]) + rng.choice("abcdefgh") for _ in range(700)]
+    load, sizes = collections.Counter(), collections.Counter()
+    for r in shards.lpt_shards(docs_of(spark, texts)).collect():
+        load[r["shard"]] += r["size"]
+    for t in texts:
+        sizes[t] += len(t) + 1
+    assert sorted(load[s] for s in range(16)) == sorted(by_heap(sizes.values(), 16))
 
 
 def test_mix(spark, corpus):

@@ -175,7 +175,7 @@ def repeated_windows(stretches: list[bytes], rows: list[np.ndarray], length: int
     return [doc[owner], key[owner], pack(low[owner] + inner[first], count)]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "none", core: int = 200, block_bytes: int = 250_000, carry: tuple[str, ...] = (), crowd: int = 1000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "none", core: int = 200, block_bytes: int = 250_000, carry: tuple[str, ...] = (), crowd: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) and the columns ``carry`` for every row.
 
     A UTF-8 byte goes if a string of ``length`` bytes (a multiple of eight) that covers it also starts

@@ -391,45 +391,6 @@ def test_toxicity(spark, tmp_path):
     assert {r["score"] for r in empty} == {0.5}
 
 
-def kneser_ney(counts, discount=0.75):
-    """P(class) of five bytes by the formulas, from {bytes: count} of one class and of both."""
-    both = set().union(*counts)
-
-    def shared(g):
-        strings = both
-        for k in range(4, len(g) - 1, -1):
-            grown, strings = strings, {s[-k:] for s in strings}
-        n = collections.Counter(s[1:] for s in grown)
-        same = [s for s in n if s[:-1] == g[:-1]]
-        total, lower = sum(n[s] for s in same), shared(g[1:]) if len(g) > 1 else 1 / 256
-        return (max(n[g] - discount, 0) + discount * len(same) * lower) / total if total else lower
-
-    def p(g, side):
-        same = [s for s in counts[side] if s[:4] == g[:4]]
-        total = sum(counts[side][s] for s in same)
-        return (max(counts[side].get(g, 0) - discount, 0) + discount * len(same) * shared(g[1:])) / total if total else shared(g[1:])
-
-    return lambda g: np.log(p(g, 0)) - np.log(p(g, 1))
-
-
-def test_kneser_ney_by_hand(spark):
-    texts = [("you zgrumk thing", 1), ("the thing", 0), ("a stone, the zgr", 0), ("Été 42 zgrumk", 1), (None, 0), ("the\nTHING", 1)]
-    counts = [collections.Counter(), collections.Counter()]
-    for text, toxic in texts:
-        raw = b"    " + (text or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\n", b"abcdefghijklmnopqrstuvwxyz ")) + b" "
-        counts[1 - toxic].update(raw[i : i + 5] for i in range(len(raw) - 4))
-    rows = spark.createDataFrame([((t or "").encode(), y) for t, y in texts], "text binary, _y int")
-    for held in (1, 10**6):
-        got = {r["code"].to_bytes(5, "big"): (r["toxic"], r["ordinary"]) for r in ({**x.asDict()} for x in toxicity.count_grams(rows, held).collect())}
-        assert got == {g: (counts[0][g], counts[1][g]) for g in set().union(*counts)}
-    seen, unseen = toxicity.log_ratios(toxicity.count_grams(rows))
-    ratio = kneser_ney(counts)
-    for r in seen.collect():
-        assert r["ratio"] == pytest.approx(ratio(r["code"].to_bytes(5, "big")), abs=1e-9)
-    for r in unseen.collect():
-        assert r["ratio"] == pytest.approx(ratio(r["code"].to_bytes(4, "big") + b"\xff"), abs=1e-9)
-
-
 def test_quality(spark, corpus):
     rng = random.Random(4)
     texts = corpus + ["a b\na b\n \nc | # $", "".join(chr(rng.randint(33, 126)) for _ in range(9000)).replace(" ", ""), " ".join("".join(chr(rng.randint(161, 2000)) for _ in range(9)) for _ in range(900))]

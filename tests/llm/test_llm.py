@@ -369,6 +369,54 @@ def test_language(spark, tables):
     assert sum(r["lang_pred"] == r["lang"] for r in held) >= 0.93 * len(held)
 
 
+def byte_model(texts, discount=1.0):
+    """Two Kneser-Ney models by the formula: {string of 3 to 5 bytes: (P toxic, P ordinary)} of (text, toxic) pairs."""
+    sides = [collections.Counter(), collections.Counter()]
+    for text, toxic in texts:
+        padded = "    " + text + " "
+        sides[toxic].update({padded[i : i + 5] for i in range(len(padded) - 4)})
+    low = min(sum(c.values()) for c in sides)
+    own = {5: [{g: n * low / sum(c.values()) for g, n in c.items()} for c in sides]}
+    for k in (4, 3):
+        own[k] = [collections.Counter(), collections.Counter()]
+        for c, more in zip(own[k], own[k + 1]):
+            for g, n in more.items():
+                c[g[1:]] += n
+    levels, strings = {}, {g for c in own[3] for g in c}
+    for k in (2, 1):
+        levels[k] = collections.Counter(g[1:] for g in strings)
+        strings = set(levels[k])
+
+    def shared(g):
+        if not g:
+            return 1 / 256
+        after = {h: n for h, n in levels[len(g)].items() if h[:-1] == g[:-1]}
+        return (levels[len(g)][g] - 0.75 + 0.75 * len(after) * shared(g[1:])) / sum(after.values())
+
+    def p(g, toxic):
+        if len(g) == 2:
+            return shared(g)
+        after = {h: n for h, n in own[len(g)][toxic].items() if h[:-1] == g[:-1]}
+        lower = p(g[1:], toxic)
+        if not after:
+            return lower
+        left = sum(min(n, discount) for n in after.values())
+        return (max(after.get(g, 0) - discount, 0) + left * lower) / sum(after.values())
+
+    return {g: (p(g, 1), p(g, 0)) for k in own for c in own[k] for g in c}
+
+
+def test_byte_model_by_the_formula(spark):
+    texts = [("you fool you", 1), ("fools fool", 1), ("the fool", 1), ("the house you see", 0), ("a house of stone", 0), ("see the stone house", 0), ("the pool", 0), ("", 0)]
+    rows = spark.createDataFrame([(t.encode(), y) for t, y in texts], "text binary, _y int")
+    seen, left = toxicity.log_ratios(toxicity.count_grams(rows))
+    model = toxicity.Model({k: toxicity.by_cell(seen[k], np.nan, toxicity.BITS[k]) for k in seen}, {k: toxicity.by_cell(left[k], 0.0, toxicity.BITS[k]) for k in left}, np.zeros(4))
+    want = {g: np.log(a / b) for g, (a, b) in byte_model(texts).items() if len(g) == 5}
+    codes = np.array([int.from_bytes(g.encode(), "big") for g in want])
+    assert len(want) > 40 and max(want.values()) > 0.5 and min(want.values()) < -0.5
+    np.testing.assert_allclose(model.ratios(codes), list(want.values()), atol=1e-4)
+
+
 def test_toxicity(spark, tmp_path):
     rng = random.Random(8)
     say = ["thing", "there", "and", "stone", "river", "under", "light", "house", "green", "walk"]

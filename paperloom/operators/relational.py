@@ -17,10 +17,14 @@ def membership(asked: DataFrame, present: DataFrame, by: list[str]) -> DataFrame
     return asked.join(there, by, "left").withColumn("missing", F.col("_there").isNull()).drop("_there")
 
 
-def array_overlap_join(a: DataFrame, b: DataFrame, left: str, right: str, array: str) -> DataFrame:
-    """(left, right, shared) of rows whose arrays share a member: an equi-join on the members."""
+def array_overlap_join(a: DataFrame, b: DataFrame, left: str, right: str, array: str, each_once: bool = False) -> DataFrame:
+    """(left, right, shared) of rows whose arrays share a member: an equi-join on the members.
+
+    ``each_once``: only pairs with ``left`` below ``right``, for a table joined with itself.
+    """
     x, y = a.select(left, F.explode(F.array_distinct(array)).alias("_m")), b.select(right, F.explode(F.array_distinct(array)).alias("_m"))
-    return x.join(y, "_m").groupBy(left, right).agg(F.count(F.lit(1)).alias("shared"))
+    met = x.join(y, "_m").where(F.col(left) < F.col(right)) if each_once else x.join(y, "_m")
+    return met.groupBy(left, right).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def either_key(rows: DataFrame, keys: DataFrame, a: str, b: str) -> DataFrame:

@@ -151,11 +151,11 @@ def upsert_last_wins(spark, d):  # noqa: ANN001
     return relational.upsert_last_wins(a, ["map_id", "activity_type", "work_id"], "ts").select("map_id", "activity_type", "work_id", "event_id")
 
 
-@query("WITH a AS (SELECT o_orderkey, list_distinct(list(l_partkey)) AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1), x AS (SELECT o_orderkey, unnest(p) AS m FROM a) SELECT x.o_orderkey AS a, y.o_orderkey AS b, count(*) AS shared FROM x JOIN x y USING (m) WHERE x.o_orderkey % 2 = 0 AND y.o_orderkey % 2 = 1 GROUP BY 1, 2")
+@query("WITH x AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS m FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT x.o AS a, y.o AS b, count(*) AS shared FROM x JOIN x y USING (m) WHERE x.o < y.o GROUP BY 1, 2")
 def array_overlap_join(spark, d):  # noqa: ANN001
-    o = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey")
-    sets = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey").agg(F.collect_set("l_partkey").alias("p"))
-    return relational.array_overlap_join(sets.where("o_orderkey % 2 = 0").withColumnRenamed("o_orderkey", "a"), sets.where("o_orderkey % 2 = 1").withColumnRenamed("o_orderkey", "b"), "a", "b", "p")
+    orders = table(spark, d, "orders").select("o_orderkey")
+    sets = table(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey").agg(F.collect_set("l_partkey").alias("p"))
+    return relational.array_overlap_join(sets.withColumnRenamed("o_orderkey", "a"), sets.withColumnRenamed("o_orderkey", "b"), "a", "b", "p", each_once=True)
 
 
 @query(with_(WORKS) + ", s AS (SELECT *, year >= 2020 AND cited_by_count >= 4000 AS sus FROM works), t AS (SELECT lower(title) AS k, year AS y, cited_by_count AS c, row_number() OVER (PARTITION BY lower(title) ORDER BY cited_by_count DESC, work_id) AS r FROM s WHERE NOT sus) SELECT work_id, (CASE WHEN sus AND (y < year OR c > 1.5 * cited_by_count) THEN y ELSE year END)::INT AS year FROM s LEFT JOIN t ON k = lower(title) AND r = 1")

@@ -35,10 +35,10 @@ WORKS = r"""works AS (
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACED), F.lit(0))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 12), " ").alias("query"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
 
 
-QUERIES = r"""queries AS (SELECT item_id AS query_id, array_to_string(list_slice(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D ]+'), 1, 12), ' ') AS query FROM benchmark)"""
+QUERIES = r"""queries AS (SELECT item_id AS query_id, array_to_string(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D ]+'), ' ') AS query FROM benchmark)"""
 
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,10 +12,13 @@ WIDTHS = (1, 3, 5, 10)
 
 def era_width(works: DataFrame, by: str) -> DataFrame:
     """(by, width): 1, 3, 5 or 10 years by the span between the quartile entries, wider until six eras do."""
-    counted = works.where(F.col("year").isNotNull()).groupBy(by).agg(F.sort_array(F.collect_list("year")).alias("_y"))
-    n = F.size("_y")
-    at = lambda i: F.get("_y", i.cast("int"))
-    span = F.when(n >= 4, at(F.floor(3 * n / 4)) - at(F.floor(n / 4))).otherwise(at(n - 1) - at(F.lit(0))) + 1
+    years = works.where(F.col("year").isNotNull()).groupBy(by, "year").agg(F.count(F.lit(1)).alias("_c"))
+    within = Window.partitionBy(by)
+    placed = years.withColumn("_end", F.sum("_c").over(within.orderBy("year"))).withColumn("_n", F.sum("_c").over(within))
+    at = lambda i: F.min(F.when(F.col("_end") > i, F.col("year")))  # noqa: E731 - the entry i of all years in order
+    n = F.col("_n")
+    counted = placed.groupBy(by).agg(F.collect_list("year").alias("_y"), F.max("_n").alias("_n"), at(F.floor(n / 4)).alias("_low"), at(F.floor(3 * n / 4)).alias("_high"), F.min("year").alias("_first"), F.max("year").alias("_last"))
+    span = F.when(n >= 4, F.col("_high") - F.col("_low")).otherwise(F.col("_last") - F.col("_first")) + 1
     first = F.when(span <= 4, 1).when(span <= 12, 3).when(span <= 25, 5).otherwise(10)
     eras = lambda w: F.size(F.array_distinct(F.transform("_y", lambda y: F.floor(y / w))))
     width = F.when(first == 10, 10)
@@ -35,10 +38,11 @@ def milestones(works: DataFrame, by: list[str], percentile: float = 0.9, least_c
 
 
 def temporal_map(works: DataFrame, by: str) -> DataFrame:
-    """(by, era, n, papers): works of each era nested, the most cited first."""
+    """(by, era, n, rank, work_id, year, cited_by_count): works of each era in rows, the most cited first."""
     rows = works.join(era_width(works, by), by, "left").withColumn("era", era_label(F.col("year"), F.coalesce("width", F.lit(10))))
-    papers = F.array_sort(F.collect_list(F.struct((-F.col("cited_by_count")).alias("o"), "work_id", "year", "cited_by_count")))
-    return rows.groupBy(by, "era").agg(F.count(F.lit(1)).alias("n"), F.transform(papers, lambda p: p.dropFields("o")).alias("papers"))
+    era = Window.partitionBy(by, "era")
+    ranked = rows.withColumn("rank", F.row_number().over(era.orderBy(F.desc("cited_by_count"), "work_id"))).withColumn("n", F.count(F.lit(1)).over(era))
+    return ranked.select(by, "era", "n", "rank", "work_id", "year", "cited_by_count")
 
 
 def node_timeline(parts: DataFrame, width: int = 5) -> DataFrame:

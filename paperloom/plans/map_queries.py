@@ -21,9 +21,9 @@ def era_width(spark, d):  # noqa: ANN001
     return temporal.era_width(works(spark, d), "topic")
 
 
-@query(with_(WORKS, WIDTH) + "SELECT topic, era, count(*) AS n, string_agg(work_id::VARCHAR, ',' ORDER BY cited_by_count DESC, work_id) AS work_ids FROM eras GROUP BY 1, 2")
+@query(with_(WORKS, WIDTH) + "SELECT topic, era, count(*) OVER (PARTITION BY topic, era) AS n, (row_number() OVER (PARTITION BY topic, era ORDER BY cited_by_count DESC, work_id))::INT AS rank, work_id FROM eras")
 def temporal_map(spark, d):  # noqa: ANN001
-    return temporal.temporal_map(works(spark, d), "topic").select("topic", "era", "n", F.array_join(F.transform("papers", lambda p: p["work_id"].cast("string")), ",").alias("work_ids"))
+    return temporal.temporal_map(works(spark, d), "topic").select("topic", "era", "n", "rank", "work_id")
 
 
 @query(with_(WORKS, WIDTH) + ", r AS (SELECT *, row_number() OVER w - 1 AS i, least(floor(count(*) OVER (PARTITION BY topic, era) * 0.9::DOUBLE), count(*) OVER (PARTITION BY topic, era) - 1) AS a FROM eras WINDOW w AS (PARTITION BY topic, era ORDER BY cited_by_count)), e AS (SELECT *, max(CASE WHEN i = a THEN cited_by_count END) OVER (PARTITION BY topic, era) AS edge FROM r) SELECT topic, era, work_id FROM e WHERE cited_by_count >= edge AND cited_by_count > 100")

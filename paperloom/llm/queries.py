@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, embedding_join, jaccard_join, language_id, mixing, quality, recompression, shards, suffix_dedup, toxicity
+from paperloom.llm import bpe, embedding_join, jaccard_join, language_id, mixing, quality, recompression, shards, suffix_dedup, token_files, toxicity
 from paperloom.tables import table
 
 
@@ -56,6 +56,11 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_tokens(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_suffix_array": op2_suffix_array,
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_systematic_mix": op8_systematic_mix,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_recompression": op10_recompression,
+    "op11_token_files": op11_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_systematic_mix": mixing.OP8_SQL}

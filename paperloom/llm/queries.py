@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, embedding_join, jaccard_join, language_id, mixing, quality, recompression, shards, suffix_dedup, token_files, toxicity
+from paperloom.llm import bpe, embedding_join, filter_audit, jaccard_join, language_id, mixing, quality, recompression, shards, suffix_dedup, token_files, toxicity
 from paperloom.tables import table
 
 
@@ -61,6 +61,11 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filter_audit.judged_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.filter_audit(rows, list("ABCDE"), ["good", "toxic"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_suffix_array": op2_suffix_array,
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_recompression": op10_recompression,
     "op11_token_files": op11_token_files,
+    "op12_filter_audit": op12_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_systematic_mix": mixing.OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_systematic_mix": mixing.OP8_SQL, "op12_filter_audit": filter_audit.OP12_SQL}

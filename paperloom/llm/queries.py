@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, embedding_join, filter_audit, jaccard_join, language_id, mixing, quality, recompression, shards, suffix_dedup, token_files, toxicity
+from paperloom.llm import bpe, collocations, embedding_join, filter_audit, jaccard_join, language_id, mixing, quality, recompression, shards, suffix_dedup, token_files, toxicity
 from paperloom.tables import table
 
 
@@ -66,6 +66,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(rows, list("ABCDE"), ["good", "toxic"])
 
 
+def op13_phrase_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_suffix_array": op2_suffix_array,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_recompression": op10_recompression,
     "op11_token_files": op11_token_files,
     "op12_filter_audit": op12_filter_audit,
+    "op13_phrase_tiles": op13_phrase_tiles,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_systematic_mix": mixing.OP8_SQL, "op12_filter_audit": filter_audit.OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_systematic_mix": mixing.OP8_SQL, "op12_filter_audit": filter_audit.OP12_SQL, "op13_phrase_tiles": collocations.OP13_SQL}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.components import connected_components
+from paperloom.llm.components import component_members
 from paperloom.tables import stable
 
 
@@ -67,7 +67,8 @@ def metric_join(vectors: DataFrame, cosine: float = 0.98, cell: int = 50, most_p
     and ``most_pivots`` at most: a vector is copied to so many cells at most, whatever the data.
     A cell's members, at home or copied, are cut into blocks of about ``block`` by hash, and each
     block at home meets each block of members: a task holds two blocks whatever the cell's size.
-    Repeated rows give a row each; a null vec_id takes part but names no component.
+    Repeated rows give a row each. A null vec_id takes part and links what lies on both sides of it, but
+    names no component: where all ids are null, component_id is null and the rows are kept.
     """
     ok = F.coalesce(F.size("embedding") > 0, F.lit(False)) & F.col("label").isNotNull()
     ok = ok & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
@@ -129,16 +130,14 @@ def metric_join(vectors: DataFrame, cosine: float = 0.98, cell: int = 50, most_p
 
     found = stable(pairs.groupBy("label", "cell", "_i", "_j").applyInArrow(join, "node bigint, n bigint, other bigint"))
     linked = found.where("n >= 0").groupBy("node").agg(F.sum("n").alias("_n"))
-    reps = distinct.select("node", "rep").where("rep IS NOT NULL")
-    edges = found.where("n < 0").select("node", "other").distinct()
-    a, b = reps.select(F.col("node").alias("node_a"), F.col("rep").alias("a")), reps.select(F.col("node").alias("node_b"), F.col("rep").alias("b"))
-    edges = edges.join(a, F.col("node") == F.col("node_a")).join(b, F.col("other") == F.col("node_b")).select("a", "b")
-    roots = connected_components(edges)
-    named = distinct.select("label", "k1", "k2", "node", "copies", "rep").join(linked, "node", "left").join(roots.withColumnRenamed("node", "_r"), F.col("rep") == F.col("_r"), "left")
-    named = named.select(F.col("label").alias("_label"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), (F.col("copies") - 1 + F.coalesce("_n", F.lit(0))).alias("_links"), F.coalesce("root", "rep").alias("_root"))
+    members = stable(component_members(found.where("n < 0").select("node", "other")))
+    names = distinct.select("node", "rep").join(members, "node").groupBy("root").agg(F.min("rep").alias("_name"))
+    named = distinct.select("label", "k1", "k2", "node", "copies", "rep").join(linked, "node", "left").join(members, "node", "left").join(names, "root", "left")
+    name = F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("_name"))
+    named = named.select(F.col("label").alias("_label"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), (F.col("copies") - 1 + F.coalesce("_n", F.lit(0))).alias("_links"), name.alias("_root"))
     match = (F.col("label") == F.col("_label")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
     out = narrow.join(named, match, "left").select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_root", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def exact(products: np.ndarray, points: np.ndarray, a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:

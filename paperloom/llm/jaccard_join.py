@@ -25,12 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.components import connected_components
+from paperloom.llm.components import component_members
 from paperloom.llm.repeats import keyed
 from paperloom.llm.words import in_groups, mix, shingle_sets, text_groups
-from paperloom.tables import stable
-
-NAMELESS = 1 << 62  # from here on, a node stands for copies none of which has a doc_id
+from paperloom.tables import landed, stable
 
 
 def needed(a: int, b: int, percent: int) -> int:
@@ -270,29 +268,29 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: in
     Null or empty texts, or texts without a word: n_shingles 0, linked with nothing, kept. Equal sets
     are one node from the start. Blocks above ``block`` sets are cut by hash and every two pieces
     searched together, so a task holds 2 x ``block`` sets at most. A null doc_id takes part like any
-    other, but names no component: one of null doc_ids only has a null component_id. doc_ids lie
-    below 2 ** 62. Repeated rows each give a row; an empty table gives none. Other columns are not read.
+    other, but names no component: one of null doc_ids only has a null component_id. Of texts under
+    one doc_id each has its own set and its own links. Repeated rows each give a row; an empty table gives
+    none. Other columns are not read.
     """
     spark = docs.sparkSession
     texts = keyed(docs)
     narrow = stable(shingle_table(texts, k))
-    node = F.coalesce("doc_id", F.lit(NAMELESS) + F.shiftrightunsigned("k1", 3))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
     classes = narrow.where("n_shingles > 0").groupBy("k1", "k2").agg(
-        F.min(node).alias("rep"), F.min_by("key", F.struct(node, "key")).alias("rep_key"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("members")
+        F.min("doc_id").alias("rep"), F.min_by("key", first).alias("rep_key"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("members")
     )
-    classes = stable(classes)
+    classes = landed(classes.withColumn("node", F.monotonically_increasing_id()))
     meeting = stable(first_shingles(texts, classes, narrow.count(), k, percent))
-    family = connected_components(chains(meeting, percent))
-    family = family.union(family.select(F.col("root").alias("node"), "root").distinct())
-    members = stable(classes.join(family, classes["k1"] == family["node"]).select("rep", "rep_key", "k1", "k2", "root"))
+    family = component_members(chains(meeting, percent)).withColumnRenamed("node", "_k1")
+    members = stable(classes.join(family, F.col("k1") == F.col("_k1")).select("node", "rep_key", "k1", "k2", "root"))
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
     total = members.count()
     many = max(1, total // (block // 2))
     cuts = F.ceil(F.col("_n") / block).cast("int")
-    placed = members.join(sizes, "root").withColumn("_cuts", cuts).withColumn("_cut", F.pmod(F.xxhash64("rep"), F.col("_cuts")).cast("int"))
+    placed = members.join(sizes, "root").withColumn("_cuts", cuts).withColumn("_cut", F.pmod(F.xxhash64("node"), F.col("_cuts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1))
-    placed = placed.select("rep", "rep_key", "k1", "k2", "root", "_cuts", "_cut", other.alias("_other")).select(
-        "rep",
+    placed = placed.select("node", "rep_key", "k1", "k2", "root", "_cuts", "_cut", other.alias("_other")).select(
+        "node",
         "rep_key",
         "k1",
         "k2",
@@ -302,30 +300,29 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: in
     )
     texts = texts.select("key", "text")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # the search is heavy for its bytes, by which tasks would be merged
-    candidates = texts.join(placed, texts["key"] == placed["rep_key"]).select("rep", "k1", "k2", "bucket", "i", "j", "text").repartition(tasks, "bucket", "i", "j")
+    candidates = texts.join(placed, texts["key"] == placed["rep_key"]).select("node", "k1", "k2", "bucket", "i", "j", "text").repartition(tasks, "bucket", "i", "j")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        found, reps, seen = [], [], set()
+        found, nodes, seen = [], [], set()
         texts = group["text"].tolist()
         made = (s for at in in_groups(texts) for s in shingle_sets(texts[at], k))
-        for rep, k1, k2, shingles in zip(group["rep"].tolist(), group["k1"].tolist(), group["k2"].tolist(), made):
-            if (rep, k1, k2) not in seen and set_keys(shingles) == (k1, k2):
-                seen.add((rep, k1, k2))
+        for node, k1, k2, shingles in zip(group["node"].tolist(), group["k1"].tolist(), group["k2"].tolist(), made):
+            if node not in seen and set_keys(shingles) == (k1, k2):
+                seen.add(node)
                 found.append(shingles)
-                reps.append(rep)
+                nodes.append(node)
         if not found:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         root = reach(found, percent)
-        links = [(reps[i], reps[r]) for i, r in enumerate(root) if reps[i] != reps[r]]
+        links = [(nodes[i], nodes[r]) for i, r in enumerate(root) if i != r]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     links = candidates.groupBy("bucket", "i", "j").applyInPandas(run, "a bigint, b bigint")
-    roots = connected_components(links)
-    first = classes.select(F.col("rep").alias("_first"), F.col("rep_key").alias("_first_key"))
-    named = classes.join(roots, classes["rep"] == roots["node"], "left").select("k1", "k2", "rep_key", F.coalesce("root", "rep").alias("_root"), F.col("root").isNotNull().alias("_moved"))
-    moved = named.where("_moved").join(first, F.col("_root") == F.col("_first")).drop("_first")
-    named = moved.unionByName(named.where("NOT _moved").withColumn("_first_key", F.col("rep_key")))
-    named = named.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_root", "_first_key")
+    roots = stable(component_members(links))
+    names = classes.join(roots, "node").groupBy("root").agg(F.min("rep").alias("_name"), F.min_by("rep_key", F.struct(F.col("rep").isNull(), "rep", "rep_key")).alias("_name_key"))
+    named = classes.join(roots, "node", "left").join(names, "root", "left")
+    alone = F.col("root").isNull()
+    named = named.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.when(alone, F.col("rep")).otherwise(F.col("_name")).alias("_root"), F.when(alone, F.col("rep_key")).otherwise(F.col("_name_key")).alias("_first_key"))
     linked = (F.col("n_shingles") > 0) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
-    component = F.when(F.col("_root").isNull(), F.col("doc_id")).when(F.col("_root") < NAMELESS, F.col("_root"))
+    component = F.coalesce("_root", "doc_id")
     return narrow.join(named, linked, "left").select("doc_id", "n_shingles", component.alias("component_id"), "key", F.coalesce(F.col("key") == F.col("_first_key"), F.lit(True)).alias("kept"))

@@ -136,6 +136,22 @@ def canonical_ids(spark, d):  # noqa: ANN001
     return store.canonical_ids(records)
 
 
+@query("""
+WITH RECURSIVE r AS (SELECT doc_id AS record_id, doc_id * 7919 % 1009 AS priority, CASE WHEN (doc_id + 1) // 2 * 2 % 5000 != 0 THEN 'k' || ((doc_id + 1) // 2)::VARCHAR END AS doi, 't' || (doc_id // 2)::VARCHAR AS title FROM documents),
+e AS (SELECT DISTINCT a.record_id AS x, b.record_id AS y FROM r a JOIN r b ON a.doi = b.doi OR a.title = b.title),
+c AS (SELECT record_id AS x, record_id AS y FROM r UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x)
+SELECT c.x AS record_id, arg_min(r.record_id, (r.priority, r.record_id)) AS canonical_id FROM c JOIN r ON r.record_id = c.y GROUP BY 1""")
+def canonical_ids_of_chains(spark, d):  # noqa: ANN001
+    """Records that only share keys with the next and the one before, 5,000 in a row."""
+    from paperloom.tables import table
+
+    i = F.col("doc_id")
+    half = F.floor((i + 1) / 2)
+    doi = F.when(half * 2 % 5000 != 0, F.concat(F.lit("k"), half.cast("string")))
+    records = table(spark, d, "documents").select(i.alias("record_id"), (i * 7919 % 1009).alias("priority"), doi.alias("doi"), F.lit(None).cast("string").alias("arxiv_id"), F.concat(F.lit("t"), F.floor(i / 2).cast("string")).alias("title"))
+    return store.canonical_ids(records)
+
+
 @query(with_(ACTIVITY) + "SELECT time_bucket(INTERVAL 1 HOUR, ts)::VARCHAR AS start, activity_type, count(*) AS n FROM activity GROUP BY 1, 2")
 def usage_by_hour(spark, d):  # noqa: ANN001
     return streams.usage_by_window(activity(spark, d)).withColumn("start", F.col("start").cast("string"))

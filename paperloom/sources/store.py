@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.functions.text import normalize_doi, text_from_inverted_index
+from paperloom.functions.text import normalize_arxiv_id, normalize_doi, text_from_inverted_index
+from paperloom.operators.components import connected_components
+from paperloom.tables import stable
 
 WORK = T.StructType(
     [
@@ -85,19 +87,16 @@ def canonical_ids(records: DataFrame) -> DataFrame:
     """(record_id, canonical_id): records that share a DOI, an arXiv id or a lower-case title, directly or through others.
 
     ``records``: record_id, priority (of the source), doi, arxiv_id, title. The canonical id is the
-    record of the least (priority, record_id). Key edges go to the least record of each key; labels
-    then pass along them until they settle, with lineage cut each round.
+    record of the least (priority, record_id) that shared keys reach, however many of them lie between;
+    so it doesn't depend on the order of arrival. Each key is a star around its least record, and the
+    stars are contracted: a round about halves what is left of a chain. Of records given more than
+    once the least priority counts; a null priority comes last. Records without a key are their own.
     """
-    from paperloom.tables import stable
-
-    keys = records.select("record_id", F.explode(F.array(F.concat(F.lit("d:"), normalize_doi(F.col("doi"))), F.concat(F.lit("a:"), F.col("arxiv_id")), F.concat(F.lit("t:"), F.lower(F.nullif(F.trim("title"), F.lit("")))))).alias("key")).where("key IS NOT NULL")
-    keys = stable(keys.distinct())
-    label = stable(records.select("record_id", F.struct("priority", "record_id").alias("best")).distinct())
-    for _ in range(50):
-        of_key = keys.join(label, "record_id").groupBy("key").agg(F.min("best").alias("best"))
-        offered = keys.join(of_key, "key").groupBy("record_id").agg(F.min("best").alias("_b"))
-        new = stable(label.join(offered, "record_id", "left").select("record_id", F.least("best", F.coalesce("_b", "best")).alias("best"), (F.col("_b") < F.col("best")).alias("_moved")))
-        if new.where("_moved").isEmpty():
-            return new.select("record_id", F.col("best.record_id").alias("canonical_id"))
-        label = new.select("record_id", "best")
-    raise RuntimeError("canonical ids did not settle")
+    keys = F.array(F.concat(F.lit("d:"), normalize_doi(F.col("doi"))), F.concat(F.lit("a:"), F.nullif(normalize_arxiv_id(F.col("arxiv_id")), F.lit(""))), F.concat(F.lit("t:"), F.lower(F.nullif(F.trim("title"), F.lit("")))))
+    first = stable(records.groupBy("record_id").agg(F.min("priority").alias("priority"), F.flatten(F.collect_set(F.array_compact(keys))).alias("keys")))
+    node = F.struct(F.coalesce(F.col("priority").cast("long"), F.lit(2**63 - 1)).alias("priority"), "record_id")
+    held = first.select(node.alias("node"), F.explode("keys").alias("key")).distinct()
+    stars = held.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least")
+    roots = connected_components(held.join(stars, "key").select("node", "least"))
+    moved = roots.select(F.col("node.record_id").alias("_moved"), F.col("root.record_id").alias("_to"))
+    return first.select("record_id").join(moved, F.col("record_id") == F.col("_moved"), "left").select("record_id", F.coalesce("_to", "record_id").alias("canonical_id"))

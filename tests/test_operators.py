@@ -145,3 +145,14 @@ def test_pairs_of_a_hub_beyond_ten_thousand(spark):
     cites = spark.range(10_001).select(F.lit(0).cast("long").alias("from_id"), (-F.col("id") - 1).alias("to_id"))
     got = graph.co_citation(cites.union(spark.createDataFrame(pair, "a long, b long")), least=3).collect()
     assert {(r["work_id"], r["other_id"], r["shared"]) for r in got} == {(-1, -2, 3), (-2, -1, 3)}
+
+
+def test_canonical_ids_over_long_chains(spark):
+    n = 5000
+    rows = [(f"r{i}", (i * 7919) % 1009, f"10.1/k{(i + 1) // 2}", None, f" T{i // 2} ") for i in range(n)]
+    rows += [("x1", 5, None, "https://arxiv.org/abs/2301.1v2", None), ("x2", 1, None, "2301.1", "t"), ("x3", 0, "doi:", "", " "), ("x4", None, None, "arxiv:2301.1", "u"), ("x4", 9, None, None, "u"), ("x5", 2, "", None, "U")]
+    found = {r["record_id"]: r["canonical_id"] for r in store.canonical_ids(spark.createDataFrame(rows, "record_id string, priority int, doi string, arxiv_id string, title string").repartition(4)).collect()}
+    best = min((p, r) for r, p, *_ in rows[:n])[1]
+    assert {found[f"r{i}"] for i in range(n)} == {best} and len(found) == n + 5
+    assert {k: found[k] for k in ("x1", "x2", "x3", "x4", "x5")} == {"x1": "x2", "x2": "x2", "x3": "x3", "x4": "x2", "x5": "x2"}
+    assert store.canonical_ids(spark.createDataFrame([], "record_id string, priority int, doi string, arxiv_id string, title string")).collect() == []

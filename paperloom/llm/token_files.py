@@ -33,13 +33,19 @@ SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 #: First bytes that can't begin white space: a word begins at one space before them, whatever came before.
 WORD_AHEAD = np.zeros(256, dtype=bool)
 WORD_AHEAD[[*range(0x21, 0x7F), *range(0xC3, 0xE0), *range(0xE4, 0xF5)]] = True
+LETTER, SYMBOL, SECOND = np.zeros((3, 256), dtype=bool)  # letters and symbols of ASCII; second bytes of the letters that begin with 0xC3
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+SYMBOL[[x for x in range(0x21, 0x7F) if not chr(x).isalnum()]] = True
+SECOND[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
+JOINED = 64  # stretches that go to the library as one text
 
 
 class Encoder:
-    """The tokenizers library behind a cache of space-led stretches.
+    """The tokenizers library behind a cache of short stretches.
 
     The vocabulary's pattern begins a new match at any single space before a character that is not
-    white space, so stretches between such places are encoded alone with the same ids. Each
+    white space, and between a letter and a symbol, so stretches between such places are encoded
+    alone, or after any other, with the same ids. Each
     different stretch of a group goes to the library once, and not again while the cache has it;
     the cache starts anew from the last group's repeated stretches beyond ``most`` bytes of them.
     """
@@ -50,6 +56,9 @@ class Encoder:
 
         self.library = Tokenizer.from_str(json)
         self.library.encode_special_tokens = True  # their names in a text are ordinary text
+        vocabulary = self.library.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        self.bytes[list(vocabulary.values())] = [len(x) for x in vocabulary]  # a token is written with a character for each byte
         self.most, self.held = most, 0
         self.number: dict[bytes, int] = {}
         self.ids, self.first = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)  # ids of stretch i are first[i] to first[i + 1]
@@ -61,6 +70,8 @@ class Encoder:
         start = np.cumsum(size) - size
         cut = np.zeros(len(data) + 1, dtype=bool)
         cut[: max(0, len(data) - 1)] = (data[:-1] == 0x20) & WORD_AHEAD[data[1:]]
+        cut[1 : len(data)] |= LETTER[data[:-1]] & SYMBOL[data[1:]]
+        cut[2 : len(data)] |= (data[:-2] == 0xC3) & SECOND[data[1:-1]] & SYMBOL[data[2:]]
         cut[start[start > 0] - 1] = False  # what follows a text's last byte is another text
         cut[start] = True
         begin = np.flatnonzero(cut[: len(data)])
@@ -78,17 +89,39 @@ class Encoder:
     def numbers(self, raw: list[bytes]) -> np.ndarray:
         """The cache's numbers of different stretches; the library encodes those that it doesn't have."""
         found = np.fromiter(map(self.number.get, raw, repeat(-1)), dtype=np.int64, count=len(raw))
-        new = [raw[i] for i in np.flatnonzero(found < 0).tolist()]
-        if new:
-            lists = [e.ids for e in self.library.encode_batch_fast([x.decode(errors="replace") for x in new], add_special_tokens=False)]
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [raw[i] for i in missing.tolist()]
+            ids, n = self.from_library(new)
             have = len(self.first) - 1
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), dtype=np.uint32)])
-            self.first = np.append(self.first, self.first[-1] + np.cumsum([len(x) for x in lists]))
+            self.ids = np.concatenate([self.ids, ids])
+            self.first = np.append(self.first, self.first[-1] + np.cumsum(n))
             self.number.update(zip(new, range(have, have + len(new))))
             self.held += sum(map(len, new))
-            found[found < 0] = np.arange(have, have + len(new))
+            found[missing] = np.arange(have, have + len(new))
         return found
 
+    def from_library(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all stretches, how many each has). Those that begin with a space and no white space go many at a time, cut apart again by bytes."""
+        led = np.array([len(x) > 1 and x[0] == 0x20 and bool(WORD_AHEAD[x[1]]) for x in new])
+        n, parts = np.zeros(len(new), dtype=np.int64), [np.zeros(0, dtype=np.uint32)] * len(new)
+        many, alone = np.flatnonzero(led).tolist(), np.flatnonzero(~led).tolist()
+        for k in range(0, len(many), 100 * JOINED):
+            some = many[k : k + 100 * JOINED]
+            try:
+                texts = [b"".join(new[i] for i in some[j : j + JOINED]).decode() for j in range(0, len(some), JOINED)]
+            except UnicodeDecodeError:
+                alone += some
+                continue
+            ids = np.fromiter(chain.from_iterable(e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)), dtype=np.uint32)
+            begin = np.append(0, np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(new[i]) for i in some])) + 1)
+            for i, a, b in zip(some, begin.tolist(), begin[1:].tolist()):
+                parts[i] = ids[a:b]
+        for i, e in zip(alone, self.library.encode_batch_fast([new[i].decode(errors="replace") for i in alone], add_special_tokens=False)):
+            parts[i] = np.array(e.ids, dtype=np.uint32)
+        n[:] = [len(x) for x in parts]
+        return np.concatenate(parts), n
+
     def start_anew(self, keep: list[bytes]) -> None:
         keep = [x for x in keep if len(x) <= 64]
         number = self.numbers(keep)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions.phrases import Phrases
 from paperloom.functions.scores import term_score
 from paperloom.operators import graph
 
@@ -80,9 +81,7 @@ def scope_filter(works: DataFrame, topic: Column, domain: Column, aspect: Column
 
 def method_of(text: Column) -> Column:
     """The method whose longest term in the text is the longest of all; null without any. Ties by name."""
-    low = F.lower(text)
-    hits = [F.when(low.contains(term), F.struct(F.lit(-len(term)).alias("n"), F.lit(method).alias("method"))) for method, terms in METHODS.items() for term in terms]
-    return F.array_min(F.array_compact(F.array(*hits)))["method"]
+    return Phrases(METHODS.items()).longest(text)
 
 
 def method_mismatch(a: Column, b: Column) -> Column:

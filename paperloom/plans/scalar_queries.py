@@ -80,14 +80,6 @@ def language_guess(spark, d):  # noqa: ANN001
     return works(spark, d).select("work_id", text.language_guess(F.col("abstract"), FREQUENT).alias("language"))
 
 
-RULES = [(r"(^| )([Tt]he) .*(^| )of( |$)", "article"), (r"(^| )([Dd]er|[Dd]ie)( |$)", "artikel"), (r"(^| )([Ll]es?)( |$)", "livre")]
-
-
-@query(with_(WORKS) + "SELECT work_id, CASE " + " ".join(f"WHEN regexp_matches(title, '{p}') THEN '{n}'" for p, n in RULES) + " ELSE 'other' END AS category FROM works")
-def paper_category(spark, d):  # noqa: ANN001
-    return works(spark, d).select("work_id", text.first_match(F.col("title"), RULES, "other").alias("category"))
-
-
 @query(with_(WORKS) + "SELECT work_id, CASE WHEN topic_hit AND domain_hit THEN least(1.0, 0.8 + 0.0) WHEN topic_hit OR domain_hit THEN 0.4 ELSE 0.1 END::DOUBLE + CASE WHEN t2 AND d2 THEN 0.1 ELSE 0 END::DOUBLE AS relevance FROM (SELECT work_id, contains(lower(title || ' ' || coalesce(abstract, '')), 'thth') AS topic_hit, contains(lower(title || ' ' || coalesce(abstract, '')), 'ing') AS domain_hit, contains(lower(title), 'thth') AS t2, contains(lower(title), 'ing') AS d2 FROM works)")
 def relevance_by_scope(spark, d):  # noqa: ANN001
     term = lambda t: F.array(F.lit(t)) if t else F.array().cast("array<string>")

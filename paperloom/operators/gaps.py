@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.operators.similar import keep_first, similar_sets
+from paperloom.tables import stable
+
 
 def top(df: DataFrame, by: str, score: str, k: int, *ties: str) -> DataFrame:
     order = Window.partitionBy(by).orderBy(F.desc(score), *ties)
@@ -110,21 +113,15 @@ def detect_all(found: dict[str, DataFrame]) -> DataFrame:
 
 
 def dedupe_gaps(gaps: DataFrame) -> DataFrame:
-    """Gaps (map_id, gap_id, gap_score, words, evidence) without those like a better one of the map.
+    """Gaps (map_id, gap_id, gap_score, words, evidence) without those like a better one of the map that stays.
 
-    Alike: more than half of the smaller evidence set is shared, or the Jaccard similarity of the title words is above 0.5.
+    Alike: more than half of the smaller evidence set is shared, or the Jaccard similarity of the title
+    words is above 0.5. Better is the higher score, of equal ones the smaller gap_id.
     """
-    listed = gaps.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("gap_score")).alias("o"), "gap_id", "words", "evidence"))).alias("_l"))
-    size = lambda x, c: F.size(x[c])
-
-    def keep(kept: Column, x: Column) -> Column:
-        def alike(y: Column) -> Column:
-            ev, w = F.size(F.array_intersect(x["evidence"], y["evidence"])), F.size(F.array_intersect(x["words"], y["words"]))
-            return (ev > 0.5 * F.least(size(x, "evidence"), size(y, "evidence"))) | (w > 0.5 * (size(x, "words") + size(y, "words") - w))
-
-        return F.when(F.exists(kept, alike), kept).otherwise(F.concat(kept, F.array(x)))
-
-    return listed.select("map_id", F.explode(F.aggregate("_l", F.filter("_l", lambda x: F.lit(False)), keep)).alias("x")).select("map_id", "x.gap_id", (-F.col("x.o")).alias("gap_score"))
+    rows = stable(gaps.select("map_id", "gap_id", "gap_score", (-F.col("gap_score")).alias("_o"), "words", "evidence"))
+    by = ["map_id"]
+    alike = similar_sets(rows, by, "gap_id", "evidence", 50, strict=True, contained=True).unionByName(similar_sets(rows, by, "gap_id", "words", 50, strict=True))
+    return keep_first(rows, alike, by, "gap_id", ["_o"]).select("map_id", "gap_id", "gap_score")
 
 
 def evidence_filter(gaps: DataFrame, nodes: DataFrame, least: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import SPACED
+from paperloom.operators.similar import similar_sets
 from paperloom.tables import stable
 
 
@@ -92,14 +93,28 @@ def co_citation(edges: DataFrame, least: int = 3, k: int = 15, block: int = 2000
     return _both_ways(pairs, "shared", k)
 
 
-def bibliographic_coupling(edges: DataFrame, least: float = 0.2, k: int = 15, block: int = 2000) -> DataFrame:
-    """(work_id, other_id, coupling, rank): Jaccard similarity of reference lists."""
+def bibliographic_coupling(edges: DataFrame, percent: int = 20, k: int = 15) -> DataFrame:
+    """(work_id, other_id, coupling, rank): the ``k`` works most alike in what they cite, from a Jaccard similarity of ``percent`` on.
+
+    Works that cite the same are one list, so a crowd of them costs no pairs; different lists meet by
+    their rarest references (``similar_sets``). Of a list's works only the first k + 1 can be among the
+    best of another.
+    """
     e = edges.select("from_id", "to_id").distinct()
-    size = e.groupBy("from_id").agg(F.count(F.lit(1)).alias("n"))
-    pairs = _pairs(e, "to_id", "from_id", block).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_i"))
-    na, nb = size.select(F.col("from_id").alias("a"), F.col("n").alias("_na")), size.select(F.col("from_id").alias("b"), F.col("n").alias("_nb"))
-    jaccard = F.col("_i") / (F.col("_na") + F.col("_nb") - F.col("_i"))
-    return _both_ways(pairs.join(na, "a").join(nb, "b").select("a", "b", jaccard.alias("coupling")).where(F.col("coupling") >= least), "coupling", k)
+    lists = stable(e.groupBy("from_id").agg(F.sort_array(F.collect_list("to_id")).alias("refs")))
+    classes = lists.groupBy("refs").agg(F.min("from_id").alias("list_id"), F.count(F.lit(1)).alias("_works"))
+    classes = stable(classes)
+    works = stable(lists.join(classes.select("refs", "list_id"), "refs").select("list_id", F.col("from_id").alias("work_id")))
+    pairs = similar_sets(classes.select("list_id", "refs"), [], "list_id", "refs", percent).withColumn("coupling", F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")))
+    pairs = pairs.select("a", "b", "coupling")
+    both = pairs.union(pairs.select(F.col("b"), F.col("a"), "coupling")).union(classes.where("_works > 1").select(F.col("list_id").alias("a"), F.col("list_id").alias("b"), F.lit(1.0)))
+    within = Window.partitionBy("list_id").orderBy("work_id")
+    first = works.withColumn("_r", F.row_number().over(within)).where(F.col("_r") <= k + 1).select(F.col("list_id").alias("b"), F.col("work_id").alias("other_id"))
+    best = Window.partitionBy("a").orderBy(F.desc("coupling"), "other_id")
+    offered = both.join(first, "b").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).select("a", "other_id", "coupling")
+    order = Window.partitionBy("work_id").orderBy(F.desc("coupling"), "other_id")
+    own = works.join(offered, F.col("list_id") == F.col("a")).where("work_id <> other_id")
+    return own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("work_id", "other_id", "coupling", "rank")
 
 
 def _pairs(rows: DataFrame, key: str, member: str, block: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import content_tokens, spaced_tokens, tokens
+from paperloom.operators.similar import keep_first, similar_sets
+from paperloom.tables import stable
 
 
 def build_postings(works: DataFrame) -> DataFrame:
@@ -94,21 +96,19 @@ def pairwise_cosine(vectors: DataFrame, least: float = 0.0) -> DataFrame:
     return a.join(b, ["set_id", "term"]).where("a < b").groupBy("set_id", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= least)
 
 
-def drop_similar_titles(ranked: DataFrame, threshold: float = 0.4, most: int = 500) -> DataFrame:
-    """Of each query's best ``most`` works in rank order, those whose title resembles none kept before.
+def drop_similar_titles(ranked: DataFrame, percent: int = 40) -> DataFrame:
+    """(query_id, work_id, rank): works of each query whose title resembles none that stays before it in rank order.
 
-    ``ranked``: query_id, work_id, rank, words (distinct title words). A title without words stays.
-    The fold runs inside the query's row, a list of at most ``most`` structs.
+    ``ranked``: query_id, work_id, rank, words (distinct title words). Titles resemble each other from a
+    Jaccard similarity of ``percent`` on; a title without words stays. Of equal titles only the first can
+    stay, so only the first is compared with others; lists of any length are decided in rounds.
     """
-    listed = ranked.where(F.col("rank") <= most).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "work_id", "words"))).alias("_l"))
-
-    def keep(kept: Column, x: Column) -> Column:
-        both = lambda y: F.size(F.array_intersect(x["words"], y["words"]))
-        near = F.exists(kept, lambda y: (F.size(x["words"]) > 0) & (F.size(y["words"]) > 0) & (both(y) >= threshold * (F.size(x["words"]) + F.size(y["words"]) - both(y))))
-        return F.when(near, kept).otherwise(F.concat(kept, F.array(x)))
-
-    empty = F.filter("_l", lambda x: F.lit(False))
-    return listed.select("query_id", F.explode(F.aggregate("_l", empty, keep)).alias("x")).select("query_id", "x.work_id", "x.rank")
+    worded = F.size(F.coalesce("words", F.array().cast("array<string>"))) > 0
+    same = Window.partitionBy("query_id", "_w").orderBy("rank", "work_id")
+    first = ranked.where(worded).withColumn("_w", F.sort_array("words")).withColumn("_r", F.row_number().over(same)).where("_r = 1").select("query_id", "work_id", "rank", "words")
+    first = stable(first)
+    kept = keep_first(first, similar_sets(first, ["query_id"], "work_id", "words", percent), ["query_id"], "work_id", ["rank"])
+    return kept.select("query_id", "work_id", "rank").union(ranked.where(~worded).select("query_id", "work_id", "rank"))
 
 
 def vector_knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:

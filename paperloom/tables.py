@@ -25,10 +25,17 @@ def stable(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; the checkpoint folder, set where it was not."""
+    """The folder that the driver and all executors share; the checkpoint folder, set where it was not.
+
+    Only a local session may go without ``spark.checkpoint.dir``: on a cluster a folder of this machine
+    is one that executors don't see.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "paperloom-checkpoints"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "paperloom-checkpoints"))
     return sc.getCheckpointDir()
 
 
@@ -37,3 +44,11 @@ def landed(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``landed`` gave, once nothing reads it any more."""
+    files = df.inputFiles()
+    if files:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

@@ -1,11 +1,14 @@
 """Small cases with known results."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import scores, text
 from paperloom.operators import gaps, graph, ranking, relational, retrieval, usage
 from paperloom.sources import store
+from paperloom.tables import discard, landed
 
 
 def one(spark, column, **values):
@@ -156,3 +159,11 @@ def test_canonical_ids_over_long_chains(spark):
     assert {found[f"r{i}"] for i in range(n)} == {best} and len(found) == n + 5
     assert {k: found[k] for k in ("x1", "x2", "x3", "x4", "x5")} == {"x1": "x2", "x2": "x2", "x3": "x3", "x4": "x2", "x5": "x2"}
     assert store.canonical_ids(spark.createDataFrame([], "record_id string, priority int, doi string, arxiv_id string, title string")).collect() == []
+
+
+def test_landed_tables_can_be_discarded(spark):
+    df = landed(spark.range(5))
+    folder = os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+    assert df.count() == 5 and os.path.isdir(folder)
+    discard(df)
+    assert not os.path.exists(folder)

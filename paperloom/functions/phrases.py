@@ -53,7 +53,7 @@ class Phrases:
 
     def counts(self, text: Column) -> Column:
         """A struct with the number of different phrases of each label that the text has."""
-        return _once(self.found(text), lambda found: F.struct(*(F.size(F.array_intersect(found, F.array(*map(F.lit, phrases)))).alias(label) for label, phrases in self.rules)))
+        return once(self.found(text), lambda found: F.struct(*(F.size(F.array_intersect(found, F.array(*map(F.lit, phrases)))).alias(label) for label, phrases in self.rules)))
 
     def first(self, text: Column) -> Column:
         """The label of the first rule of which the text has a phrase; null without any."""
@@ -65,7 +65,7 @@ class Phrases:
                 out = F.when(hit, label) if out is None else out.when(hit, label)
             return out
 
-        return _once(self.found(text), ladder)
+        return once(self.found(text), ladder)
 
     def longest(self, text: Column) -> Column:
         """The label of the longest phrase that the text has, ties by label; null without any."""
@@ -73,6 +73,6 @@ class Phrases:
         return F.array_min(F.transform(self.found(text), lambda p: F.struct((-F.length(p)).alias("n"), F.element_at(label, p).alias("label"))))["label"]
 
 
-def _once(value: Column, use) -> Column:  # noqa: ANN001
+def once(value: Column, use) -> Column:  # noqa: ANN001
     """``use`` of a value that is computed once, whatever often ``use`` mentions it."""
     return F.get(F.transform(F.array(value), use), 0)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperloom.functions.phrases import Phrases, _once
+from paperloom.functions.phrases import Phrases, once
 
 # The terms that tell a domain in a query, and those that speak for and against it in a paper.
 DOMAINS = {
@@ -171,7 +171,7 @@ def _signals(domain: Column, title: Column, abstract: Column, use) -> Column:  #
     out = F.lit(None)
     for name, terms in DOMAINS.items():
         counts = Phrases([("boost", terms["boost"]), ("downrank", terms["downrank"])]).counts(F.concat(_empty(title), F.lit(" "), _empty(abstract)))
-        out = F.when(domain == name, _once(counts, lambda n: use(n["boost"], n["downrank"]))).otherwise(out)
+        out = F.when(domain == name, once(counts, lambda n: use(n["boost"], n["downrank"]))).otherwise(out)
     return out
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paperloom.functions.phrases import once
+
 
 def age(year: Column, as_of: int) -> Column:
     """Years since publication, not below 0; 10 for an unknown year."""
@@ -84,14 +86,19 @@ def reasons(scores: dict[str, tuple[Column, float]]) -> Column:
 
 
 def term_score(text: Column, terms: Column) -> Column:
-    """Best term: 1 if it is in the text, else the share of its words that are."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    """The best of some forms of a term (an array): 1 if the text has it as it stands, else the share of its words that are words of the text.
+
+    Both sides in lower case with single spaces. Null or blank forms and texts give 0.
+    """
+    plain = lambda x: F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"[\x09-\x0D ]+", " "))
+    words = lambda x: F.array_distinct(F.split(x, " "))
 
-    def one(term: Column) -> Column:
-        words = F.filter(F.split(F.lower(term), " "), lambda w: w != "")
-        return F.when(low.contains(F.lower(term)), 1.0).otherwise(F.size(F.filter(words, lambda w: low.contains(w))) / F.greatest(F.size(words), F.lit(1)))
+    def best(low: Column) -> Column:
+        have = F.struct(low.alias("text"), words(low).alias("words"))
+        one = lambda t, form: F.when(form == "", 0.0).when(t["text"].contains(form), 1.0).otherwise(F.size(F.array_intersect(words(form), t["words"])) / F.size(words(form)))
+        return once(have, lambda t: F.array_max(F.transform(F.transform(terms, plain), lambda form: one(t, form))))
 
-    return F.coalesce(F.array_max(F.transform(terms, one)), F.lit(0.0))
+    return F.coalesce(F.when(plain(text) != "", once(plain(text), best)), F.lit(0.0))
 
 
 def gap_confidence(detection: Column, status: Column, coverage: Column, sources: Column) -> Column:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from paperloom.functions.phrases import once
 
 TOKEN = r"[\p{L}\p{N}_]+"
 SPACED = r"[^\x09-\x0D ]+"
@@ -18,6 +23,19 @@ through about against up down out off which who whom what we our you your he she
 # Filler in titles, for near-duplicate titles.
 TITLE_STOP_WORDS = "a an the of for in on to and or with using based via towards from by".split()
 
+# Words of titles that tell nothing of a topic, where a title is looked for in an abstract.
+OVERLAP_STOP_WORDS = """
+a an the in of and or to for with on by from as at is are was were be its their this that via using based new we our paper propose
+proposed method approach results show study also can may use used two one first which these each both such than more most well has
+have been not but they it will would could should do does did had being over into
+""".split()
+# Frequent words of English and of Spanish.
+ENGLISH_WORDS = """
+the and of to in is that for it with as are on we this by from which an be have has can our their or not but more these such been
+also its may than between show propose method results paper approach model
+"""
+SPANISH_WORDS = "de la el en que y los se del las un por con para una es al lo como su más pero sus le ya este entre cuando"
+
 
 def tokens(text: Column) -> Column:
     """Runs of letters, digits and underscores, lower case."""
@@ -80,10 +98,17 @@ def normalize_arxiv_id(arxiv_id: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"(?i)\.pdf$", ""))
 
 
+@F.arrow_udf(T.StringType())
+def decomposed(text: pa.Array) -> pa.Array:
+    """The compatibility decomposition (NFKD) of texts, whole Arrow batches at a time; nulls stay."""
+    return pc.utf8_normalize(text, form="NFKD")
+
+
 def normalize_title(title: Column) -> Column:
     """Lower case, punctuation to spaces, version and preprint endings off, single spaces.
 
-    Accents stay as they are written; ``decomposed`` first gives the compatibility form.
+    Accents stay as they are written; of ``decomposed`` titles they part the word, as they do where
+    titles of several sources are compared.
     """
     x = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"[^\p{L}\p{N}_\x09-\x0D ]", " ")
     for ending in (r"[\x09-\x0D ]+v[0-9]+$", r"[\x09-\x0D ]+version[\x09-\x0D ]+[0-9]+$", r"[\x09-\x0D ]+arxiv$", r"[\x09-\x0D ]+preprint$"):
@@ -91,6 +116,27 @@ def normalize_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"[\x09-\x0D ]+", " "))
 
 
+def arxiv_id_in(text: Column) -> Column:
+    """The first arXiv id in an address or a text, by the first kind of mention that it has; null without one."""
+    kinds = (r"arxiv\.org/abs/([0-9]+\.[0-9]+)", r"arxiv\.org/pdf/([0-9]+\.[0-9]+)", r"arxiv:([0-9]+\.[0-9]+)", r"([0-9]{4}\.[0-9]{4,5})", r"([a-z-]+/[0-9]+)")
+    return F.coalesce(*(F.nullif(normalize_arxiv_id(F.regexp_extract(text, f"(?i){kind}", 1)), F.lit("")) for kind in kinds))
+
+
+def doi_in(text: Column) -> Column:
+    """The first DOI in an address or a text; null without one."""
+    return normalize_doi(F.regexp_extract(text, r"(10\.[0-9]{4,}/[^\x09-\x0D ]+)", 1))
+
+
+def english_or_other(text: Column) -> Column:
+    """'other' where Spanish words prevail, 'en' with five English ones, else null; texts below 50 characters are not judged."""
+
+    def judged(words: Column) -> Column:
+        english, spanish = (F.size(F.array_intersect(words, F.array(*map(F.lit, own.split())))) for own in (ENGLISH_WORDS, SPANISH_WORDS))
+        return F.when((spanish > english * 1.5) & (spanish >= 3), "other").when(english >= 5, "en")
+
+    return F.when(F.length(text) >= 50, once(F.array_distinct(tokens(text)), judged))
+
+
 def title_similarity(a: Column, b: Column, words_only: bool = False) -> Column:
     """Larger of the Jaccard similarities of words and of characters of two normalized titles."""
     words = lambda t: F.array_distinct(F.filter(F.split(t, " "), lambda w: w != ""))

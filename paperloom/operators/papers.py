@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import jaccard, keywords, tokens
+from paperloom.functions.phrases import Phrases, once
+from paperloom.functions.text import OVERLAP_STOP_WORDS, english_or_other, jaccard, keywords, normalize_title, tokens
 
 # Least relevance by expansion and hop.
 HOP_THRESHOLDS = {"narrow": (0.4, 0.5, 0.6), "foundations": (0.2, 0.3, 0.4), "wide": (0.1, 0.15, 0.2)}
@@ -49,17 +50,40 @@ def landmark_sources(found: DataFrame, present: DataFrame, before: int, least_ci
     return old.join(present.select("node_id", F.lower("title").alias("_t")).distinct(), ["node_id", "_t"], "left_anti").drop("_t")
 
 
-def abstract_validity(title: Column, abstract: Column, thanks: list[str], least: int = 100, recall: float = 0.15) -> Column:
-    """(valid, reason): length, phrases of thanks, then share of the title's keywords that the abstract has."""
+# What thanks and notes that stand in place of an abstract say, and words of funding and of content.
+THANKS = (
+    "referees for help", "the authors thank", "we thank the", "we are grateful", "supported by the", "funded by the", "grant from the", "financial support from", "this work was supported",
+    "this research was supported", "this study was funded", "acknowledges support from", "acknowledges funding from", "revision of work originally", "study commission",
+)
+FUNDING_WORDS = (
+    "thank", "thanks", "grateful", "supported", "funded", "grant", "funding", "support", "commission", "foundation", "acknowledge", "acknowledged", "acknowledges", "referee", "referees", "reviewer",
+)
+CONTENT_WORDS = (
+    "we", "this", "paper", "study", "show", "propose", "present", "method", "approach", "results", "demonstrate", "find", "analyze", "analysis", "model", "data", "evidence", "effect", "impact",
+)
+
+
+def abstract_validity(title: Column, abstract: Column, expected: str = "en", least: int = 50, recall: float = 0.15) -> Column:
+    """(valid, reason) of an abstract: there and long enough, no thanks, not mostly about funding, in the language, about the title.
+
+    The last is asked of titles of three words or more that tell of a topic: ``recall`` of them have to
+    be in the abstract. Give ``decomposed`` columns where accents of the two sides may be coded differently.
+    """
     low = F.lower(F.coalesce(abstract, F.lit("")))
-    words = keywords(title, 4)
-    share = F.size(F.array_intersect(words, keywords(abstract, 4))) / F.greatest(F.size(words), F.lit(1))
     told = lambda ok, why: F.struct(F.lit(ok).alias("valid"), F.lit(why).alias("reason"))
+    among = lambda words, own: F.size(F.array_intersect(words, F.array(*map(F.lit, own))))
+    funding = once(F.array_distinct(tokens(abstract)), lambda words: (among(words, FUNDING_WORDS) >= 3) & (among(words, CONTENT_WORDS) <= 2))
+    split = lambda text: F.array_distinct(F.split(normalize_title(text), " "))
+    topic = F.array_except(F.array_remove(split(title), ""), F.array(*map(F.lit, OVERLAP_STOP_WORDS)))
+    apart = once(topic, lambda words: (F.size(words) >= 3) & (F.size(F.array_intersect(words, split(abstract))) < recall * F.size(words)))
     return (
-        F.when(F.length(low) < least, told(False, "too short"))
-        .when(F.exists(F.array(*map(F.lit, thanks)), lambda p: low.contains(p)), told(False, "acknowledgment"))
-        .when((F.size(words) > 0) & (share < recall), told(False, "other title"))
-        .otherwise(told(True, "ok"))
+        F.when(low == "", told(False, "missing"))
+        .when(F.length(F.regexp_replace(abstract, r"^[\x09-\x0D ]+|[\x09-\x0D ]+$", "")) < least, told(False, "too short"))
+        .when(F.size(Phrases([("thanks", THANKS)]).found(abstract)) > 0, told(False, "acknowledgments"))
+        .when(funding, told(False, "mostly about funding"))
+        .when((english_or_other(abstract) == "other") & F.lit(expected == "en"), told(False, "language"))
+        .when(apart, told(False, "low title overlap"))
+        .otherwise(told(True, "valid"))
     )
 
 

@@ -35,19 +35,23 @@ def depth_limited(spark, d):  # noqa: ANN001
     return assembly.depth_limit(ranked, "high_level", "topic").select("topic", "work_id")
 
 
-def _term(text: str, *terms: str) -> str:
-    one = lambda t: f"CASE WHEN contains({text}, '{t}') THEN 1.0::DOUBLE ELSE ({' + '.join(f'contains({text}, {w!r})::INT' for w in t.split())})::DOUBLE / {len(t.split())} END"
-    return f"greatest({', '.join(map(one, terms))})"
+def _term(*forms: str) -> str:
+    one = lambda f: f"CASE WHEN contains(t, '{f}') THEN 1.0::DOUBLE ELSE len(list_intersect(string_split('{f}', ' '), w))::DOUBLE / {len(f.split())} END"
+    return f"greatest({', '.join(map(one, forms))})"
+
+
+TOPIC, DOMAIN, ASPECT = ("of the", "der und", "que los"), ("that is", "von den mit"), ("de la",)
 
 
 @query(
     with_(WORKS)
-    + f", t AS (SELECT work_id, lower(coalesce(title, '') || ' ' || coalesce(abstract, '')) AS t FROM works), s AS (SELECT work_id, {_term('t', 'thing on', 'heit ung')} AS a, {_term('t', 'ment', 'the of and')} AS b, {_term('t', 'ing er')} AS c FROM t)"
+    + r", t AS (SELECT work_id, trim(regexp_replace(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '[\x09-\x0D ]+', ' ', 'g')) AS t FROM works), u AS (SELECT *, string_split(t, ' ') AS w FROM t)"
+    + f", s AS (SELECT work_id, {_term(*TOPIC)} AS a, {_term(*DOMAIN)} AS b, {_term(*ASPECT)} AS c FROM u)"
     " SELECT work_id, 'intersection' AS scope, round(a * b * (0.5 + 0.5 * c), 6) AS score FROM s WHERE a * b * (0.5 + 0.5 * c) >= 0.2 UNION ALL SELECT work_id, 'topic_focused', round(a * 0.8 + b * 0.2, 6) FROM s WHERE a * 0.8 + b * 0.2 >= 0.2"
     " UNION ALL SELECT work_id, 'domain_focused', round(b * 0.8 + a * 0.2, 6) FROM s WHERE b * 0.8 + a * 0.2 >= 0.2 UNION ALL SELECT work_id, 'broad', round((a + b) / 2, 6) FROM s WHERE (a + b) / 2 >= 0.2"
 )
 def scope_filtered(spark, d):  # noqa: ANN001
-    terms = [F.array(*map(F.lit, x)) for x in (("thing on", "heit ung"), ("ment", "the of and"), ("ing er",))]
+    terms = [F.array(*map(F.lit, x)) for x in (TOPIC, DOMAIN, ASPECT)]
     out = None
     for scope in ("intersection", "topic_focused", "domain_focused", "broad"):
         part = assembly.scope_filter(works(spark, d), *terms, scope).select("work_id", F.lit(scope).alias("scope"), F.round("scope_score", 6).alias("score"))

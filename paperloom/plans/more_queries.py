@@ -88,6 +88,18 @@ def ids_from_pages(spark, d):  # noqa: ANN001
     return p.select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), links.cast("bigint").alias("links"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
+MENTIONS = ("see https://arxiv.org/abs/2301.", "arXiv:1999.", "https://doi.org/10.1234/AB.", "cs-LG/0601", "W27", "")
+MENTIONED = "[" + ", ".join(f"'{m}'" for m in MENTIONS) + "][page_id % 6 + 1]"
+ARXIV_SQL = "coalesce(" + ", ".join(f"nullif(regexp_extract(x, '(?i){kind}', 1), '')" for kind in (r"arxiv\.org/abs/([0-9]+\.[0-9]+)", r"arxiv\.org/pdf/([0-9]+\.[0-9]+)", r"arxiv:([0-9]+\.[0-9]+)", r"([0-9]{4}\.[0-9]{4,5})", r"([a-z-]+/[0-9]+)")) + ")"
+
+
+@query(rf"SELECT page_id, {ARXIV_SQL} AS arxiv_id, nullif(lower(regexp_extract(x, '(10\.[0-9]{{4,}}/[^\x09-\x0D ]+)', 1)), '') AS doi FROM (SELECT page_id, {MENTIONED} || page_id::VARCHAR || ' ' || url AS x FROM pages)")
+def ids_in_text(spark, d):  # noqa: ANN001
+    """arXiv ids and DOIs in what pages could say of themselves, and in their addresses."""
+    said = F.concat(F.get(F.array(*map(F.lit, MENTIONS)), (F.col("page_id") % 6).cast("int")), F.col("page_id").cast("string"), F.lit(" "), F.col("url"))
+    return table(spark, d, "pages").select("page_id", text.arxiv_id_in(said).alias("arxiv_id"), text.doi_in(said).alias("doi"))
+
+
 @query(with_(QUERIES, WORKS, JUDGMENTS, BM25, POOL) + r", k AS (SELECT p.query_id, p.work_id, p.title, query, list_distinct(regexp_extract_all(lower(p.title), '[a-z]{3,}')) AS a, list_distinct(regexp_extract_all(lower(query), '[a-z]{3,}')) AS b FROM pool p JOIN queries USING (query_id)) SELECT query_id, work_id, CASE WHEN len(list_intersect(a, b))::DOUBLE / greatest(len(b), 1) < 0.3 THEN title || ' ' || query ELSE title END AS drilldown FROM k")
 def drilldown_queries(spark, d):  # noqa: ANN001
     both = _rankers(spark, d).join(queries(spark, d), "query_id")
@@ -105,9 +117,15 @@ def topic_scores(spark, d):  # noqa: ANN001
     return w.select("work_id", F.round(scores.topic_relevance(F.col("topic"), F.col("topics"), F.lit("src3")), 6).alias("relevance"), scores.best_topic(F.when(i % 4 > 0, F.col("topic")), F.col("topics")).alias("best"))
 
 
-@query(with_(WORKS) + "SELECT work_id, round(greatest(CASE WHEN contains(t, 'thing on') THEN 1.0 ELSE (CASE WHEN contains(t, 'thing') THEN 0.5 ELSE 0 END + CASE WHEN contains(t, 'on') THEN 0.5 ELSE 0 END) END, CASE WHEN contains(t, 'heit') THEN 1.0 ELSE 0.0 END), 6) AS score FROM (SELECT work_id, lower(coalesce(abstract, '')) AS t FROM works)")
+TERMS_SQL = r"""SELECT work_id, round(coalesce(list_max(list_transform(['the of', 'Und der', 'de  la', ''], lambda f: CASE WHEN trim(f) = '' OR t = '' THEN 0.0
+  WHEN contains(t, regexp_replace(lower(f), ' +', ' ', 'g')) THEN 1.0 ELSE len(list_intersect(string_split(regexp_replace(lower(f), ' +', ' ', 'g'), ' '), string_split(t, ' '))) / 2.0 END)), 0.0)::DOUBLE, 6) AS score
+  FROM (SELECT work_id, trim(regexp_replace(lower(coalesce(abstract, '')), '[\x09-\x0D ]+', ' ', 'g')) AS t FROM works)"""
+
+
+@query(with_(WORKS) + TERMS_SQL)
 def term_scores(spark, d):  # noqa: ANN001
-    return works(spark, d).select("work_id", F.round(scores.term_score(F.col("abstract"), F.array(F.lit("thing on"), F.lit("heit"))), 6).alias("score"))
+    forms = F.array(F.lit("the of"), F.lit("Und der"), F.lit("de  la"), F.lit(""))
+    return works(spark, d).select("work_id", F.round(scores.term_score(F.col("abstract"), forms), 6).alias("score"))
 
 
 @query(with_(WORKS) + "SELECT work_id, array_to_string(list_filter([CASE WHEN (1.0 + cited_by_count) / (3.0 + 2026 - year) >= 100 THEN 'impact' END, CASE WHEN exp(-(2026.0 - year) / 5) >= 0.3 THEN 'recent' END, CASE WHEN length(abstract) >= 500 THEN 'complete' END], lambda x: x IS NOT NULL), ',') AS reasons, round(((title != '')::INT + 1 + (abstract != '')::INT) / 3, 6) AS completeness FROM works")

@@ -72,9 +72,30 @@ def hop_filter(spark, d):  # noqa: ANN001
     return papers.hop_filter(nodes.join(w, "work_id"), "foundations").select("map_id", "work_id", "hop", F.round("relevance", 6).alias("relevance"))
 
 
-@query(with_(WORKS) + r"SELECT work_id, (s).valid AS valid, (s).reason AS reason FROM (SELECT work_id, CASE WHEN length(coalesce(abstract, '')) < 100 THEN {'valid': false, 'reason': 'too short'} WHEN contains(lower(abstract), 'apache license') THEN {'valid': false, 'reason': 'acknowledgment'} WHEN len(tw) > 0 AND len(list_intersect(tw, aw))::DOUBLE / len(tw) < 0.15 THEN {'valid': false, 'reason': 'other title'} ELSE {'valid': true, 'reason': 'ok'} END AS s FROM (SELECT *, list_distinct(regexp_extract_all(lower(title), '[a-z]{4,}')) AS tw, list_distinct(regexp_extract_all(lower(coalesce(abstract, '')), '[a-z]{4,}')) AS aw FROM works))")
+SAID = ("", "The authors thank the ", "Grants funding support thanks grant ", "los que se por para ", "")
+OTHER_TITLE = "Quantum tunnelling in photonic lattices"
+
+
+def _sql_list(words) -> str:  # noqa: ANN001
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+VALIDITY = rf"""said AS (SELECT work_id, CASE WHEN work_id % 6 = 1 THEN '{OTHER_TITLE}' ELSE title END AS title, CASE WHEN work_id % 9 = 4 THEN substr(abstract, 1, 60) WHEN work_id % 9 = 5 THEN {_sql_list(SAID)}[work_id % 5 + 1] ELSE {_sql_list(SAID)}[work_id % 5 + 1] || abstract END AS abstract FROM works),
+plain AS (SELECT *, lower(coalesce(abstract, '')) AS low, regexp_replace(coalesce(abstract, ''), '^[\x09-\x0D ]+|[\x09-\x0D ]+$', '', 'g') AS bare, list_distinct(regexp_extract_all(lower(coalesce(abstract, '')), '[\p{{L}}\p{{N}}_]+')) AS w,
+  list_distinct(string_split(trim(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^\p{{L}}\p{{N}}_\x09-\x0D ]', ' ', 'g'), '[\x09-\x0D ]+', ' ', 'g')), ' ')) AS t,
+  list_distinct(string_split(trim(regexp_replace(regexp_replace(lower(coalesce(abstract, '')), '[^\p{{L}}\p{{N}}_\x09-\x0D ]', ' ', 'g'), '[\x09-\x0D ]+', ' ', 'g')), ' ')) AS a FROM said),
+topic AS (SELECT *, list_filter(t, lambda x: x != '' AND NOT list_contains({_sql_list(text.OVERLAP_STOP_WORDS)}, x)) AS tw, len(list_intersect(w, {_sql_list(text.ENGLISH_WORDS.split())})) AS en, len(list_intersect(w, {_sql_list(text.SPANISH_WORDS.split())})) AS es FROM plain)
+SELECT work_id, reason = 'valid' AS valid, reason FROM (SELECT work_id, CASE WHEN low = '' THEN 'missing' WHEN length(bare) < 50 THEN 'too short' WHEN len(list_filter({_sql_list(papers.THANKS)}, lambda p: contains(low, p))) > 0 THEN 'acknowledgments'
+  WHEN len(list_intersect(w, {_sql_list(papers.FUNDING_WORDS)})) >= 3 AND len(list_intersect(w, {_sql_list(papers.CONTENT_WORDS)})) <= 2 THEN 'mostly about funding' WHEN es > en * 1.5 AND es >= 3 THEN 'language'
+  WHEN len(tw) >= 3 AND len(list_intersect(tw, a)) < 0.15 * len(tw) THEN 'low title overlap' ELSE 'valid' END AS reason FROM topic)"""
+
+
+@query(with_(WORKS) + ", " + VALIDITY)
 def abstract_validity(spark, d):  # noqa: ANN001
-    return works(spark, d).select("work_id", papers.abstract_validity(F.col("title"), F.col("abstract"), ["apache license"]).alias("s")).select("work_id", "s.valid", "s.reason")
+    i = F.col("work_id")
+    said = F.get(F.array(*map(F.lit, SAID)), (i % 5).cast("int"))
+    w = works(spark, d).withColumn("title", F.when(i % 6 == 1, OTHER_TITLE).otherwise(F.col("title"))).withColumn("abstract", F.when(i % 9 == 4, F.substring("abstract", 1, 60)).when(i % 9 == 5, said).otherwise(F.concat(said, "abstract")))
+    return w.select("work_id", papers.abstract_validity(F.col("title"), F.col("abstract")).alias("s")).select("work_id", "s.valid", "s.reason")
 
 
 @query(with_(WORKS) + "SELECT work_id, CASE WHEN work_id % 4 = 0 AND o THEN 'open' WHEN work_id % 3 != 0 AND work_id % 5 = 0 THEN 'closed' WHEN work_id % 3 != 0 THEN CASE WHEN o THEN 'unknown' ELSE 'closed' END ELSE 'unknown' END AS access_status, CASE WHEN work_id % 4 = 0 AND o THEN 'oa_direct' WHEN work_id % 3 != 0 AND work_id % 5 = 0 THEN 'proxy' WHEN work_id % 3 != 0 THEN 'doi' END AS source FROM (SELECT work_id, work_id % 8 < 4 AS o FROM works)")

@@ -54,6 +54,12 @@ def normalized_titles(spark, d):  # noqa: ANN001
     return works(spark, d).select("work_id", text.normalize_title(F.col("title")).alias("title"), F.size(text.title_words(F.col("title"))).cast("bigint").alias("n_words"), text.params_hash(F.col("topic"), F.col("subfield"), F.col("year")).alias("params"))
 
 
+@query()
+def decomposed_titles(spark, d):  # noqa: ANN001
+    """Titles of any script with their compatibility forms taken apart, as titles of several sources are compared."""
+    return works(spark, d).select("work_id", text.normalize_title(text.decomposed(F.col("title"))).alias("title"))
+
+
 @query(with_(WORKS) + "SELECT work_id, CASE WHEN work_id % 3 = 0 THEN '10.1234/ab' || work_id WHEN work_id % 3 = 1 THEN '10.1/x' || work_id END AS doi, '2301.' || work_id AS arxiv_id FROM works")
 def normalized_identifiers(spark, d):  # noqa: ANN001
     i = F.col("work_id").cast("string")

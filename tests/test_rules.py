@@ -1,13 +1,16 @@
 """Phrase tables and rules on texts with known results."""
 
 import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.functions import rules
+from paperloom.functions import rules, scores, text
 from paperloom.functions.phrases import Phrases
-from paperloom.operators import assembly, phrases
+from paperloom.operators import assembly, papers, phrases
+from paperloom.plans import catalog
 
 
 def column(spark, make, rows, names):
@@ -92,3 +95,67 @@ def test_dictionary(spark):
     chosen = lambda rule: sorted((r["k"], r["phrase"], r["label"]) for r in phrases.choose_label(hits, "k", rule).collect())
     assert chosen("longest") == [(1, "deep neural", "a"), (3, "graph", "c")] and chosen("first") == [(1, "deep neural", "a"), (3, "graph", "c")]
     assert phrases.phrase_hits(texts, known.limit(0), "k").collect() == []
+
+
+@pytest.mark.parametrize(
+    ("forms", "said", "score"),
+    [
+        (["machine learning"], "advances in  Machine\nlearning", 1.0),
+        (["natural language processing"], "natural language models", 2 / 3),
+        (["quantum computing"], "natural language processing", 0.0),
+        ([""], "some text", 0.0),
+        ([None, "  "], "some text", 0.0),
+        (["some terms"], "", 0.0),
+        (["some terms"], None, 0.0),
+        ([], "some text", 0.0),
+        (["government ment"], "ment in a governmental text", 0.5),
+        (["natural language processing", "NLP"], "NLP methods", 1.0),
+        (["reinforcement learning", "RL", "reward-based learning"], "learning algorithms for control", 0.5),
+    ],
+)
+def test_terms_by_whole_words(spark, forms, said, score):
+    row = spark.createDataFrame([(forms, said)], "forms array<string>, said string")
+    assert abs(row.select(scores.term_score(F.col("said"), F.col("forms")).alias("v")).first()["v"] - score) < 1e-12
+
+
+@pytest.mark.parametrize(
+    ("title", "abstract", "reason"),
+    [
+        ("Deep Residual Learning for Image Recognition", "We propose a deep residual learning framework for training image recognition networks with hundreds of layers.", "valid"),
+        ("Test Paper", None, "missing"),
+        ("Test Paper", "", "missing"),
+        ("Test Paper", "Too short." + " " * 60, "too short"),
+        ("Test Paper", "The authors thank the anonymous referees for help with this manuscript, and the Foundation for its grant.", "acknowledgments"),
+        ("Test Paper", "Funding came through a grant of the foundation; the authors acknowledge support of the research council.", "mostly about funding"),
+        ("Deep Learning Paper", "En este trabajo se presenta un nuevo método para el análisis de datos que permite una mejor comprensión de los resultados.", "language"),
+        ("Quantum Computing for Drug Discovery", "The ocean temperature patterns reveal significant changes in marine biodiversity across tropical regions.", "low title overlap"),
+        ("Quantum Computing", "The ocean temperature patterns reveal significant changes in marine biodiversity across tropical regions.", "valid"),
+        (None, "We introduce a new language representation model that obtains state-of-the-art results on eleven tasks.", "valid"),
+    ],
+)
+def test_abstracts(spark, title, abstract, reason):
+    got = column(spark, papers.abstract_validity, [(title, abstract)], ["t", "a"])[0]
+    assert (got["valid"], got["reason"]) == (reason == "valid", reason)
+
+
+def test_ids_in_text(spark):
+    asked = ["https://arxiv.org/pdf/2301.12345v2", "arXiv:9912.1", "id 2301.00001", "x 1234.5 cs-LG/0601001", "nothing", "", None]
+    assert column(spark, text.arxiv_id_in, [(x,) for x in asked], ["x"]) == ["2301.12345", "9912.1", "2301.00001", "cs-LG/0601001", None, None, None]
+    assert column(spark, text.doi_in, [("see https://doi.org/10.1234/AB.c now",), ("10.12/x",), (None,)], ["x"]) == ["10.1234/ab.c", None, None]
+
+
+def plain_title(title):
+    t = re.sub(r"[^\w\s]", " ", unicodedata.normalize("NFKD", title or "").lower())
+    for ending in (r"\s+v\d+$", r"\s+version\s+\d+$", r"\s+arxiv$", r"\s+preprint$"):
+        t = re.sub(ending, "", t)
+    return re.sub(r"\s+", " ", t).strip()
+
+
+def test_decomposed_titles(spark, tables):
+    titles = ["Éte: ﬁne v2", "Ⅷ ½ Å", "", None, "naïve preprint", "ｗｉｄｅ"]
+    assert column(spark, lambda t: text.normalize_title(text.decomposed(t)), [(t,) for t in titles], ["t"]) == [plain_title(t) for t in titles]
+    whole = catalog.QUERIES["decomposed_titles"](spark, tables).collect()
+    given = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
+    assert len(whole) == len(given)
+    for r in whole:
+        assert r["title"] == plain_title(" ".join(re.findall(r"[^\x09-\x0D ]+", given[r["work_id"]] or "")[:8]))

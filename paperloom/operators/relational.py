@@ -80,10 +80,10 @@ def repair_from_twin(works: DataFrame, suspect: Column) -> DataFrame:
 
 
 def upsert_works(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Merge by work_id: most citations, the smaller year, other fields from the stored row where it has them."""
+    """Merge by work_id: most citations, the smaller year, other fields from the stored row where it has them, else the least new value."""
     rest = [c for c in stored.columns if c not in ("work_id", "year", "cited_by_count")]
     rows = stored.withColumn("_p", F.lit(0)).unionByName(new.withColumn("_p", F.lit(1)), allowMissingColumns=True)
-    keep = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_p"))).alias(c) for c in rest]
+    keep = [F.min(F.when(F.col(c).isNotNull(), F.struct("_p", c)))[c].alias(c) for c in rest]
     return rows.groupBy("work_id").agg(F.max(F.coalesce("cited_by_count", F.lit(0))).alias("cited_by_count"), F.min("year").alias("year"), *keep).select(*stored.columns)
 
 

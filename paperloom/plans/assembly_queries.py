@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from paperloom.operators import assembly
+from paperloom.operators import assembly, relational
 from paperloom.plans.registry import query
 from paperloom.plans.views import DOC_EDGES, WORKS, doc_edges, with_, works
-from paperloom.tables import table
+from paperloom.sources.bucketed import BucketedTable
+from paperloom.tables import shared_folder, table
 
 
 @query(with_(WORKS) + "SELECT work_id, title, year, cited_by_count, topic, subfield FROM works")
@@ -28,6 +31,21 @@ def graph_nodes_merged(spark, d):  # noqa: ANN001
     return assembly.upsert_graph_nodes(stored, new)
 
 
+@query(
+    with_(WORKS)
+    + ", r AS (SELECT work_id, CASE WHEN work_id % 5 > 0 THEN title END AS title, year, cited_by_count, 0 AS p FROM works WHERE work_id % 3 < 2 UNION ALL SELECT work_id, title || '+', year - 1, cited_by_count * 2 % 5000, 1 FROM works WHERE work_id % 3 > 0 AND work_id % 7 = 0)"
+    " SELECT work_id, arg_min(title, p) FILTER (title IS NOT NULL) AS title, min(year) AS year, max(cited_by_count) AS cited_by_count FROM r GROUP BY work_id"
+)
+def works_store(spark, d):  # noqa: ANN001
+    """Two merges into a bucketed table, the second of a few works."""
+    w = works(spark, d).select("work_id", "title", "year", "cited_by_count")
+    store = BucketedTable(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}.works", w.schema, "work_id", 16)
+    store.merge(w.where("work_id % 3 < 2").withColumn("title", F.when(F.col("work_id") % 5 > 0, F.col("title"))), 0, relational.upsert_works)
+    some = w.where("work_id % 3 > 0 AND work_id % 7 = 0")
+    store.merge(some.withColumn("title", F.concat("title", F.lit("+"))).withColumn("year", F.col("year") - 1).withColumn("cited_by_count", F.col("cited_by_count") * 2 % 5000), 1, relational.upsert_works)
+    return store.read()
+
+
 @query(with_(WORKS) + "SELECT topic, work_id FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY cited_by_count DESC, work_id) AS r FROM works) WHERE r <= 15")
 def depth_limited(spark, d):  # noqa: ANN001
     """The fifteen most cited works of each topic."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from paperloom.operators import relational, usage
+from paperloom.sources.bucketed import BucketedTable
 
 
 def timed(events: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -53,17 +54,16 @@ def touched_maps(events: DataFrame, store: Callable[[], DataFrame], compute: Cal
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_works(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Merge each batch into a works snapshot; a snapshot a batch, the last one counts."""
+def upsert_works(updates: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Merge each batch into a bucketed table of works, of which only the buckets of the batch's works are rewritten.
+
+    Read it with ``BucketedTable(...).read()``. A batch that runs again after a failure starts from
+    the table as it was before it. Versions that the last two merges don't need are deleted.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(f"{path}/snapshot={batch_id - 1}")
-        except Exception as e:  # the first batch has none
-            if batch_id or "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = batch.limit(0)
-        relational.upsert_works(stored, batch).write.mode("overwrite").parquet(f"{path}/snapshot={batch_id}")
+        table = BucketedTable(batch.sparkSession, path, updates.schema, "work_id", buckets)
+        table.merge(batch, batch_id, relational.upsert_works)
+        table.vacuum()
 
     return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -39,12 +39,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def component_members(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of an edge, the smallest of each component included."""
-    roots = connected_components(edges)
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-
-
 def _mark(edges: DataFrame) -> tuple:
     """Equal for equal edge sets."""
     row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()

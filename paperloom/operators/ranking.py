@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,8 +85,9 @@ def mmr(pool: DataFrame, k: int, weights: tuple[float, float, float, float] = (0
 
     ``pool``: query_id, work_id, score, impact, era, subfield, embedding (any vector of features), at
     most some hundred works a query, cut before by ``top_k``. Each step takes the work with the best
-    relevance less its likeness to what was taken and the shares of its era and subfield there, these
-    three discounted by half its impact. Greedy choice is sequential, so a query is one group.
+    relevance less its likeness to what was taken and the shares of its era and subfield there, these two
+    discounted by half its impact; with weights of 0 for them it is the plain choice. Greedy choice is
+    sequential, so a query is one group.
     """
     relevance, likeness, era_w, field_w = weights
 
@@ -98,7 +103,7 @@ def mmr(pool: DataFrame, k: int, weights: tuple[float, float, float, float] = (0
         eras, fields = group["era"].to_numpy(), group["subfield"].to_numpy()
         for step in range(min(k, len(group))):
             shares = [np.array([sum(v[j] == x for j in taken) / step for x in v]) if step else np.zeros(len(group)) for v in (eras, fields)]
-            value = relevance * group["score"].to_numpy() - discount * (likeness * like + era_w * shares[0] + field_w * shares[1])
+            value = relevance * group["score"].to_numpy() - likeness * like - discount * (era_w * shares[0] + field_w * shares[1])
             best = int(np.argmax(np.where(left, value, -np.inf)))
             taken.append(best)
             left[best] = False
@@ -108,6 +113,67 @@ def mmr(pool: DataFrame, k: int, weights: tuple[float, float, float, float] = (0
     return pool.groupBy("query_id").applyInPandas(choose, "query_id long, work_id long, pick int")
 
 
+def mmr_sparse(pool: DataFrame, vectors: DataFrame, k: int, relevance: float = 0.8, era: float = 0.08, field: float = 0.12, years: int = 5) -> DataFrame:
+    """(query_id, work_id, pick): greedy choice of relevant and varied works by their TF-IDF vectors.
+
+    ``pool``: query_id, work_id, score, impact (null: 0.5), year, subfield; at most some hundred works a
+    query, cut before by ``top_k``. ``vectors``: work_id, term, weight. Each step takes the work with the
+    best relevance x score less (1 - relevance) x its largest cosine with what was taken, less the
+    share among what was taken of works within ``years`` of it and of its subfield, both discounted by
+    half its impact; ties to the higher score, then the smaller work_id. A null or zero year, or a null
+    or empty subfield, is like no other; a work without a vector is like none.
+
+    Cosines only rise as more is taken, so a value with the cosines known so far bounds a work's value
+    from above. Works wait in a heap by this bound and only the first ones are brought up to date.
+    """
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        rows = group.sort_values(["score", "work_id"], ascending=[False, True])
+        sparse = [dict(zip(t, w)) if t is not None else {} for t, w in zip(rows["terms"], rows["weights"])]
+        norms = [math.sqrt(sum(w * w for w in v.values())) for v in sparse]
+        score, discount = rows["score"].tolist(), [1 - 0.5 * (0.5 if pd.isna(x) else x) for x in rows["impact"]]
+        year, kind = [0 if pd.isna(x) else int(x) for x in rows["year"]], [x if isinstance(x, str) and x else None for x in rows["subfield"]]
+        like, upto = [0.0] * len(rows), [0] * len(rows)
+        taken: list[int] = []
+        eras, kinds = Counter(), Counter()
+
+        def cosine(i: int, j: int) -> float:
+            a, b = (sparse[i], sparse[j]) if len(sparse[i]) <= len(sparse[j]) else (sparse[j], sparse[i])
+            return sum(w * b[t] for t, w in a.items() if t in b) / (norms[i] * norms[j]) if norms[i] and norms[j] else 0.0
+
+        def value(i: int) -> float:
+            for j in taken[upto[i] :]:
+                like[i] = max(like[i], cosine(i, j))
+            upto[i] = len(taken)
+            near = sum(eras[y] for y in range(year[i] - years, year[i] + years + 1)) / eras.total() if year[i] and eras else 0.0
+            same = kinds[kind[i]] / kinds.total() if kind[i] and kinds else 0.0
+            return relevance * score[i] - (1.0 - relevance) * like[i] - era * near * discount[i] - field * same * discount[i]
+
+        heap = [(-relevance * score[i], i) for i in range(len(rows))]
+        heapq.heapify(heap)
+        while heap and len(taken) < k:
+            best, seen = None, []
+            while heap and (best is None or heap[0] < best):
+                i = heapq.heappop(heap)[1]
+                now = (-value(i), i)
+                best = now if best is None else min(best, now)
+                seen.append(i)
+            taken.append(best[1])
+            for i in seen:
+                if i != best[1]:
+                    heapq.heappush(heap, (-(relevance * score[i] - (1.0 - relevance) * like[i]), i))
+            if year[best[1]]:
+                eras[year[best[1]]] += 1
+            if kind[best[1]]:
+                kinds[kind[best[1]]] += 1
+        return pd.DataFrame({"query_id": rows["query_id"].iloc[0], "work_id": rows["work_id"].iloc[taken].to_numpy(), "pick": range(1, len(taken) + 1)})
+
+    wanted = vectors.join(pool.select("work_id").distinct(), "work_id", "left_semi")
+    lists = wanted.groupBy("work_id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("_v")).select("work_id", F.col("_v.term").alias("terms"), F.col("_v.weight").alias("weights"))
+    rows = pool.select("query_id", "work_id", "score", "impact", "year", "subfield").join(lists, "work_id", "left")
+    return rows.groupBy("query_id").applyInPandas(choose, "query_id long, work_id long, pick int")
+
+
 def saturation(waves: DataFrame, taus: list[float], shapes: list[float], stop: float = 0.5) -> DataFrame:
     """Weibull saturation n (1 - exp(-(t / tau) ** k)) of cumulative relevance by wave, per query.
 

@@ -29,6 +29,54 @@ def fts_search(postings: DataFrame, query_terms: DataFrame, most: int = 2000) ->
     return scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= most).select("query_id", "work_id", "score", F.when(F.col("_a"), "A").otherwise("B").alias("part"))
 
 
+def build_positions(works: DataFrame) -> DataFrame:
+    """(work_id, field, term, positions): the places (from 0) of each token in titles (A) and abstracts (B)."""
+    fields = F.array(F.struct(F.lit("A").alias("field"), tokens(F.col("title")).alias("terms")), F.struct(F.lit("B").alias("field"), tokens(F.col("abstract")).alias("terms")))
+    by_field = works.select("work_id", F.explode(fields).alias("f"))
+    placed = by_field.select("work_id", "f.field", F.posexplode("f.terms").alias("_i", "term"))
+    return placed.groupBy("work_id", "field", "term").agg(F.sort_array(F.collect_list("_i")).alias("positions"))
+
+
+def phrase_matches(positions: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(query_id, phrase, work_id, field, tf): how often each phrase stands in a field, its words side by side and in order.
+
+    ``phrases``: query_id, phrase and what else there is, once each. A phrase starts at the places of its
+    rarest word less that word's offset; each further word, the next rare one first, keeps the starts
+    that it has a place for. So only the postings of the rarest word are read whole. Overlapping
+    occurrences count; a phrase without a word matches nothing.
+    """
+    worded = phrases.withColumn("_w", tokens(F.col("phrase"))).where(F.size("_w") > 0)
+    words = worded.select("query_id", "phrase", F.posexplode("_w").alias("_at", "term"))
+    df = positions.join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    order = F.sort_array(F.collect_list(F.struct("_df", "_at", "term")))
+    asked = stable(words.join(df, "term", "left").withColumn("_df", F.coalesce("_df", F.lit(0))).groupBy("query_id", "phrase").agg(order.alias("_order")))
+    longest = asked.agg(F.max(F.size("_order"))).first()[0] or 0
+    nth = lambda rows, i: rows.withColumn("_next", F.get("_order", F.lit(i))).withColumn("term", F.col("_next.term"))
+    starts = nth(asked, 0).join(positions, "term").select("query_id", "phrase", "_order", "work_id", "field", F.transform("positions", lambda p: p - F.col("_next._at")).alias("_s"))
+    for i in range(1, longest):  # as often as the longest phrase has words
+        more = nth(starts.where(F.size("_order") > i), i).join(positions, ["term", "work_id", "field"])
+        more = more.withColumn("_s", F.array_intersect("_s", F.transform("positions", lambda p: p - F.col("_next._at")))).where(F.size("_s") > 0)
+        starts = starts.where(F.size("_order") <= i).unionByName(more.select(*starts.columns))
+    return starts.select("query_id", "phrase", "work_id", "field", F.size("_s").cast("long").alias("tf"))
+
+
+def full_text_search(positions: DataFrame, asked: DataFrame, admitted: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(query_id, work_id, score, part): works with any of a query's terms and phrases.
+
+    ``asked``: query_id, term (a word or a phrase), original. Weights and parts are those of
+    ``fts_search``. Only works of ``admitted`` (work_id) count, say those not retracted and of the right
+    years; ``most`` (none by default) cuts after that, best first.
+    """
+    weight = F.when(F.col("field") == "A", 1.0).otherwise(0.4) * (1 + F.log(F.col("tf").cast("double"))) * F.when(F.col("original"), 2.0).otherwise(1.0)
+    once_each = asked.select("query_id", F.array_join(tokens(F.col("term")), " ").alias("phrase"), "original").groupBy("query_id", "phrase").agg(F.max("original").alias("original"))
+    found = phrase_matches(positions if admitted is None else positions.join(admitted.select("work_id").distinct(), "work_id", "left_semi"), once_each)
+    scored = found.join(once_each, ["query_id", "phrase"]).groupBy("query_id", "work_id").agg(F.sum(weight).alias("score"), F.max("original").alias("_a"))
+    out = scored.select("query_id", "work_id", "score", F.when(F.col("_a"), "A").otherwise("B").alias("part"))
+    if most is None:
+        return out
+    return top_k(out, most, "query_id", F.desc("score"), F.asc("work_id")).drop("rank")
+
+
 def bm25(works: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """(query_id, work_id, score) of every work that has a term of the query.
 

@@ -174,6 +174,36 @@ def similar_titles_dropped(spark, d):  # noqa: ANN001
     return retrieval.drop_similar_titles(ranked)
 
 
+@query()
+def mmr_tfidf(spark, d):  # noqa: ANN001
+    """The best works of each query by rank fusion, twenty of them varied by their TF-IDF vectors."""
+    pool, fused = _fused(spark, d)
+    g = Window.partitionBy("query_id")
+    rows = pool.join(fused, ["query_id", "work_id"]).withColumn("score", F.col("rrf") / F.max("rrf").over(g)).withColumn("impact", F.col("impact") / F.max("impact").over(g))
+    docs = works(spark, d).select(F.col("work_id").alias("doc"), F.concat_ws(" ", "title", "abstract").alias("text"))
+    vectors = retrieval.tfidf_vectors(docs).withColumnRenamed("doc", "work_id")
+    return ranking.mmr_sparse(rows.select("query_id", "work_id", "score", "impact", "year", "subfield"), vectors, 20)
+
+
+PHRASES = r"""qt AS (SELECT query_id, regexp_extract_all(lower(query), '[\p{L}\p{N}_]+') AS w FROM queries),
+asked AS (SELECT query_id, phrase, max(original) AS original FROM (SELECT query_id, array_to_string(list_slice(w, i, i + 1), ' ') AS phrase, i <= 4 AS original FROM qt, generate_series(1, 12) g(i) WHERE i < len(w) UNION ALL SELECT query_id, w[i], i <= 2 FROM qt, generate_series(1, 5) g(i) WHERE i <= len(w) AND length(w[i]) > 5) GROUP BY 1, 2),
+fields AS (SELECT work_id, 'A' AS field, regexp_extract_all(lower(coalesce(title, '')), '[\p{L}\p{N}_]+') AS w FROM works WHERE work_id % 17 > 0 UNION ALL SELECT work_id, 'B', regexp_extract_all(lower(coalesce(abstract, '')), '[\p{L}\p{N}_]+') FROM works WHERE work_id % 17 > 0),
+grams AS (SELECT work_id, field, array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase, count(*) AS tf FROM fields, generate_series(1, 2) g(n), unnest(range(1, len(w) - n + 2)) AS u(i) GROUP BY ALL)
+SELECT query_id, work_id, round(sum((CASE WHEN field = 'A' THEN 1.0 ELSE 0.4 END) * (1 + ln(tf)) * (CASE WHEN original THEN 2 ELSE 1 END))::DOUBLE, 6) AS score, CASE WHEN max(original) THEN 'A' ELSE 'B' END AS part FROM grams JOIN asked USING (phrase) GROUP BY 1, 2"""
+
+
+@query(with_(WORKS, QUERIES) + ", " + PHRASES)
+def fts_phrases(spark, d):  # noqa: ANN001
+    """Word pairs and long words of each query, the first ones original; works with a flag (as if retracted) left out."""
+    w = F.col("w")
+    q = queries(spark, d).select("query_id", text.tokens(F.col("query")).alias("w"))
+    pairs = q.select("query_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.when(i < F.size(w), F.struct(F.array_join(F.slice(w, i, 2), " ").alias("term"), (i <= 4).alias("original"))))).alias("t")).where("t IS NOT NULL")
+    words = q.select("query_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.struct(F.get(w, i - 1).alias("term"), (i <= 2).alias("original")))).alias("t")).where("length(t.term) > 5")
+    positions = retrieval.build_positions(works(spark, d))
+    found = retrieval.full_text_search(positions, pairs.union(words).select("query_id", "t.*"), works(spark, d).where("work_id % 17 > 0"))
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query()
 def mmr_diversified(spark, d):  # noqa: ANN001
     pool, fused = _fused(spark, d)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,6 +80,39 @@ def expand_graph(seeds: DataFrame, edges: DataFrame, works: DataFrame, hops: int
     return seen
 
 
+def attach_enrichment(nodes: DataFrame, candidates: DataFrame, edges: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Works from outside a map's graph that may be sources of its next hop, and the edges that link them.
+
+    ``nodes``: map_id, work_id; ``candidates``: map_id, work_id, relevance. Candidates of ``least`` relevance
+    that are no nodes are looked up in ``edges``, both ways; those linked with a node of their map are
+    sources (map_id, work_id, relevance), with the edges (map_id, from_id, to_id) found.
+    """
+    there = nodes.select("map_id", "work_id").distinct()
+    able = candidates.where(F.col("relevance") >= least).select("map_id", "work_id", "relevance").join(there, ["map_id", "work_id"], "left_anti")
+    able = able.groupBy("map_id", "work_id").agg(F.max("relevance").alias("relevance"))
+    node = there.select(F.col("map_id").alias("_m"), F.col("work_id").alias("_n"))
+    pairs = edges.select("from_id", "to_id").where("from_id <> to_id").distinct()
+    ways = [("from_id", "to_id"), ("to_id", "from_id")]
+    found = [able.join(pairs, F.col("work_id") == F.col(own)).join(node, (F.col("map_id") == F.col("_m")) & (F.col(other) == F.col("_n")), "left_semi").select("map_id", "work_id", "from_id", "to_id") for own, other in ways]
+    linked = stable(found[0].union(found[1]).distinct())
+    return able.join(linked.select("map_id", "work_id").distinct(), ["map_id", "work_id"], "left_semi"), linked.select("map_id", "from_id", "to_id").distinct()
+
+
+def hop_scores(nodes: DataFrame, edges: DataFrame, citation_weight: float = 0.6, connectivity_weight: float = 0.4) -> DataFrame:
+    """(map_id, work_id, hop, score): citations on a log scale and degree within the map, less beyond the first hop; the seed is infinite.
+
+    ``nodes``: map_id, work_id, hop (0: seed), cited_by_count; ``edges``: map_id, from_id, to_id. An edge counts
+    for each end that is a node. The degree is taken against the map's largest.
+    """
+    ends = edges.select("map_id", F.explode(F.array("from_id", "to_id")).alias("work_id")).groupBy("map_id", "work_id").agg(F.count(F.lit(1)).alias("_d"))
+    rows = nodes.join(ends, ["map_id", "work_id"], "left").withColumn("_d", F.coalesce("_d", F.lit(0)))
+    largest = F.greatest(F.max("_d").over(Window.partitionBy("map_id")), F.lit(1))
+    cites = F.log1p(F.least(F.coalesce("cited_by_count", F.lit(0)), F.lit(50_000)).cast("double")) / math.log1p(50_000)
+    far = F.when(F.col("hop") <= 1, 1.0).when(F.col("hop") == 2, 0.6).otherwise(0.5)
+    score = F.when(F.col("hop") == 0, float("inf")).otherwise(far * (citation_weight * cites + connectivity_weight * F.col("_d") / largest))
+    return rows.select("map_id", "work_id", "hop", score.alias("score"))
+
+
 def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(map_id, from_id, to_id): edges between works of one map."""
     a, b = nodes.select("map_id", F.col("work_id").alias("from_id")), nodes.select(F.col("map_id").alias("_m"), F.col("work_id").alias("_t"))

@@ -113,6 +113,41 @@ def seed_selection(candidates: DataFrame, gate: float = 0.75) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("query_id", "work_id", "tier")
 
 
+ROLES = ("intersection", "topic", "domain")
+
+
+def seed_variants(asked: DataFrame) -> DataFrame:
+    """(query_id, role, scope, variant): what to search seeds with, a row for each role.
+
+    ``asked``: query_id, query, topic, domain, scope, intent. Queries of an intersection, or across
+    domains, that have a domain get three roles: topic and domain together, and each of them, alone if
+    the intent is cross_domain. Others get the role ``single`` with the query as it stands.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    several = ((F.col("scope") == "intersection") | (F.col("intent") == "cross_domain")) & (text("domain") != "")
+    both, bare = F.concat_ws(" ", text("topic"), text("domain")), F.coalesce(F.col("intent") == "cross_domain", F.lit(False))
+    roles = F.array(
+        F.struct(F.lit(ROLES[0]).alias("role"), F.lit("intersection").alias("scope"), both.alias("variant")),
+        F.struct(F.lit(ROLES[1]).alias("role"), F.lit("topic_focused").alias("scope"), F.when(bare, text("topic")).otherwise(both).alias("variant")),
+        F.struct(F.lit(ROLES[2]).alias("role"), F.lit("domain_focused").alias("scope"), F.when(bare, text("domain")).otherwise(both).alias("variant")),
+    )
+    single = F.array(F.struct(F.lit("single").alias("role"), F.col("scope"), text("query").alias("variant")))
+    return asked.select("query_id", F.explode(F.when(F.coalesce(several, F.lit(False)), roles).otherwise(single)).alias("v")).select("query_id", "v.*")
+
+
+def multi_seed_select(candidates: DataFrame, most: int = 3, gate: float = 0.75) -> DataFrame:
+    """(query_id, pick, role, work_id): the best seed of each role by ``seed_selection``, a work once a query, ``most`` at most.
+
+    ``candidates``: query_id, role, work_id, relevance, cited_by_count, overlap, the last two by the role's variant.
+    """
+    keyed = candidates.select(F.struct("query_id", "role").alias("query_id"), "work_id", "relevance", "cited_by_count", "overlap")
+    place = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role"))
+    seeds = seed_selection(keyed, gate).select("query_id.query_id", "query_id.role", "work_id").withColumn("_p", place)
+    first = seeds.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "work_id").orderBy("_p"))).where("_r = 1")
+    order = Window.partitionBy("query_id").orderBy("_p")
+    return first.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= most).select("query_id", "pick", "role", "work_id")
+
+
 def set_pairs(sets: DataFrame, value: str) -> DataFrame:
     """(set_id, a, b, value_a, value_b): pairs within small sets."""
     a = sets.select("set_id", F.col("work_id").alias("a"), F.col(value).alias(f"{value}_a"))

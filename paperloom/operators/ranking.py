@@ -189,4 +189,4 @@ def saturation(waves: DataFrame, taus: list[float], shapes: list[float], stop: f
     fit = fit.withColumn("n", F.col("_sg") / F.col("_gg")).withColumn("_rss", F.col("_ss") - F.col("_sg") * F.col("_sg") / F.col("_gg")).withColumn("_tss", F.col("_ss") - F.col("_s") * F.col("_s") / F.col("_n"))
     best = Window.partitionBy("query_id").orderBy(F.round("_rss", 9), "tau", "k")
     kept = fit.withColumn("_r", F.row_number().over(best)).where("_r = 1")
-    return kept.select("query_id", "n", "tau", "k", F.when(F.col("_tss") > 0, 1 - F.col("_rss") / F.col("_tss")).otherwise(0.0).alias("r2"), (F.col("_last") / F.col("n")).alias("completeness"), (F.col("_last") / F.col("n") >= stop).alias("stop"))
+    return kept.select("query_id", "n", "tau", "k", F.when(F.col("_tss") > 1e-9, 1 - F.col("_rss") / F.col("_tss")).otherwise(0.0).alias("r2"), (F.col("_last") / F.col("n")).alias("completeness"), (F.col("_last") / F.col("n") >= stop).alias("stop"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import scores, text
 from paperloom.operators import gaps, temporal
-from paperloom.plans.registry import query
+from paperloom.plans.registry import ORACLE_SQL, query
 from paperloom.plans.views import AS_OF, DOC_EDGES, JUDGMENTS, WORKS, doc_edges, judgments, with_, works
 
 WIDTH = """quart AS (SELECT topic, list_sort(list(year)) AS y FROM works GROUP BY topic),
@@ -153,7 +153,17 @@ def novelty_gaps(spark, d):  # noqa: ANN001
 @query()
 def all_gaps(spark, d):  # noqa: ANN001
     """The detectors' outputs in one table."""
-    return gaps.detect_all({"structural": structural_gaps(spark, d), "coverage": coverage_gaps(spark, d), "method": method_domain_gaps(spark, d), "novelty": novelty_gaps(spark, d)})
+    return gaps.detect_all({"structural": structural_gaps(spark, d), "coverage": coverage_gaps(spark, d), "method": method_domain_gaps(spark, d), "novelty": novelty_gaps(spark, d), "temporal": temporal_gaps(spark, d)})
+
+
+DETECTORS = {"structural": "structural_gaps", "coverage": "coverage_gaps", "method": "method_domain_gaps", "novelty": "novelty_gaps", "temporal": "temporal_gaps"}
+
+
+@query("SELECT map_id::VARCHAR AS map_id, kind, count(*) AS n, round(max(gap_score), 6) AS best FROM (" + " UNION ALL ".join(f"SELECT map_id::VARCHAR AS map_id, '{kind}' AS kind, gap_score FROM ({ORACLE_SQL[name]})" for kind, name in DETECTORS.items()) + ") GROUP BY 1, 2")
+def gap_kinds(spark, d):  # noqa: ANN001
+    """How many gaps of each kind the detectors find in each map, and the best of them."""
+    found = all_gaps(spark, d).withColumn("map_id", F.col("map_id").cast("string"))
+    return found.groupBy("map_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("gap_score"), 6).alias("best"))
 
 
 @query()

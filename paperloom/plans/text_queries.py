@@ -224,6 +224,22 @@ def interleaved_orders(spark, d):  # noqa: ANN001
     return ranking.interleave(both, "query_id").select("query_id", "work_id", "rank")
 
 
+SATURATION = """waves0 AS (SELECT query_id, ceil(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, work_id) / 45.0)::INT AS t, relevance FROM pool),
+waves AS (SELECT query_id, t, sum(s) OVER (PARTITION BY query_id ORDER BY t) AS seen FROM (SELECT query_id, t, sum(relevance) AS s FROM waves0 GROUP BY 1, 2)),
+grid AS (SELECT tau, k FROM unnest([1.0, 2, 3, 5, 8, 13]::DOUBLE[]) a(tau), unnest([0.5, 0.75, 1.0, 1.5, 2.0]::DOUBLE[]) b(k)),
+fit AS (SELECT query_id, tau, k, sum(seen * g) AS sg, sum(g * g) AS gg, sum(seen * seen) AS ss, sum(seen) AS s, count(*) AS c, max(seen) AS last FROM (SELECT *, 1 - exp(-pow(t / tau, k)) AS g FROM waves, grid) GROUP BY 1, 2, 3),
+err AS (SELECT *, sg / gg AS n, ss - sg * sg / gg AS rss, ss - s * s / c AS tss FROM fit),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rss, 9), tau, k) AS r FROM err)
+SELECT query_id, round(n, 6) AS n, tau, k, round(CASE WHEN tss > 1e-9 THEN 1 - rss / tss ELSE 0 END, 6) AS r2, round(last / n, 6) AS completeness, last / n >= 0.5 AS stop FROM best WHERE r = 1"""
+
+
+@query(with_(WORKS, QUERIES, JUDGMENTS, BM25, POOL, SATURATION.partition("\nSELECT")[0]) + SATURATION[SATURATION.index("\nSELECT") :])
+def saturation_by_query(spark, d):  # noqa: ANN001
+    """``relevance_saturation`` in rounded figures."""
+    found = relevance_saturation(spark, d)
+    return found.select("query_id", F.round("n", 6).alias("n"), "tau", "k", F.round("r2", 6).alias("r2"), F.round("completeness", 6).alias("completeness"), "stop")
+
+
 @query()
 def relevance_saturation(spark, d):  # noqa: ANN001
     """Cumulative judged relevance by wave of 45 in BM25 order, and its saturation."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import scores, text
 from paperloom.operators import gaps, graph, ranking, relational, retrieval, usage
 from paperloom.sources import store
+from paperloom.sources.raw import read_records
 from paperloom.tables import discard, landed
 
 
@@ -167,3 +168,26 @@ def test_landed_tables_can_be_discarded(spark):
     assert df.count() == 5 and os.path.isdir(folder)
     discard(df)
     assert not os.path.exists(folder)
+
+
+def test_raw_records(spark):
+    rows = [
+        ("catalog", '{"id": "https://x.org/W7", "title": " A  b ", "abstract_inverted_index": {"two": [1], "one": [0]}, "authorships": [{"author": {"display_name": "N"}}], "is_retracted": true, "new": 1}'),
+        ("catalog", '{"id": "https://x.org/W8", "publication_year": "soon"}'),
+        ("catalog", '{"id": "https://x.org/A8"}'),
+        ("catalog", "[1, 2"),
+        ("catalog", None),
+        ("preprints", '{"arxiv_id": "arXiv:2301.1v3", "venue": ""}'),
+        ("graph", '{"s2_id": "0123456789012345678901234", "arxiv_id": "2301.1"}'),
+        ("graph", '{"s2_id": "", "title": "t"}'),
+        ("registry", '{"DOI": "10.1/A", "title": ["T", "t"], "published": {"date-parts": [[1999, 2]]}, "author": [{"given": "G", "family": "F"}, {"family": "H"}]}'),
+        ("gone", "{}"),
+        (None, "{}"),
+    ]
+    works, rejects = read_records(spark.createDataFrame(rows, "source string, record string"))
+    got = {r["work_id"]: r.asDict() for r in works.collect()}
+    assert set(got) == {"W7", "AX:2301.1", "S2:01234567890123456789", "DOI:10.1/a"}
+    assert (got["W7"]["title"], got["W7"]["abstract"], got["W7"]["authors"], got["W7"]["is_retracted"], got["W7"]["cited_by_count"]) == ("A b", "one two", ["N"], True, 0)
+    assert got["AX:2301.1"]["venue"] == "arXiv" and got["S2:01234567890123456789"]["pdf_url"] == "https://arxiv.org/pdf/2301.1.pdf"
+    assert (got["DOI:10.1/a"]["title"], got["DOI:10.1/a"]["year"], got["DOI:10.1/a"]["authors"]) == ("T", 1999, ["G F", "H"])
+    assert sorted((r["source"] or "", r["reason"]) for r in rejects.collect()) == [("", "unknown source"), ("catalog", "malformed"), ("catalog", "malformed"), ("catalog", "malformed"), ("catalog", "no id"), ("gone", "unknown source"), ("graph", "no id")]

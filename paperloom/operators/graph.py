@@ -228,6 +228,40 @@ def assign_labels(works: DataFrame, labels: DataFrame, least_words: int = 5) ->
     return works.select("work_id").join(best.select("work_id", "label"), "work_id", "left").select("work_id", F.coalesce("label", F.lit("Other")).alias("label"))
 
 
+# Words of titles that no subtopic is told by.
+SUBTOPIC_STOP_WORDS = """
+a an the of and for in on to with is are by from at as or that this its it be was were been being do does did has have had not but if
+we our via using based towards toward
+""".split()
+
+
+def _title_keywords(title: Column) -> Column:
+    words = F.array_distinct(F.regexp_extract_all(F.replace(F.lower(F.coalesce(title, F.lit(""))), F.lit("-"), F.lit(" ")), F.lit(SPACED), F.lit(0)))
+    return F.array_except(words, F.array(*map(F.lit, SUBTOPIC_STOP_WORDS)))
+
+
+def assign_subtopics(nodes: DataFrame, given: DataFrame, crowded: float = 0.2) -> DataFrame:
+    """(map_id, work_id, subtopic): labels where they were given, else that of the subtopic whose keywords the title shares most.
+
+    ``nodes``: map_id, work_id, title, one row each; ``given``: map_id, work_id, label. A subtopic's keywords are
+    those of its label and of the titles that have it. A title of five keywords or more needs two of
+    them, others one; where more than ``crowded`` of a map is left as 'Other', one is enough for all
+    of those. Ties go to the first label by name. Titles that are null or have no keywords are 'Other'.
+    """
+    keys = ["map_id", "work_id"]
+    words = nodes.select(*keys, _title_keywords(F.col("title")).alias("_w")).withColumn("_k", F.size("_w"))
+    labelled = given.where("label IS NOT NULL AND label <> ''").groupBy(*keys).agg(F.min("label").alias("label"))
+    own = words.join(labelled, keys).select("map_id", "label", F.explode("_w").alias("_x")).union(labelled.select("map_id", "label", F.explode(_title_keywords(F.col("label"))).alias("_x"))).distinct()
+    rest = words.join(labelled, keys, "left_anti")
+    hits = rest.select(*keys, "_k", F.explode("_w").alias("_x")).join(own, ["map_id", "_x"]).groupBy(*keys, "_k", "label").agg(F.count(F.lit(1)).alias("_n"))
+    best = hits.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_n"), "label"))).where("_r = 1")
+    all_rows = stable(words.select(*keys).join(labelled, keys, "left").join(best.select(*keys, F.col("label").alias("_found"), (F.col("_n") >= F.when(F.col("_k") >= 5, 2).otherwise(1)).alias("_enough")), keys, "left"))
+    other = F.col("label").isNull() & ~F.coalesce("_enough", F.lit(False))
+    maps = all_rows.groupBy("map_id").agg((F.count_if(other) > crowded * F.count(F.lit(1))).alias("_crowded"))
+    found = F.when(F.col("_enough") | F.col("_crowded"), F.col("_found"))
+    return all_rows.join(maps, "map_id").select(*keys, F.coalesce("label", found, F.lit("Other")).alias("subtopic"))
+
+
 # Weights of relevance, links and temporal score by temporal preference.
 SELECT_WEIGHTS = {"seminal": (0.35, 0.30, 0.35), "recent": (0.35, 0.35, 0.30), "all": (0.45, 0.35, 0.20)}
 

@@ -80,6 +80,31 @@ def cost_breakdown(ledger: DataFrame) -> DataFrame:
     return debit.rollup("workspace", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs("amount")).alias("amount"), F.grouping_id("workspace", "reason").alias("level"))
 
 
+# What a credit costs and what a plan brings, in pounds.
+COST_PER_CREDIT, PLAN_REVENUE = 0.05, {"pro": 7.99}
+
+
+def credit_usage(ledger: DataFrame, since: Column, daily: bool = False) -> DataFrame:
+    """(reason, n, credits) of the debits from ``since`` on, or with ``daily`` a row for each day and reason.
+
+    ``ledger``: reason, amount (debits are negative), created_at.
+    """
+    by = [F.to_date("created_at").alias("day"), "reason"] if daily else ["reason"]
+    return ledger.where((F.col("amount") < 0) & (F.col("created_at") >= since)).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs("amount")).alias("credits"))
+
+
+def user_margins(ledger: DataFrame, billing: DataFrame) -> DataFrame:
+    """(user_id, credits, cost, revenue, margin) of every user with billing or debits; ``ledger``: user_id, amount; ``billing``: user_id, plan.
+
+    Cost is rounded to pence before the margin; a plan that brings nothing, or none, has revenue 0.
+    """
+    used = ledger.where("amount < 0").groupBy("user_id").agg(F.sum(F.abs("amount")).alias("credits"))
+    revenue = F.coalesce(*(F.when(F.col("plan") == plan, pounds) for plan, pounds in PLAN_REVENUE.items()), F.lit(0.0))
+    both = billing.groupBy("user_id").agg(F.max("plan").alias("plan")).join(used, "user_id", "full_outer").withColumn("credits", F.coalesce("credits", F.lit(0)))
+    cost = F.round(F.col("credits") * F.lit(str(COST_PER_CREDIT)).cast("decimal(6,4)"), 2).cast("double")
+    return both.select("user_id", "credits", cost.alias("cost"), revenue.alias("revenue"), F.round(revenue - cost, 2).alias("margin"))
+
+
 def latest(rows: DataFrame, by: list[str], at: str, *ties: str) -> DataFrame:
     """The last row of each group."""
     order = Window.partitionBy(*by).orderBy(F.desc(at), *(F.desc(t) for t in ties))

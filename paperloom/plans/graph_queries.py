@@ -146,3 +146,25 @@ LABELS = [("articles", ["the", "a", "le", "la", "der"]), ("links", ["of", "de",
 @query(with_(WORKS) + r", l(label, words) AS (VALUES " + ", ".join(f"('{n}', {w})" for n, w in LABELS) + r"), t AS (SELECT work_id, unnest(list_distinct(regexp_extract_all(lower(title), '[^\x09-\x0D ]+'))) AS word FROM works), h AS (SELECT work_id, label, any_value(len(words)) AS k, count(*) AS n FROM t JOIN (SELECT label, words, unnest(words) AS word FROM l) USING (word) GROUP BY 1, 2), b AS (SELECT work_id, label, row_number() OVER (PARTITION BY work_id ORDER BY n DESC, label) AS r FROM h WHERE n >= CASE WHEN k >= 5 THEN 2 ELSE 1 END) SELECT work_id, coalesce(label, 'Other') AS label FROM works LEFT JOIN (SELECT * FROM b WHERE r = 1) USING (work_id)")
 def subtopic_assignment(spark, d):  # noqa: ANN001
     return graph.assign_labels(works(spark, d), spark.createDataFrame(LABELS, "label string, words array<string>"))
+
+
+KEYWORDS = r"list_filter(list_distinct(regexp_extract_all(replace(lower(coalesce({0}, '')), '-', ' '), '[^\x09-\x0D ]+')), lambda w: NOT list_contains({1}, w))"
+STOP = "[" + ", ".join(f"'{w}'" for w in graph.SUBTOPIC_STOP_WORDS) + "]"
+
+
+@query(
+    with_(WORKS)
+    + f""", nodes AS (SELECT topic AS map_id, work_id, {KEYWORDS.format("title", STOP)} AS w FROM works),
+given AS (SELECT topic AS map_id, work_id, 'The-group ' || (cited_by_count % 4) AS label FROM works WHERE work_id % 6 = 0),
+own AS (SELECT map_id, label, unnest(w) AS x FROM nodes JOIN given USING (map_id, work_id) UNION SELECT map_id, label, unnest({KEYWORDS.format("label", STOP)}) FROM given),
+hits AS (SELECT n.map_id, n.work_id, o.label, len(n.w) AS k, count(*) AS c FROM (SELECT *, unnest(w) AS x FROM nodes) n JOIN own o ON o.map_id = n.map_id AND o.x = n.x WHERE (n.map_id, n.work_id) NOT IN (SELECT map_id, work_id FROM given) GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY map_id, work_id ORDER BY c DESC, label) AS r FROM hits) WHERE r = 1),
+told AS (SELECT n.map_id, n.work_id, g.label, b.label AS found, coalesce(b.c >= CASE WHEN b.k >= 5 THEN 2 ELSE 1 END, false) AS enough FROM nodes n LEFT JOIN given g ON g.map_id = n.map_id AND g.work_id = n.work_id LEFT JOIN best b ON b.map_id = n.map_id AND b.work_id = n.work_id),
+maps AS (SELECT map_id, sum((label IS NULL AND NOT enough)::INT) > 0.2 * count(*) AS crowded FROM told GROUP BY 1)
+SELECT map_id, work_id, coalesce(label, CASE WHEN enough OR crowded THEN found END, 'Other') AS subtopic FROM told JOIN maps USING (map_id)"""
+)
+def subtopics(spark, d):  # noqa: ANN001
+    """Maps by topic, of whose works every sixth has one of four labels."""
+    nodes = works(spark, d).select(F.col("topic").alias("map_id"), "work_id", "title", "cited_by_count")
+    given = nodes.where("work_id % 6 = 0").select("map_id", "work_id", F.concat(F.lit("The-group "), (F.col("cited_by_count") % 4).cast("string")).alias("label"))
+    return graph.assign_subtopics(nodes.drop("cited_by_count"), given)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,39 @@ def cost_breakdown(spark, d):  # noqa: ANN001
     return usage.cost_breakdown(ledger).withColumn("amount", F.col("amount").cast("double")).withColumn("level", F.col("level").cast("bigint"))
 
 
+LEDGER = "ledger AS (SELECT map_id AS user_id, activity_type AS reason, CASE WHEN value > 0 THEN -value ELSE value END::DECIMAL(12,2) AS amount, ts AS created_at FROM activity WHERE event_id % 3 > 0 UNION ALL SELECT map_id, 'top-up', 50, ts FROM activity WHERE event_id % 3 = 0)"
+
+
+def _debits(spark, d):  # noqa: ANN001, ANN202
+    a = activity(spark, d)
+    spent = a.where("event_id % 3 > 0").select(F.col("map_id").alias("user_id"), F.col("activity_type").alias("reason"), (-F.abs("value")).cast("decimal(12,2)").alias("amount"), F.col("ts").alias("created_at"))
+    return spent.union(a.where("event_id % 3 = 0").select("map_id", F.lit("top-up"), F.lit(50).cast("decimal(12,2)"), "ts"))
+
+
+@query(with_(ACTIVITY, LEDGER) + "SELECT reason, count(*) AS n, sum(-amount)::DOUBLE AS credits FROM ledger WHERE amount < 0 AND created_at >= (SELECT max(created_at) FROM ledger) - INTERVAL 30 DAY GROUP BY reason")
+def credit_usage(spark, d):  # noqa: ANN001
+    ledger = _debits(spark, d)
+    since = ledger.agg(F.max("created_at")).first()[0] - datetime.timedelta(days=30)
+    return usage.credit_usage(ledger, F.lit(since)).withColumn("credits", F.col("credits").cast("double"))
+
+
+@query(with_(ACTIVITY, LEDGER) + "SELECT created_at::DATE AS day, reason, count(*) AS n, sum(-amount)::DOUBLE AS credits FROM ledger WHERE amount < 0 GROUP BY ALL")
+def credit_usage_by_day(spark, d):  # noqa: ANN001
+    return usage.credit_usage(_debits(spark, d), F.lit("1970-01-01").cast("timestamp"), daily=True).withColumn("credits", F.col("credits").cast("double"))
+
+
+@query(
+    with_(ACTIVITY, LEDGER)
+    + ", plans AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 'pro' WHEN c_custkey % 3 = 1 THEN 'free' END AS plan FROM customer), used AS (SELECT user_id, sum(-amount) AS credits FROM ledger WHERE amount < 0 GROUP BY 1),"
+    " m AS (SELECT user_id, coalesce(credits, 0) AS credits, round(coalesce(credits, 0) * 0.05::DECIMAL(6,4), 2)::DOUBLE AS cost, CASE WHEN plan = 'pro' THEN 7.99 ELSE 0.0 END::DOUBLE AS revenue FROM plans FULL JOIN used USING (user_id))"
+    " SELECT user_id, credits::DOUBLE AS credits, cost, revenue, round(revenue - cost, 2) AS margin FROM m"
+)
+def user_margins(spark, d):  # noqa: ANN001
+    i = F.col("c_custkey")
+    billing = table(spark, d, "customer").select(i.alias("user_id"), F.when(i % 3 == 0, "pro").when(i % 3 == 1, "free").alias("plan"))
+    return usage.user_margins(_debits(spark, d).select("user_id", "amount"), billing).withColumn("credits", F.col("credits").cast("double"))
+
+
 @query(with_(ACTIVITY) + ", l AS (SELECT map_id AS account, event_id AS seq, value::DECIMAL(12,2) AS amount, sum(value::DECIMAL(12,2)) OVER (PARTITION BY map_id ORDER BY event_id) AS expected FROM activity) SELECT account, seq, (expected + 1)::DOUBLE AS balance_after, expected::DOUBLE AS expected FROM l WHERE seq % 97 = 0")
 def ledger_audit(spark, d):  # noqa: ANN001
     """Every 97th balance is off by one."""

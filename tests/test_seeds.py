@@ -30,3 +30,15 @@ def test_hop_scores(spark):
     edges = spark.createDataFrame([(1, 1, 2), (1, 3, 2), (1, 4, 99)], "map_id int, from_id int, to_id int")
     got = {(r["map_id"], r["work_id"]): r["score"] for r in graph.hop_scores(nodes, edges).collect()}
     assert got[1, 1] == math.inf and [round(got[k], 9) for k in ((1, 2), (1, 3), (1, 4), (2, 1))] == [1.0, 0.12, 0.1, 0.6]
+
+
+def test_subtopics_in_three_passes(spark):
+    titles = {1: "Deep Nets for Vision", 2: "Graph-nets", 3: "deep learning of very large language models", 4: "Nets deep in large vision models today", 5: "the of", 6: None, 7: "graph", 8: "Topic one x y z w"}
+    nodes = spark.createDataFrame([(1, k, t) for k, t in titles.items()] + [(2, 1, "alpha"), (2, 2, "beta"), (2, 3, "alpha one two three four"), (2, 4, "alpha"), (2, 5, "alpha")], "map_id int, work_id int, title string")
+    given = spark.createDataFrame([(1, 1, "Topic one"), (1, 2, "two"), (2, 1, "A"), (1, 2, ""), (1, 9, "two")], "map_id int, work_id int, label string")
+    got = {(r["map_id"], r["work_id"]): r["subtopic"] for r in graph.assign_subtopics(nodes, given).collect()}
+    # map 1: five of eight words are needed twice; half of it would be Other, so one word is enough for those
+    assert got == {(1, 1): "Topic one", (1, 2): "two", (1, 3): "Topic one", (1, 4): "Topic one", (1, 5): "Other", (1, 6): "Other", (1, 7): "two", (1, 8): "Topic one", (2, 1): "A", (2, 2): "Other", (2, 3): "A", (2, 4): "A", (2, 5): "A"}
+    few = nodes.where("map_id = 2").union(spark.createDataFrame([(2, k, "alpha") for k in range(10, 20)], nodes.schema))
+    got = {r["work_id"]: r["subtopic"] for r in graph.assign_subtopics(few, given).collect()}
+    assert got[3] == "Other" and got[2] == "Other" and got[10] == "A"

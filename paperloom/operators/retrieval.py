@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,16 +164,80 @@ def drop_similar_titles(ranked: DataFrame, percent: int = 40) -> DataFrame:
     return kept.select("query_id", "work_id", "rank").union(ranked.where(~worded).select("query_id", "work_id", "rank"))
 
 
-def vector_knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
+def _usable(vectors: DataFrame, *keys: str) -> DataFrame:
+    """Rows whose embedding has finite numbers and is not zero, as _e in double precision."""
+    v = vectors.select(*keys, F.col("embedding").cast("array<double>").alias("_e"))
+    sound = F.forall("_e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_e", lambda x: x != 0)
+    return v.where(F.coalesce((F.size("_e") > 0) & sound, F.lit(False)))
+
+
+def _products(group: pa.Table, left: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of the group with ``left``, the others, their cosines to twelve digits), for each length of vector."""
+    own = group.column(left).to_numpy(zero_copy_only=False)
+    sizes = pc.list_value_length(group.column("_e")).to_numpy()
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        e = np.array(group.column("_e").take(pa.array(at)).to_pylist(), dtype=float)
+        e /= np.sqrt((e * e).sum(axis=1))[:, None]
+        a, b = at[own[at]], at[~own[at]]
+        if len(a) and len(b):
+            yield a, b, np.round(e[own[at]] @ e[~own[at]].T, 12)
+
+
+def vector_knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """(query_id, vec_id, cosine, rank): exact nearest neighbours of a stated set of query vectors, itself excluded.
 
-    ``vectors``: vec_id, embedding; ``queries``: query_id, embedding. Queries come in rows of about
-    ``block`` by hash, so a row of the join is bounded and the vectors are read once a block.
+    ``vectors``: vec_id, embedding; ``queries``: query_id, embedding. Both are dealt by hash to blocks of
+    about ``block``, and each block of queries meets each block of vectors in one product, which
+    leaves ``k`` neighbours a query; those lists are merged. Cosines count to twelve digits, ties go
+    to the smaller vec_id. Vectors that are null, zero or not finite are no neighbours and have none,
+    nor do those of other lengths.
+    """
+    v, q = _usable(vectors, "vec_id"), _usable(queries, "query_id")
+    n_v, n_q = (max(1, -(-df.count() // block)) for df in (v, q))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    rows = v.select("vec_id", "_e", F.lit(False).alias("_asks"), every(n_q).alias("_q"), of("vec_id", n_v).alias("_v"))
+    rows = rows.union(q.select("query_id", "_e", F.lit(True), of("query_id", n_q), every(n_v)))
+
+    def nearest(group: pa.Table) -> pa.Table:
+        ids, found = group.column("vec_id").to_numpy(), []
+        for a, b, cosine in _products(group, "_asks"):
+            cosine[ids[a][:, None] == ids[b][None, :]] = -2  # itself
+            kth = np.sort(cosine, axis=1)[:, -min(k, len(b))]
+            for i, near in enumerate(cosine >= np.maximum(kth, -1.5)[:, None]):
+                j = np.flatnonzero(near)
+                j = j[np.lexsort((ids[b[j]], -cosine[i, j]))][:k]
+                found.append((np.full(len(j), ids[a[i]]), ids[b[j]], cosine[i, j]))
+        columns = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, dtype=np.int64)] * 2 + [np.zeros(0)]
+        return pa.table({"query_id": columns[0], "vec_id": columns[1], "cosine": columns[2]})
+
+    lists = rows.groupBy("_q", "_v").applyInArrow(nearest, "query_id long, vec_id long, cosine double")
+    return top_k(lists, k, "query_id", F.desc("cosine"), F.asc("vec_id"))
+
+
+def fallback_edges(nodes: DataFrame, edges: DataFrame, least_per_node: float = 2.0, cosine: float = 0.7, block: int = 2048) -> DataFrame:
+    """(map_id, a, b, cosine), a < b: nodes of thinly linked maps whose embeddings are close.
+
+    ``nodes``: map_id, work_id, embedding; ``edges``: map_id, from_id, to_id. Only maps with fewer than
+    ``least_per_node`` edges a node get any. A map's nodes are dealt to blocks of about ``block``, and each pair of
+    blocks is multiplied on its own.
     """
-    n = max(1, -(-queries.count() // block))
-    q = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("_b")).agg(F.collect_list(F.struct("query_id", F.col("embedding").cast("array<double>").alias("e"))).alias("_qs"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    pairs = v.join(q).select("vec_id", "e", F.explode("_qs").alias("q")).where("q.query_id != vec_id")
-    scored = pairs.select(F.col("q.query_id").alias("query_id"), "vec_id", (dot(F.col("e"), F.col("q.e")) / F.sqrt(dot(F.col("e"), F.col("e")) * dot(F.col("q.e"), F.col("q.e")))).alias("cosine"))
-    return top_k(scored, k, "query_id", F.desc("cosine"), F.asc("vec_id"))
+    counts = nodes.groupBy("map_id").agg(F.count(F.lit(1)).alias("_n"))
+    linked = edges.groupBy("map_id").agg(F.count(F.lit(1)).alias("_e"))
+    thin = counts.join(linked, "map_id", "left").where(F.coalesce("_e", F.lit(0)) < least_per_node * F.col("_n")).select("map_id", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    placed = _usable(nodes, "map_id", "work_id").join(thin, "map_id").withColumn("_own", F.pmod(F.xxhash64("work_id"), F.col("_blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    left = placed.select("map_id", "work_id", "_e", F.lit(True).alias("_left"), F.col("_own").alias("_i"), other.alias("_j"))
+    right = placed.select("map_id", "work_id", "_e", F.lit(False), other, "_own")
+
+    def close(group: pa.Table) -> pa.Table:
+        ids, maps, found = group.column("work_id").to_numpy(), group.column("map_id"), []
+        for a, b, near in _products(group, "_left"):
+            i, j = np.nonzero((near >= cosine) & (ids[a][:, None] < ids[b][None, :]))
+            found.append((a[i], ids[a[i]], ids[b[j]], near[i, j]))
+        columns = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, dtype=np.int64)] * 3 + [np.zeros(0)]
+        return pa.table({"map_id": maps.take(pa.array(columns[0])), "a": columns[1], "b": columns[2], "cosine": columns[3]})
+
+    kind = nodes.schema["map_id"].dataType.simpleString()
+    return left.union(right).groupBy("map_id", "_i", "_j").applyInArrow(close, f"map_id {kind}, a long, b long, cosine double")

@@ -259,6 +259,21 @@ def vector_neighbours(spark, d):  # noqa: ANN001
     return retrieval.vector_knn(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10).withColumn("cosine", F.round("cosine", 6))
 
 
+@query(
+    """WITH v AS (SELECT label AS map_id, vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings WHERE label IS NOT NULL),
+cited AS (SELECT x.map_id, x.vec_id AS from_id, y.vec_id AS to_id FROM v x JOIN v y ON x.map_id = y.map_id AND y.vec_id BETWEEN x.vec_id + 1 AND x.vec_id + 3 WHERE x.vec_id % 10 < x.map_id % 4),
+thin AS (SELECT map_id FROM (SELECT map_id, count(*) AS n FROM v GROUP BY 1) LEFT JOIN (SELECT map_id, count(*) AS c FROM cited GROUP BY 1) USING (map_id) WHERE coalesce(c, 0) < 0.06 * n)
+SELECT x.map_id, x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.e, y.e), 6) AS cosine FROM v x JOIN v y ON x.map_id = y.map_id AND x.vec_id < y.vec_id WHERE x.map_id IN (SELECT map_id FROM thin) AND list_cosine_similarity(x.e, y.e) >= 0.25"""
+)
+def fallback_edges(spark, d):  # noqa: ANN001
+    """Vectors of a label as a map's nodes, linked with near ids in some of the labels only."""
+    v = table(spark, d, "embeddings").where("label IS NOT NULL").select(F.col("label").alias("map_id"), F.col("vec_id").alias("work_id"), "embedding")
+    x, y = v.select("map_id", F.col("work_id").alias("from_id")), v.select("map_id", F.col("work_id").alias("to_id"))
+    next_ids = F.explode(F.sequence(F.col("from_id") + 1, F.col("from_id") + 3))
+    cited = x.where("from_id % 10 < map_id % 4").withColumn("to_id", next_ids).join(y, ["map_id", "to_id"]).select("map_id", "from_id", "to_id")
+    return retrieval.fallback_edges(v, cited, 0.06, 0.25).withColumn("cosine", F.round("cosine", 6))
+
+
 @query(
     with_(WORKS)
     + rf""", pairs AS (SELECT a.work_id AS a, b.work_id AS b, a.title AS ta, b.title AS tb FROM works a JOIN works b ON a.topic = b.topic AND a.year = b.year AND a.work_id < b.work_id),

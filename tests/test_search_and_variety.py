@@ -5,6 +5,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.operators import ranking, retrieval
 from paperloom.plans import catalog
@@ -100,3 +101,32 @@ def test_query_of_varied_works(spark, tables, monkeypatch):
         rows = [(r.work_id, r.score, None if pd.isna(r.impact) else r.impact, None if pd.isna(r.year) else int(r.year), r.subfield) for r in pool[pool["query_id"] == q].itertuples()]
         assert got[got["query_id"] == q]["work_id"].tolist() == plain_mmr(rows, vectors, 20)
     assert got.groupby("query_id").size().le(20).all()
+
+
+def cosine(a, b):
+    return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+
+
+def usable(v):
+    return bool(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_neighbours_and_fallback_edges_against_all_pairs(spark, block):
+    rng = random.Random(block)
+    vectors = [(i, [rng.choice([-1.0, 0.0, 1.0, rng.random()]) for _ in range(4)]) for i in range(60)]
+    vectors += [(60, list(vectors[3][1])), (61, [2 * x for x in vectors[3][1]]), (62, None), (63, []), (64, [0.0] * 4), (65, [float("nan")] * 4), (66, [1.0, None, 0.0, 0.0]), (67, [1.0, 2.0]), (68, [2.0, 4.0]), (69, [2.0, -1.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 4 < 2").withColumnRenamed("vec_id", "query_id")
+    got = retrieval.vector_knn(df, asked, 5, block).collect()
+    want = []
+    for q, x in vectors:
+        if q % 4 < 2 and usable(x):
+            near = sorted((-round(cosine(x, y), 12), v) for v, y in vectors if v != q and usable(y) and len(x) == len(y))[:5]
+            want += [(q, v, r + 1) for r, (_, v) in enumerate(near)]
+    assert sorted((r["query_id"], r["vec_id"], r["rank"]) for r in got) == sorted(want)
+
+    nodes = df.select((F.col("vec_id") % 3).alias("map_id"), F.col("vec_id").alias("work_id"), "embedding")
+    edges = spark.createDataFrame([(0, i, i + 3) for i in range(0, 60, 3) for _ in range(3)] + [(1, 1, 4)], "map_id long, from_id long, to_id long")
+    found = sorted((r["map_id"], r["a"], r["b"]) for r in retrieval.fallback_edges(nodes, edges, block=block).collect())
+    assert found == sorted((i % 3, i, j) for i, x in vectors for j, y in vectors if i % 3 == j % 3 != 0 and i < j and usable(x) and usable(y) and len(x) == len(y) and round(cosine(x, y), 12) >= 0.7)

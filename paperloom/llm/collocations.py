@@ -7,27 +7,33 @@ coordinates. Spark adds up the chunks' counts; pairs that are frequent get ids b
 take the place of the words: two neighbours among them, which overlap in a word, are a phrase of
 three. So each round finds phrases that are longer by a word, from chunks with ever fewer numbers.
 
-No dictionary is broadcast: a chunk's distinct words or pairs are joined with the ids as rows, and
-what the join finds goes back to the chunk.
+The ``KNOWN`` most frequent words or pairs, whose ids are the lowest, are sent to all tasks. If there
+are more, a chunk's distinct words or pairs are joined with the others as rows, and what the join
+finds goes back to the chunk.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.words import LOWER, text_groups
-from paperloom.tables import landed, stable
+from paperloom.llm.words import LOWER, mix, text_groups
+from paperloom.tables import discard, landed, stable
 
-CHUNK = 1 << 21  # bytes of text of one language that are numbered together
-EDGE, SIDE = 256, 64  # ids along a tile; tiles along the part of the plane that is addressed directly
-DENSE = 4096  # pairs in a tile from which a dense array is cheaper than a sort
+CHUNK = 1 << 18  # bytes of text of one language that are numbered together: a row of this size is no burden to a heap
+EDGE, SIDE = 128, 128  # ids along a tile; tiles along the part of the plane that is addressed directly
+DENSE = 1024  # pairs in a tile from which a dense array is cheaper than a sort
+KNOWN = 1 << 18  # words or pairs that are broadcast: at most 6 MB of pairs, 19 MB of words
+LONG = 64  # bytes; longer words are never broadcast
+#: While phrases are counted: bytes that a Python task takes at a time, and shuffles go when their table is written.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": "16m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 #: Spaces and tabs stand between words, the others between pieces.
 KIND = np.zeros(256, dtype=np.uint8)
 KIND[[0x20, 0x09]] = 1
@@ -85,6 +91,25 @@ def cut_at_stops(text: bytes, most: int) -> Iterator[bytes]:
     yield text[begin:]
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """The session with these settings, and as it was before afterwards."""
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def entries(chunks: DataFrame, *keys: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each word or pair of each chunk: ``keep``, local (its number in the chunk) and its ``keys``."""
+    first, *others = keys
+    return chunks.select(*keep, F.posexplode(first).alias("local", first), *others).select(*keep, "local", first, *(F.get(c, F.col("local")).alias(c) for c in others))
+
+
 def word_chunks(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(chunk, lang, seq, words, n): about ``chunk`` bytes of one language each, words and their numbers."""
 
@@ -117,19 +142,73 @@ def word_chunks(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return landed(rows.mapInArrow(run, "chunk bigint, lang string, seq array<int>, words array<binary>, n array<bigint>"))
 
 
-def pair_chunks(chunks: DataFrame, names: DataFrame) -> DataFrame:
-    """(chunk, seq, a, b, n): neighbours among what ``names`` (chunk, local, id) gives an id; seq numbers them in their places.
+class KnownWords:
+    """Ids of the words of some languages."""
+
+    keys = ("words",)
+
+    def __init__(self, rows: pa.Table):
+        self.ids: dict[str, dict[bytes, int]] = {}
+        for lang, word, i in zip(*(rows.column(c).to_pylist() for c in ("lang", "words", "id"))):
+            self.ids.setdefault(lang, {})[word] = i
+
+    def find(self, batch: pa.RecordBatch, i: int) -> np.ndarray:
+        """Ids of the words of row ``i``, -1 for others."""
+        own, words = self.ids.get(batch.column("lang")[i].as_py(), {}), batch.column("words")[i].values.to_pylist()
+        return np.fromiter((own.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+
+
+class KnownPairs:
+    """Ids of pairs, found by a hash and compared."""
+
+    keys = ("a", "b")
+
+    def __init__(self, rows: pa.Table):
+        a, b, ids = (rows.column(c).to_numpy() for c in ("a", "b", "id"))
+        order = np.lexsort((ids, self.hash(a, b)))
+        self.a, self.b, self.ids = (np.append(x[order], -1) for x in (a, b, ids))
+        self.hashes = self.hash(self.a[:-1], self.b[:-1])
+        self.twins = int(np.count_nonzero(self.hashes[1:] == self.hashes[:-1]))
+
+    @staticmethod
+    def hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix(mix(a.astype(np.uint64)) + b.astype(np.uint64))
+
+    def find(self, batch: pa.RecordBatch, i: int) -> np.ndarray:
+        """Ids of the pairs of row ``i``, -1 for others."""
+        a, b = (batch.column(c)[i].values.to_numpy() for c in self.keys)
+        out, at = np.full(len(a), -1, dtype=np.int64), np.searchsorted(self.hashes, self.hash(a, b))
+        for _ in range(self.twins + 1):  # pairs of one hash lie side by side
+            same = (self.a[at] == a) & (self.b[at] == b)
+            out[same] = self.ids[at[same]]
+            at = np.minimum(at + 1, len(self.ids) - 1)
+        return out
+
+
+def pair_chunks(chunks: DataFrame, frequent: DataFrame, known: type, most: int) -> DataFrame:
+    """(chunk, seq, a, b, n): neighbours among the words or pairs that ``frequent`` gives an id; seq numbers them in their places.
 
     Where there is no pair, -1 stands, once for a run; chunks without a pair go.
     """
+    own = ["lang", "words"] if known is KnownWords else ["a", "b"]
+    short = (F.length("words") <= LONG) if known is KnownWords else F.lit(True)
+    told = (F.col("id") < most) & short
+    shared = chunks.sparkSession.sparkContext.broadcast(known(frequent.where(told).select(*own, "id").toArrow()))  # ``most`` rows
+    columns = ["chunk", "seq", *own]
+    rest = frequent.where(~told)
+    if not rest.isEmpty():
+        rows = entries(chunks, *known.keys, keep=("chunk", *(c for c in own if c not in known.keys)))
+        names = rows.join(rest.select(*own, "id"), own).groupBy("chunk").agg(F.collect_list(F.struct("local", "id")).alias("names"))
+        chunks = chunks.select(*columns).join(names, "chunk", "left")
+        columns.append("names")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                seq, named = (batch.column(c)[i].values for c in ("seq", "names"))
-                seq, local, ids = seq.to_numpy(), named.field("local").to_numpy(), named.field("id").to_numpy()
-                table = np.full(int(max(seq.max(), local.max())) + 2, -1, dtype=np.int64)  # the last one for -1
-                table[local] = ids
+                seq, table = batch.column("seq")[i].values.to_numpy(), np.append(shared.value.find(batch, i), -1)  # the last one for -1
+                if "names" in columns and batch.column("names")[i].is_valid:
+                    named = batch.column("names")[i].values
+                    table[named.field("local").to_numpy()] = named.field("id").to_numpy()
                 at = table[seq]
                 both = (at[:-1] >= 0) & (at[1:] >= 0)
                 if not both.any():
@@ -138,11 +217,10 @@ def pair_chunks(chunks: DataFrame, names: DataFrame) -> DataFrame:
                 out = np.full(len(both), -1, dtype=np.int32)
                 out[both] = number
                 out = out[both | np.append(True, both[:-1])]
-                columns = [pa.array([batch.column("chunk")[i].as_py()], pa.int64()), pa.array([out], pa.list_(pa.int32())), *(pa.array([x], pa.list_(pa.int64())) for x in (a, b, n))]
-                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "seq", "a", "b", "n"])
+                made = [pa.array([batch.column("chunk")[i].as_py()], pa.int64()), pa.array([out], pa.list_(pa.int32())), *(pa.array([x], pa.list_(pa.int64())) for x in (a, b, n))]
+                yield pa.RecordBatch.from_arrays(made, names=["chunk", "seq", "a", "b", "n"])
 
-    lists = names.groupBy("chunk").agg(F.collect_list(F.struct("local", "id")).alias("names"))
-    return landed(chunks.select("chunk", "seq").join(lists, "chunk").mapInArrow(run, PAIR_SCHEMA))
+    return landed(chunks.select(*columns).mapInArrow(run, PAIR_SCHEMA))
 
 
 def ranked(rows: DataFrame, *order: Column) -> DataFrame:
@@ -157,36 +235,39 @@ def ranked(rows: DataFrame, *order: Column) -> DataFrame:
     return joined.withColumn("id", F.col("_base") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_part", "_base")
 
 
-def phrase_tables(docs: DataFrame, least: int, longest: int, chunk: int = CHUNK) -> list[DataFrame]:
+def phrase_tables(docs: DataFrame, least: int, longest: int, chunk: int = CHUNK, known: int = KNOWN) -> list[DataFrame]:
     """For words and for each length of phrase: id, lang, total, words, f, a and b, first and last.
 
     f counts the contiguous occurrences, of which there are at least ``least``; a and b are the ids of
     the phrase without its last and without its first word; ``first[i]`` and ``last[i]`` have the counts of
     the first and of the last i + 1 words; total counts all words of the language.
     """
+    with settings(docs.sparkSession, SETTINGS):
+        return _phrase_tables(docs, least, longest, chunk, known)
+
+
+def _phrase_tables(docs: DataFrame, least: int, longest: int, chunk: int, known: int) -> list[DataFrame]:
     chunks = word_chunks(docs, chunk)
-    rows = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "n")).alias("local", "_w")).select("chunk", "lang", "local", "_w.words", "_w.n")
-    counts = stable(rows.groupBy("lang", "words").agg(F.sum("n").alias("f")))
+    counts = stable(entries(chunks, "words", "n", keep=("lang",)).groupBy("lang", "words").agg(F.sum("n").alias("f")))
     totals = counts.groupBy("lang").agg(F.sum("f").alias("total"))
-    frequent = ranked(counts.where(F.col("f") >= least), F.desc("f"), F.col("lang"), F.col("words"))
-    names = rows.join(frequent.select("lang", "words", "id"), ["lang", "words"]).select("chunk", "local", "id")
+    frequent, kind = ranked(counts.where(F.col("f") >= least), F.desc("f"), F.col("lang"), F.col("words")), KnownWords
     nothing = F.lit(None).cast("long")
     f = F.array("f")
     found = [stable(frequent.join(totals, "lang").select("id", "lang", "total", F.array(F.col("words").cast("string")).alias("words"), "f", nothing.alias("a"), nothing.alias("b"), f.alias("first"), f.alias("last")))]
     for _ in range(longest - 1):
-        chunks = pair_chunks(chunks, names)
-        rows = chunks.select("chunk", F.posexplode(F.arrays_zip("a", "b", "n")).alias("local", "_p")).select("chunk", "local", "_p.*")
-        pairs = ranked(rows.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least), F.desc("f"), F.col("a"), F.col("b"))
-        names = rows.join(pairs.select("a", "b", "id"), ["a", "b"]).select("chunk", "local", "id")
+        shorter, chunks = chunks, pair_chunks(chunks, frequent, kind, known)
+        kind = KnownPairs
+        discard(shorter)  # counted and renamed: nothing reads it any more
+        frequent = ranked(entries(chunks, "a", "b", "n").groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least), F.desc("f"), F.col("a"), F.col("b"))
         head = found[-1].select(F.col("id").alias("a"), "lang", "total", F.col("words").alias("_words"), F.col("first").alias("_first"))
         tail = found[-1].select(F.col("id").alias("b"), F.element_at("words", -1).alias("_word"), F.col("last").alias("_last"))
-        joined = pairs.join(head, "a").join(tail, "b")
+        joined = frequent.join(head, "a").join(tail, "b")
         longer = joined.select("id", "lang", "total", F.concat("_words", F.array("_word")).alias("words"), "f", "a", "b", F.concat("_first", f).alias("first"), F.concat("_last", f).alias("last"))
         found.append(stable(longer))
     return found
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, percent: int = 100, chunk: int = CHUNK) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, percent: int = 100, chunk: int = CHUNK, known: int = KNOWN) -> DataFrame:
     """The ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
     Texts are lower-cased (A-Z), split at ``.,;:!?`` and 0x0A to 0x0D into pieces and those at spaces and
@@ -200,7 +281,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     A null lang is 'und'. Null or empty texts have no words; repeated rows and doc_ids count each. An empty table gives no rows.
     Other columns are not read. Long texts are cut between pieces; a piece is laid out whole.
     """
-    tables = phrase_tables(docs, least, longest, chunk)
+    tables = phrase_tables(docs, least, longest, chunk, known)
     kept = []
     for phrases, longer in zip(tables[1:], [*tables[2:], None]):
         if longer is not None:

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,17 +48,28 @@ def by_counting(rows, least, longest, top, percent):
     return sorted(out)
 
 
-@pytest.mark.parametrize("chunk", [1 << 21, 300])
-def test_phrases(spark, chunk):
+def test_known_pairs_of_one_hash(monkeypatch):
+    monkeypatch.setattr(collocations.KnownPairs, "hash", staticmethod(lambda a, b: (a % 3).astype(np.uint64)))
+    rng = np.random.default_rng(1)
+    pairs = np.unique(rng.integers(0, 9, (40, 2)), axis=0)
+    known = collocations.KnownPairs(pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "id": np.arange(len(pairs)) + 5}))
+    asked = rng.integers(0, 9, (200, 2))
+    got = known.find(pa.record_batch({"a": pa.array([asked[:, 0]]), "b": pa.array([asked[:, 1]])}), 0)
+    want = {tuple(p): i + 5 for i, p in enumerate(pairs.tolist())}
+    assert got.tolist() == [want.get(tuple(p), -1) for p in asked.tolist()]
+
+
+@pytest.mark.parametrize(("chunk", "known"), [(1 << 21, 1 << 18), (300, 4)])
+def test_phrases(spark, chunk, known):
     rng = random.Random(8)
     vocabulary = [w.title() if i % 5 else w for i, w in enumerate("la le été new york city of and the x ß 日本 a-b it's".split())]
     prose = lambda n: "".join(rng.choice(vocabulary) + rng.choice([" "] * 9 + [", ", "\t", ". ", "\n", "  ", "!?"]) for _ in range(n))
     rows = [(rng.choice(["en", "fr", None, "und", ""]), prose(rng.randint(0, 60))) for _ in range(120)]
-    rows += [("en", None), ("en", ""), (None, " \t.,"), ("fr", "new york city " * 40), ("en", "New York city stock market. " * 30), ("de", "a a a a a a a " * 5), ("en", prose(900))]
+    rows += [("en", None), ("en", ""), (None, " \t.,"), ("fr", "new york city " * 40), ("en", "New York city stock market. " * 30), ("de", "a a a a a a a " * 5), ("en", prose(900)), ("en", ("x" * 70 + " y ") * 9)]
     rows += rows[:10]
     df = spark.createDataFrame(rows, "lang string, text string").withColumn("n", F.lit("x")).withColumn("id", F.lit("x")).withColumn("chunk", F.lit("x")).repartition(3)
     for least, longest, top, percent in ((6, 5, 2000, 100), (3, 4, 7, 80), (4, 2, 50, 100)):
-        got = sorted(map(tuple, collocations.collocations(df, least, longest, top, percent, chunk).collect()))
+        got = sorted(map(tuple, collocations.collocations(df, least, longest, top, percent, chunk, known).collect()))
         assert got == by_counting(rows, least, longest, top, percent)
 
 

@@ -124,6 +124,29 @@ def dedupe_gaps(gaps: DataFrame) -> DataFrame:
     return keep_first(rows, alike, by, "gap_id", ["_o"]).select("map_id", "gap_id", "gap_score")
 
 
+def map_rollup(nodes: DataFrame, names: DataFrame, k: int = 5) -> DataFrame:
+    """(map_id, section, place, key, n, works): what a map is made of, as rows of its sections.
+
+    ``nodes``: map_id, work_id, topic_id, year, cited_by_count; ``names``: topic_id, name. Section ``cluster`` has
+    a row for each topic by size (a null topic is 'uncategorized'), by name where there is one, with its first
+    ``k`` works by work_id; ``year`` one for each year in order (none for null or 0), ``top`` the ``k`` most cited
+    works. n is the number of works, in ``top`` of citations. Whole maps never lie in one row: lists are cut before they are gathered.
+    """
+    topic = F.coalesce("topic_id", F.lit("uncategorized"))
+    n = nodes.select("map_id", "work_id", topic.alias("topic_id"))
+    first = n.withColumn("_r", F.row_number().over(Window.partitionBy("map_id", "topic_id").orderBy("work_id"))).where(F.col("_r") <= k)
+    lists = first.groupBy("map_id", "topic_id").agg(F.array_join(F.sort_array(F.collect_list("work_id")), ", ").alias("works"))
+    clusters = n.groupBy("map_id", "topic_id").agg(F.count(F.lit(1)).alias("n")).join(lists, ["map_id", "topic_id"]).join(names.groupBy("topic_id").agg(F.min("name").alias("name")), "topic_id", "left")
+    by_size = F.row_number().over(Window.partitionBy("map_id").orderBy(F.desc("n"), "topic_id"))
+    out = clusters.select("map_id", F.lit("cluster").alias("section"), by_size.alias("place"), F.coalesce("name", "topic_id").alias("key"), "n", "works")
+    nothing = F.lit(None).cast("string")
+    years = nodes.where(F.coalesce("year", F.lit(0)) != 0).groupBy("map_id", "year").agg(F.count(F.lit(1)).alias("n"))
+    out = out.union(years.select("map_id", F.lit("year"), F.row_number().over(Window.partitionBy("map_id").orderBy("year")), F.col("year").cast("string"), "n", nothing))
+    cited = F.row_number().over(Window.partitionBy("map_id").orderBy(F.desc_nulls_last("cited_by_count"), "work_id"))
+    best = nodes.withColumn("_r", cited).where(F.col("_r") <= k)
+    return out.union(best.select("map_id", F.lit("top"), "_r", F.col("work_id").cast("string"), F.coalesce("cited_by_count", F.lit(0)).cast("long"), nothing))
+
+
 def evidence_filter(gaps: DataFrame, nodes: DataFrame, least: int = 3) -> DataFrame:
     """Gaps with at least ``least`` evidence ids in their map, score 0.4 or more, coverage 60 or less."""
     ids = gaps.where("gap_score >= 0.4 AND coverage <= 60").select("*", F.explode(F.array_distinct("evidence")).alias("work_id"))

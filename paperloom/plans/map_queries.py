@@ -166,6 +166,20 @@ def gap_kinds(spark, d):  # noqa: ANN001
     return found.groupBy("map_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("gap_score"), 6).alias("best"))
 
 
+@query(
+    with_(WORKS)
+    + """, nodes AS (SELECT topic AS map_id, work_id, CASE WHEN work_id % 7 > 0 THEN 't' || (work_id % 5) END AS topic_id, CASE WHEN work_id % 9 > 0 THEN year END AS year, cited_by_count FROM works),
+named AS (SELECT map_id, work_id, coalesce(topic_id, 'uncategorized') AS topic_id FROM nodes), c AS (SELECT map_id, topic_id, count(*) AS n, array_to_string(list_slice(list(work_id ORDER BY work_id), 1, 5), ', ') AS works FROM named GROUP BY 1, 2)
+SELECT map_id, 'cluster' AS section, row_number() OVER (PARTITION BY map_id ORDER BY n DESC, topic_id)::INT AS place, CASE topic_id WHEN 't1' THEN 'One' WHEN 't2' THEN 'Two' ELSE topic_id END AS key, n, works FROM c
+UNION ALL SELECT map_id, 'year', row_number() OVER (PARTITION BY map_id ORDER BY year)::INT, year::VARCHAR, n, NULL FROM (SELECT map_id, year, count(*) AS n FROM nodes WHERE year IS NOT NULL GROUP BY 1, 2)
+UNION ALL SELECT map_id, 'top', r::INT, work_id::VARCHAR, cited_by_count, NULL FROM (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY cited_by_count DESC, work_id) AS r FROM nodes) WHERE r <= 5"""
+)
+def map_rollup(spark, d):  # noqa: ANN001
+    i = F.col("work_id")
+    w = works(spark, d).select(F.col("topic").alias("map_id"), "work_id", F.when(i % 7 > 0, F.concat(F.lit("t"), (i % 5).cast("string"))).alias("topic_id"), F.when(i % 9 > 0, F.col("year")).alias("year"), "cited_by_count")
+    return gaps.map_rollup(w, spark.createDataFrame([("t1", "One"), ("t2", "Two")], "topic_id string, name string"))
+
+
 @query()
 def gaps_deduped(spark, d):  # noqa: ANN001
     """Works as gaps of their topic and year, evidence the works they cite, without those like a better one."""

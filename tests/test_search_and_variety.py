@@ -130,3 +130,9 @@ def test_neighbours_and_fallback_edges_against_all_pairs(spark, block):
     edges = spark.createDataFrame([(0, i, i + 3) for i in range(0, 60, 3) for _ in range(3)] + [(1, 1, 4)], "map_id long, from_id long, to_id long")
     found = sorted((r["map_id"], r["a"], r["b"]) for r in retrieval.fallback_edges(nodes, edges, block=block).collect())
     assert found == sorted((i % 3, i, j) for i, x in vectors for j, y in vectors if i % 3 == j % 3 != 0 and i < j and usable(x) and usable(y) and len(x) == len(y) and round(cosine(x, y), 12) >= 0.7)
+
+
+def test_sums_in_another_order_tie(spark):
+    postings = spark.createDataFrame([(9, t, "B", 1) for t in "xyz"] + [(2, "x", "A", 1), (2, "w", "B", 1)], "work_id long, term string, field string, tf long")
+    terms = spark.createDataFrame([(1, t, t != "w") for t in "wxyz"], "query_id long, term string, original boolean")  # 0.8 + 0.8 + 0.8 and 2.0 + 0.4
+    assert [r["work_id"] for r in retrieval.fts_search(postings, terms, most=1).collect()] == [2]

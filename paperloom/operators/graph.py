@@ -128,19 +128,19 @@ def co_citation(edges: DataFrame, least: int = 3, k: int = 15, block: int = 2000
     return _both_ways(pairs, "shared", k)
 
 
-def bibliographic_coupling(edges: DataFrame, percent: int = 20, k: int = 15) -> DataFrame:
+def bibliographic_coupling(edges: DataFrame, percent: int = 20, k: int = 15, block: int = 2000) -> DataFrame:
     """(work_id, other_id, coupling, rank): the ``k`` works most alike in what they cite, from a Jaccard similarity of ``percent`` on.
 
     Works that cite the same are one list, so a crowd of them costs no pairs; different lists meet by
     their rarest references (``similar_sets``). Of a list's works only the first k + 1 can be among the
-    best of another.
+    best of another. What cites one reference is dealt to blocks of about ``block``.
     """
     e = edges.select("from_id", "to_id").distinct()
     lists = stable(e.groupBy("from_id").agg(F.sort_array(F.collect_list("to_id")).alias("refs")))
     classes = lists.groupBy("refs").agg(F.min("from_id").alias("list_id"), F.count(F.lit(1)).alias("_works"))
     classes = stable(classes)
     works = stable(lists.join(classes.select("refs", "list_id"), "refs").select("list_id", F.col("from_id").alias("work_id")))
-    pairs = similar_sets(classes.select("list_id", "refs"), [], "list_id", "refs", percent).withColumn("coupling", F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")))
+    pairs = similar_sets(classes.select("list_id", "refs"), [], "list_id", "refs", percent, block=block).withColumn("coupling", F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")))
     pairs = pairs.select("a", "b", "coupling")
     both = pairs.union(pairs.select(F.col("b"), F.col("a"), "coupling")).union(classes.where("_works > 1").select(F.col("list_id").alias("a"), F.col("list_id").alias("b"), F.lit(1.0)))
     within = Window.partitionBy("list_id").orderBy("work_id")

@@ -11,11 +11,11 @@ from paperloom.tables import stable
 
 
 def rare_first(sets: DataFrame, by: list[str], key: str, members: str) -> DataFrame:
-    """(by, key, _m, _n): the different members of each set in one order within each ``by``, rare ones first, and how many."""
+    """(by, key, _m, _d, _n): the different members of each set in one order within each ``by``, rare ones first, how many sets have each, and how many they are."""
     rows = sets.select(*by, key, F.explode(F.array_distinct(members)).alias("_x")).where(F.col("_x").isNotNull())
     often = rows.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_df"))
     placed = rows.join(often, [*by, "_x"]).groupBy(*by, key).agg(F.sort_array(F.collect_set(F.struct("_df", "_x"))).alias("_o"))
-    return placed.select(*by, key, F.transform("_o", lambda x: x["_x"]).alias("_m"), F.size("_o").alias("_n"))
+    return placed.select(*by, key, F.transform("_o", lambda x: x["_x"]).alias("_m"), F.transform("_o", lambda x: x["_df"]).alias("_d"), F.size("_o").alias("_n"))
 
 
 def _least(percent: int, n: Column, strict: bool, share: int = 100) -> Column:
@@ -24,39 +24,63 @@ def _least(percent: int, n: Column, strict: bool, share: int = 100) -> Column:
     return (F.floor(product / share) + 1 if strict else F.ceil(product / share)).cast("int")
 
 
-def candidates(ordered: DataFrame, by: list[str], key: str, percent: int, strict: bool, contained: bool = False) -> DataFrame:
-    """(by, a, b, _na, _nb) of the pairs that ``similar_sets`` has to compare.
+def _met(ordered: DataFrame, by: list[str], key: str, percent: int, strict: bool, contained: bool, block: int, carry: int) -> DataFrame:
+    """(by, _x, a, b, _na, _nb, _ia, _ib, _ma, _mb): a row for each of their first members that two sets share, at its places in both.
 
     Sets that share enough share one of the first n - least + 1 members of each (of the smaller one
-    if ``contained``). A pair is left out where its sizes, or its shared first members with all that can
-    follow the last of them, don't reach what is needed.
+    if ``contained``). A row is left out where the sizes, or this member with all that can follow it,
+    don't reach what is needed. Sets of at most ``carry`` members bring them along, longer ones null. The sets
+    of a member that more than ``block`` of them have are dealt to blocks, and each pair of blocks meets on its own.
     """
-    start = lambda whole: ordered.select(*by, key, "_n", F.posexplode(F.col("_m") if whole else F.slice("_m", F.lit(1), F.col("_n") - _least(percent, F.col("_n"), strict) + 1)).alias("_i", "_x"))
-    x = start(False).select(*by, "_x", F.col(key).alias("a"), F.col("_n").alias("_na"), F.col("_i").alias("_ia"))
-    y = start(contained).select(*by, "_x", F.col(key).alias("b"), F.col("_n").alias("_nb"), F.col("_i").alias("_ib"))
-    met = x.join(y, [*by, "_x"])
+    carried = F.when(F.col("_n") <= carry, F.col("_m")).alias("_c")
+
+    def side(whole: bool, name: str, own: str, other: str) -> DataFrame:
+        first = F.col("_n") if whole else F.col("_n") - _least(percent, F.col("_n"), strict) + 1
+        rows = ordered.select(*by, key, "_n", carried, F.posexplode(F.slice(F.arrays_zip("_m", "_d"), F.lit(1), first)).alias("_i", "_z"))
+        blocks = F.ceil(F.col("_z._d") / block).cast("int")
+        rows = rows.select(*by, F.col("_z._m").alias("_x"), F.col(key).alias(name), F.col("_n").alias(f"_n{name}"), F.col("_i").alias(f"_i{name}"), F.col("_c").alias(f"_m{name}"), blocks.alias("_b"))
+        return rows.withColumn(own, F.pmod(F.xxhash64(name), F.col("_b")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_b") - 1))).drop("_b")
+
+    met = side(False, "a", "_p", "_q").join(side(contained, "b", "_q", "_p"), [*by, "_x", "_p", "_q"])
     if contained:
         met, needed = met.where(F.struct("_na", "a") < F.struct("_nb", "b")), _least(percent, F.col("_na"), strict)
     else:
         met, needed = met.where("a < b").where(F.lit(percent) * F.greatest("_na", "_nb") <= 100 * F.least("_na", "_nb")), _least(percent, F.col("_na") + F.col("_nb"), strict, 100 + percent)
-    pairs = met.groupBy(*by, "a", "b", "_na", "_nb").agg(F.count(F.lit(1)).alias("_c"), F.max("_ia").alias("_ia"), F.max("_ib").alias("_ib"))
+    return met.withColumn("_needed", needed)
+
+
+def candidates(ordered: DataFrame, by: list[str], key: str, percent: int, strict: bool, contained: bool = False, block: int = 2000) -> DataFrame:
+    """(by, a, b, _na, _nb) of the pairs that may be similar, by their shared first members alone."""
+    return _counted(_met(ordered, by, key, percent, strict, contained, block, 0), by)
+
+
+def _counted(met: DataFrame, by: list[str]) -> DataFrame:
+    pairs = met.groupBy(*by, "a", "b", "_na", "_nb", "_needed").agg(F.count(F.lit(1)).alias("_c"), F.max("_ia").alias("_ia"), F.max("_ib").alias("_ib"))
     after = F.least(F.col("_na") - F.col("_ia"), F.col("_nb") - F.col("_ib")) - 1
-    return pairs.where(F.col("_c") + after >= needed).select(*by, "a", "b", "_na", "_nb")
+    return pairs.where(F.col("_c") + after >= F.col("_needed")).select(*by, "a", "b", "_na", "_nb")
 
 
-def similar_sets(sets: DataFrame, by: list[str], key: str, members: str, percent: int, strict: bool = False, contained: bool = False) -> DataFrame:
+def similar_sets(sets: DataFrame, by: list[str], key: str, members: str, percent: int, strict: bool = False, contained: bool = False, block: int = 2000, carry: int = 64) -> DataFrame:
     """(by, a, b, both, n_a, n_b): pairs of sets of one ``by`` with 100 x both >= ``percent`` x union.
 
     ``strict``: more than that. ``contained``: by the size of the smaller set in place of the union, a the
     smaller (ties: of the smaller key); else a < b. ``sets``: a row for each set, its key unique within
     ``by``, no nulls in either; members is an array, of which nulls and repeats count for nothing. Sets
     without members are in no pair.
+
+    Two sets of at most ``carry`` members are judged where they first meet, at their first shared member, so
+    no pair is exchanged. Pairs with a longer set are brought together by key and then joined with both.
     """
     ordered = stable(rare_first(sets, by, key, members))
-    pairs = candidates(ordered, by, key, percent, strict, contained)
-    side = lambda name: ordered.select(*by, F.col(key).alias(name), F.col("_m").alias(f"_m{name}"))
-    both = F.size(F.array_intersect("_ma", "_mb")).alias("both")
-    full = pairs.join(side("a"), [*by, "a"]).join(side("b"), [*by, "b"]).select(*by, "a", "b", both, F.col("_na").alias("n_a"), F.col("_nb").alias("n_b"))
+    shared = F.array_intersect("_ma", "_mb")
+    met = _met(ordered.where(F.col("_n") <= carry), by, key, percent, strict, contained, block, carry)
+    met = met.where(F.least(F.col("_na") - F.col("_ia"), F.col("_nb") - F.col("_ib")) >= F.col("_needed"))  # at the first shared member no other came before
+    short = met.withColumn("_s", shared).where(F.get("_s", F.lit(0)) == F.col("_x")).select(*by, "a", "b", F.size("_s").alias("both"), F.col("_na").alias("n_a"), F.col("_nb").alias("n_b"))
+    full = short
+    if not ordered.where(F.col("_n") > carry).isEmpty():
+        pairs = _counted(_met(ordered, by, key, percent, strict, contained, block, 0).where(F.greatest("_na", "_nb") > carry), by)
+        side = lambda name: ordered.select(*by, F.col(key).alias(name), F.col("_m").alias(f"_m{name}"))
+        full = short.union(pairs.join(side("a"), [*by, "a"]).join(side("b"), [*by, "b"]).select(*by, "a", "b", F.size(shared).alias("both"), F.col("_na").alias("n_a"), F.col("_nb").alias("n_b")))
     whole = F.col("n_a") if contained else F.col("n_a") + F.col("n_b") - F.col("both")
     return full.where((100 * F.col("both") > percent * whole) if strict else (100 * F.col("both") >= percent * whole))
 

@@ -1,6 +1,7 @@
 """Similar sets and greedy choices against loops over all pairs."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +90,18 @@ def test_coupling_against_all_pairs(spark):
         near = sorted((-len(x & y) / len(x | y), v) for v, y in cites.items() if v != w and 100 * len(x & y) >= 20 * len(x | y))
         want += [(w, v, round(-c, 9), i + 1) for i, (c, v) in enumerate(near[:4])]
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize(("percent", "strict", "contained"), [(40, False, False), (20, False, False), (50, True, True)])
+@pytest.mark.parametrize(("carry", "block"), [(3, 4), (64, 4), (0, 2000)])
+def test_sets_judged_where_they_meet_and_longer_ones_by_key(spark, percent, strict, contained, carry, block):
+    rows = some_sets(percent + carry)
+    got = similar.similar_sets(spark.createDataFrame(rows, SETS), ["g"], "k", "words", percent, strict, contained, block=block, carry=carry).collect()
+    want = {(g, min(i, j), max(i, j)) for g, i, x in rows for h, j, y in rows if g == h and i != j and alike(x, y, percent, strict, contained)}
+    assert {(r["g"], min(r["a"], r["b"]), max(r["a"], r["b"])) for r in got} == want and len(got) == len(want)
+
+
+def test_pairs_of_short_sets_are_not_exchanged(spark):
+    found = similar.similar_sets(spark.createDataFrame(some_sets(1), SETS), ["g"], "k", "words", 40)
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", found._jdf.queryExecution().executedPlan().toString())
+    assert dealt and not any("a#" in keys for keys in dealt)

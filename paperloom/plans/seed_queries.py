@@ -53,7 +53,9 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place)::INT A
 def multi_seeds(spark, d):  # noqa: ANN001
     """Up to three seeds a query among its best works by BM25, relevant to the role's scope."""
     asked = _structured(spark, d)
-    rows = papers.seed_variants(asked).join(asked.select("query_id", "topic", "domain"), "query_id").join(_rankers(spark, d).drop("relevance", "topic"), "query_id").join(works(spark, d).select("work_id", "abstract"), "work_id")
+    pool = _rankers(spark, d).drop("relevance", "topic")
+    abstracts = works(spark, d).select("work_id", "abstract").join(pool.select("work_id").distinct(), "work_id", "left_semi")
+    rows = papers.seed_variants(asked).join(asked.select("query_id", "topic", "domain"), "query_id").join(pool, "query_id").join(abstracts, "work_id")
     terms = (F.array("topic"), F.array("domain"), F.array().cast("array<string>"))
     by_scope = lambda scope: scores.relevance_by_scope(F.lit(""), F.concat_ws(" ", "title", "abstract"), *terms, scope)
     relevance = F.when(F.col("role") == "intersection", by_scope("intersection")).when(F.col("role") == "topic", by_scope("topic_focused")).when(F.col("role") == "domain", by_scope("domain_focused")).otherwise(by_scope("broad"))

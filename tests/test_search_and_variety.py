@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -136,3 +137,26 @@ def test_sums_in_another_order_tie(spark):
     postings = spark.createDataFrame([(9, t, "B", 1) for t in "xyz"] + [(2, "x", "A", 1), (2, "w", "B", 1)], "work_id long, term string, field string, tf long")
     terms = spark.createDataFrame([(1, t, t != "w") for t in "wxyz"], "query_id long, term string, original boolean")  # 0.8 + 0.8 + 0.8 and 2.0 + 0.4
     assert [r["work_id"] for r in retrieval.fts_search(postings, terms, most=1).collect()] == [2]
+
+
+def exchanges(df):
+    return re.findall(r"hashpartitioning\(([^)]*)\), (\w+)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_bm25_deals_works_once(spark, tables):
+    from paperloom.plans import views
+
+    scored = retrieval.bm25(views.works(spark, tables), views.queries(spark, tables))
+    assert [keys.split("#")[0] for keys, why in exchanges(scored) if "work_id" in keys] == ["work_id"] and not any("query_id" in keys for keys, _ in exchanges(scored))
+
+
+def test_bm25_by_hand(spark):
+    texts = {1: "a b b", 2: "A c", 3: "a", 4: None, 5: "d d e c"}
+    works = spark.createDataFrame([(i, None, t) for i, t in texts.items()], "work_id long, title string, abstract string")
+    got = {(r["query_id"], r["work_id"]): r["score"] for r in retrieval.bm25(works, spark.createDataFrame([(1, "a c C"), (2, "zz"), (3, None)], "query_id long, query string")).collect()}
+    docs = {i: (t or "").lower().split() for i, t in texts.items()}
+    df = {t: sum(t in d for d in docs.values()) for t in set().union(*docs.values())}
+    idf = {t: math.log(5 - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
+    mean, avg = sum(idf.values()) / len(idf), sum(map(len, docs.values())) / 5
+    part = lambda t, d: (idf[t] if idf[t] >= 0 else 0.25 * mean) * d.count(t) * 2.5 / (d.count(t) + 1.5 * (0.25 + 0.75 * len(d) / avg))
+    assert got == pytest.approx({(1, i): sum(part(t, d) for t in ("a", "c", "c")) for i, d in docs.items() if "a" in d or "c" in d})

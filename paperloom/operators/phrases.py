@@ -19,8 +19,9 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, key: str, text: str = "tex
     """(key, phrase, label, n_words, place): the phrases that stand in a text as whole words, with the first place of each.
 
     ``phrases``: phrase and label; phrases are tokenised as texts are, those without a word go. Only
-    n-grams as long as some phrase are made, each once a text, and met with the dictionary by a join
-    that suits its size, so it may have millions of entries. Null texts have no hits; a phrase with
+    n-grams as long as some phrase are made, and met with the dictionary by a join that suits its size
+    before anything is grouped, so that only hits are exchanged where the dictionary is small; it may have
+    millions of entries. Null texts have no hits; a phrase with
     several labels gives a row for each, a key that occurs more than once the hits of all its texts.
     """
     known = phrases.withColumn("_w", tokens(F.col("phrase"))).where(F.size("_w") > 0)
@@ -33,8 +34,8 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, key: str, text: str = "tex
         rows = part if rows is None else rows.union(part)
     if rows is None:
         rows = words.select(key, F.lit(0).alias("place"), F.lit("").alias("phrase")).limit(0)
-    first = rows.groupBy(key, "phrase").agg(F.min("place").alias("place"))
-    return first.join(known, "phrase").select(key, "phrase", "label", "n_words", "place")
+    first = rows.join(known, "phrase").groupBy(key, "phrase", "label", "n_words").agg(F.min("place").alias("place"))
+    return first.select(key, "phrase", "label", "n_words", "place")
 
 
 def choose_label(hits: DataFrame, key: str, rule: str) -> DataFrame:

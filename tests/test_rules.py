@@ -168,3 +168,11 @@ def test_patterns_mean_what_they_mean_in_sql(spark, said):
     families = (rules.SOFTWARE_TITLE, rules.REVIEW_TITLE, rules.METHOD_PAPER, rules.TEXTBOOK, tuple(p for p, _, _ in rules.METRICS))
     got = spark.createDataFrame([(said,)], "t string").select(*(F.col("t").rlike(rules.in_java(rules.any_of(f))) for f in families)).first()
     assert list(got) == [duckdb.execute("SELECT regexp_matches(?, ?)", [said, rules.any_of(f)]).fetchall()[0][0] for f in families]
+
+
+def test_only_hits_are_grouped(spark):
+    texts, known = spark.createDataFrame([(1, "a b a b")], "k long, text string"), spark.createDataFrame([("a b", "x"), ("b", "y")], "phrase string, label string")
+    found = phrases.phrase_hits(texts, known, "k")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [k#") < plan.index("Join Inner") and "Aggregate [k#" not in plan[plan.index("Join Inner") :]
+    assert sorted(map(tuple, found.collect())) == [(1, "a b", "x", 2, 0), (1, "b", "y", 1, 1)]

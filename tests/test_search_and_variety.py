@@ -160,3 +160,15 @@ def test_bm25_by_hand(spark):
     mean, avg = sum(idf.values()) / len(idf), sum(map(len, docs.values())) / 5
     part = lambda t, d: (idf[t] if idf[t] >= 0 else 0.25 * mean) * d.count(t) * 2.5 / (d.count(t) + 1.5 * (0.25 + 0.75 * len(d) / avg))
     assert got == pytest.approx({(1, i): sum(part(t, d) for t in ("a", "c", "c")) for i, d in docs.items() if "a" in d or "c" in d})
+
+
+def test_vectors_of_some_documents_weigh_terms_by_all(spark):
+    docs = spark.createDataFrame([(1, "deep nets deep"), (2, "deep soil"), (3, "")], "doc long, text string")
+    rows = lambda df: sorted((r["doc"], r["term"], round(r["weight"], 9)) for r in df.collect())
+    assert rows(retrieval.tfidf_vectors(docs, only=docs.where("doc = 2").select("doc"))) == [r for r in rows(retrieval.tfidf_vectors(docs)) if r[0] == 2]
+
+
+def test_positions_of_asked_terms_only(spark):
+    works = spark.createDataFrame([(1, "Deep nets", "nets of deep nets")], "work_id long, title string, abstract string")
+    got = retrieval.build_positions(works, spark.createDataFrame([("nets",), ("nets",), ("soil",)], "term string")).collect()
+    assert sorted((r["field"], r["term"], r["positions"]) for r in got) == [("A", "nets", [1]), ("B", "nets", [0, 3])]

@@ -176,3 +176,8 @@ def test_only_hits_are_grouped(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate [k#") < plan.index("Join Inner") and "Aggregate [k#" not in plan[plan.index("Join Inner") :]
     assert sorted(map(tuple, found.collect())) == [(1, "a b", "x", 2, 0), (1, "b", "y", 1, 1)]
+
+
+def test_titles_are_parted_once_not_once_a_pair(spark, tables):
+    plan = catalog.QUERIES["title_similarity_of_peers"](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan[: plan.index("Join Inner")] and "split(" in plan[plan.index("Join Inner") :]

@@ -137,6 +137,10 @@ class Tokenizer:
                 left, right = self.ranks.get(word[:cut]), self.ranks.get(word[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << 32 | right] = rank
+        keys = np.fromiter(self.pairs, dtype=np.int64, count=len(self.pairs))
+        order = np.argsort(keys)
+        self.pair_keys = np.append(keys[order], np.iinfo(np.int64).max)  # the same pairs for many lookups at once
+        self.pair_ranks = np.append(np.fromiter(self.pairs.values(), dtype=np.int64, count=len(keys))[order], len(self.words))
         self.remembered, self.held, self.seen = remembered, 0, {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
@@ -178,13 +182,65 @@ class Tokenizer:
                 heapq.heappush(heap, (r, h, ids[h], rank))
         return tuple(i for i in ids if i is not None)
 
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of tokens; the number of words where a pair has none."""
+        keys = left << 32 | right
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], len(self.words))
+
+    def merge_all(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """What ``merge`` gives for each piece; those of up to 64 bytes take their merges side by side, one a round."""
+        out = [(rank,) if (rank := self.ranks.get(p)) is not None else None if len(p) <= 64 else self.merge(p) for p in pieces]
+        todo = [i for i, got in enumerate(out) if got is None]
+        if not todo:
+            return out
+        never, number = len(self.words), np.array(todo)
+        size = np.array([len(pieces[i]) for i in todo])
+        ids = np.array(self.byte_ids)[np.frombuffer(b"".join(pieces[i] for i in todo), dtype=np.uint8)]
+        ranks = np.full(len(ids), never)  # of each token with the next one of its piece
+        ranks[:-1] = self.rank_of(ids[:-1], ids[1:])
+        ranks[np.cumsum(size) - 1] = never
+        while len(number):
+            begin = np.cumsum(size) - size
+            place = ranks * len(ids) + np.arange(len(ids))  # by rank, the leftmost first
+            least = np.minimum.reduceat(place, begin)
+            done = least >= never * len(ids)
+            if done.any():
+                flat, stays = ids[np.repeat(done, size)].tolist(), ~done
+                end = np.cumsum(size[done]).tolist()
+                for i, a, b in zip(number[done].tolist(), [0, *end], end):
+                    out[i] = tuple(flat[a:b])
+                kept = np.repeat(stays, size)
+                least, shift = least[stays] % len(ids), np.cumsum(~kept)
+                least -= shift[least]
+                number, size, ids, ranks = number[stays], size[stays], ids[kept], ranks[kept]
+                if not len(number):
+                    break
+                begin = np.cumsum(size) - size
+            else:
+                least %= len(ids)
+            ids[least] = ranks[least]
+            stays = np.ones(len(ids), dtype=bool)
+            stays[least + 1] = False
+            last = least + 2 == begin + size  # the pair ended its piece
+            after = np.minimum(least + 2, len(ids) - 1)
+            ranks[least] = np.where(last, never, self.rank_of(ids[least], ids[after]))
+            inner = least[least > begin]
+            ranks[inner - 1] = self.rank_of(ids[inner - 1], ids[inner])
+            ids, ranks, size = ids[stays], ranks[stays], size - 1
+        return out
+
     def learn(self, pieces: list[bytes]) -> None:
         """Put the slices of a batch into the cache; it starts anew once it holds too much."""
         if len(self.seen) > self.remembered or self.held > 32_000_000:
-            self.seen, self.held = {}, 0
-        for piece in set(pieces).difference(self.seen):
-            self.seen[piece] = self.merge(piece)
-            self.held += len(piece)
+            self.forget()
+        new = list(set(pieces).difference(self.seen))
+        self.seen.update(zip(new, self.merge_all(new)))
+        self.held += sum(map(len, new))
+
+    def forget(self) -> None:
+        """Empty the cache, so that a worker that waits for other work holds the vocabulary alone."""
+        self.seen, self.held = {}, 0
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Token ids of each text. The texts are laid end to end and sliced together."""
@@ -223,13 +279,13 @@ class Tokenizer:
             size += len(text) + 1
         yield from self.encode_batch(group)
 
-    def offsets(self, ids: list[int]) -> np.ndarray:
+    def offsets(self, ids: list[int] | np.ndarray) -> np.ndarray:
         """Byte offset at which each token begins, with the length of the text at the end."""
-        return np.concatenate([[0], np.cumsum(self.sizes[np.array(ids, dtype=np.int64)], dtype=np.int64)])
+        return np.concatenate([[0], np.cumsum(self.sizes[np.asarray(ids, dtype=np.int64)], dtype=np.int64)])
 
-    def decode(self, ids: list[int], offsets: np.ndarray, most: int = 1 << 16) -> bytes:
+    def decode(self, ids: list[int] | np.ndarray, offsets: np.ndarray, most: int = 1 << 16) -> bytes:
         """The text's bytes: those of every token are put at its offset, ``most`` tokens at a time."""
-        ids, out = np.array(ids, dtype=np.int64), np.empty(int(offsets[-1]), dtype=np.uint8)
+        ids, out = np.asarray(ids, dtype=np.int64), np.empty(int(offsets[-1]), dtype=np.uint8)
         for k in range(0, len(ids), most):
             part, to = ids[k : k + most], offsets[k : k + most + 1]
             from_token = np.repeat(self.begins[part] - to[:-1], np.diff(to))
@@ -284,6 +340,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
             ids = list(t.encode_all(texts))
             columns = [rows.column(c) for c in rest] + [pa.array(ids, pa.list_(pa.int32())), pa.array([t.offsets(i) for i in ids], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*rest, "ids", "offsets"])
+        t.forget()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest), "ids array<int>, offsets array<bigint>"])
     return docs.select(*rest, "text").mapInArrow(run, schema)
@@ -326,15 +383,17 @@ def round_trip(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> Data
         for rows, texts in text_groups(batches):
             count, ids_hex, text_hex, every, places = [], [], [], [], []
             for ids in t.encode_all(texts):
-                offsets = t.offsets(ids)
+                numbers = np.array(ids, dtype=np.int64)
+                offsets = t.offsets(numbers)
                 count.append(len(ids))
                 ids_hex.append(hashlib.sha256(",".join(map(t.decimal.__getitem__, ids)).encode()).hexdigest())
-                text_hex.append(hashlib.sha256(t.decode(ids, offsets)).hexdigest())
+                text_hex.append(hashlib.sha256(t.decode(numbers, offsets)).hexdigest())
                 if with_ids:
                     every.append(ids), places.append(offsets)
             columns = [rows.column("doc_id"), pa.array(count, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
             columns += [pa.array(every, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int64()))] if with_ids else []
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "offsets"] * with_ids)
+        t.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, offsets array<bigint>" * with_ids)
 

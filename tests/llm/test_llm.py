@@ -59,6 +59,15 @@ def test_slices_follow_the_pattern():
         assert t.stretch(ids, at, a, b) == raw[a:b]
 
 
+def test_merges_side_by_side():
+    t, rng = bpe.Tokenizer(open(VOCABULARY, "rb").read()), random.Random(3)
+    pieces = [bytes(rng.choice(rng.choice([b"ab", b"the ing", bytes(range(256))])) for _ in range(rng.randint(1, 90))) for _ in range(3000)] + [b"a" * n for n in range(1, 70)]
+    assert t.merge_all(pieces) == [t.merge(p) for p in pieces] and t.merge_all([]) == []
+    t.encode_batch(["some words of a text"])
+    t.forget()
+    assert not t.seen and t.held == 0
+
+
 def test_round_trip_encode_decode(spark, corpus):
     df = docs_of(spark, corpus, extra=True)
     got = {r["doc_id"]: r for r in bpe.round_trip(df, VOCABULARY, with_ids=True).collect()}

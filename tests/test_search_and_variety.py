@@ -150,6 +150,17 @@ def test_bm25_deals_works_once(spark, tables):
     assert [keys.split("#")[0] for keys, why in exchanges(scored) if "work_id" in keys] == ["work_id"] and not any("query_id" in keys for keys, _ in exchanges(scored))
 
 
+def test_bm25_pairs_of_a_task_are_bounded(spark, tables):
+    from paperloom.plans import views
+
+    w, q = views.works(spark, tables), views.queries(spark, tables)
+    scored = retrieval.bm25(w, q, pairs=500)  # whatever the session's number of partitions is
+    dealt = re.findall(r"hashpartitioning\(work_id#\d+L, (\d+)\), REPARTITION_BY_NUM", scored._jdf.queryExecution().executedPlan().toString())
+    assert dealt == [str(-(-w.count() * q.count() // 500))]
+    rows = lambda df: {(r["query_id"], r["work_id"]): round(r["score"], 9) for r in df.collect()}
+    assert rows(scored) == rows(retrieval.bm25(w, q))
+
+
 def test_bm25_by_hand(spark):
     texts = {1: "a b b", 2: "A c", 3: "a", 4: None, 5: "d d e c"}
     works = spark.createDataFrame([(i, None, t) for i, t in texts.items()], "work_id long, title string, abstract string")

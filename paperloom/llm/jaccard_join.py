@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.components import component_members
 from paperloom.llm.repeats import keyed
 from paperloom.llm.words import in_groups, mix, shingle_sets, text_groups
-from paperloom.tables import landed, stable
+from paperloom.tables import landed, settings, stable
 
 
 def needed(a: int, b: int, percent: int) -> int:
@@ -271,7 +271,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: in
     other, but names no component: one of null doc_ids only has a null component_id. Of texts under
     one doc_id each has its own set and its own links. Repeated rows each give a row; an empty table gives
     none. Other columns are not read.
+
+    Texts go to Python a thousand at a time, as ten thousand long ones (Spark's measure) are held whole by the
+    executor and by the worker. All Python runs within the call; the session keeps its own setting.
     """
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
+        return _components(docs, k, percent, block)
+
+
+def _components(docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
     spark = docs.sparkSession
     texts = keyed(docs)
     narrow = stable(shingle_table(texts, k))

@@ -59,6 +59,16 @@ def test_slices_follow_the_pattern():
         assert t.stretch(ids, at, a, b) == raw[a:b]
 
 
+def test_near_duplicates_take_short_batches(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, components_of, seen = spark.conf.get(name), jaccard_join._components, []
+    monkeypatch.setattr(jaccard_join, "_components", lambda *a: (seen.append(spark.conf.get(name)), components_of(*a))[1])
+    df = spark.createDataFrame([(i, "one two three four five") for i in range(3)], "doc_id long, text string")
+    found = jaccard_join.jaccard_components(df)
+    assert seen == ["1000"] and spark.conf.get(name) == before
+    assert "Arrow" not in found._jdf.queryExecution().optimizedPlan().toString() and [r["component_id"] for r in found.collect()] == [0, 0, 0]
+
+
 def test_merges_side_by_side():
     t, rng = bpe.Tokenizer(open(VOCABULARY, "rb").read()), random.Random(3)
     pieces = [bytes(rng.choice(rng.choice([b"ab", b"the ing", bytes(range(256))])) for _ in range(rng.randint(1, 90))) for _ in range(3000)] + [b"a" * n for n in range(1, 70)]

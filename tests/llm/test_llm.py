@@ -117,6 +117,23 @@ def test_suffix_dedup(spark, corpus, keep, crowd):
         assert bytes(got[i]["kept"]) == np.frombuffer(texts[i], dtype=np.uint8)[~gone].tobytes()
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+@pytest.mark.parametrize("heavy", [2000, 1])
+def test_crowds_are_parted_before_their_windows(spark, monkeypatch, keep, heavy):
+    counts, compare = [], suffix_dedup.equal_windows
+    monkeypatch.setattr(suffix_dedup, "equal_windows", lambda rows, how: (counts.append(rows.count()), compare(rows, how))[1])
+    rng = random.Random(7)
+    passage, other = ("".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(2))
+    around = lambda: "".join(rng.choice("stuvwxyz ") for _ in range(90))
+    texts = [around() + p + around() for _ in range(60) for p in (passage, other)] + [around() + passage[40:] + other[:150]]
+    docs = docs_of(spark, texts)
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(docs.union(docs.where("doc_id % 7 = 0")), length=160, core=40, keep=keep, crowd=20, heavy=heavy).collect()}
+    raw = [t.encode() for i, t in enumerate(texts) for _ in range(1 + (i % 7 == 0 and keep == "none"))]
+    ids = [i for i in range(len(texts)) for _ in range(1 + (i % 7 == 0 and keep == "none"))]
+    assert got == {i: int(g.sum()) for i, g in zip(ids, repeated_bytes(raw, 160, keep))}
+    assert len(counts) == 1 and (heavy == 1 or counts[0] < 10_000)  # all windows of the crowds are 31,555 and 25,141
+
+
 def test_longest_previous_factors():
     rng = random.Random(2)
     data = np.frombuffer("".join(rng.choice("ab") for _ in range(400)).encode(), dtype=np.uint8)

@@ -86,3 +86,13 @@ def test_products_beyond_64_bits_and_no_rows(spark):
 def test_query(spark):
     tables = "/root/testdata/sf0.01"
     same(llm.QUERIES["op13_phrase_tiles"](spark, tables), llm.ORACLE_SQL["op13_phrase_tiles"], tables)
+
+
+def test_chunks_are_read_a_few_at_a_time(spark, monkeypatch):
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before, made, seen = spark.conf.get(name), collocations.pair_chunks, []
+    monkeypatch.setattr(collocations, "pair_chunks", lambda *a: (seen.append(int(spark.conf.get(name))), made(*a))[1])
+    docs = spark.createDataFrame([(i, "one two three. one two", None) for i in range(40)], "doc_id long, text string, lang string")
+    tables = collocations.phrase_tables(docs, least=30, longest=3, chunk=64)  # a row for each text or two
+    assert seen and max(seen) * collocations.CHUNK <= 1 << 22 and spark.conf.get(name) == before
+    assert [sorted((r["words"], r["f"]) for r in t.collect()) for t in tables[1:]] == [[(["one", "two"], 80), (["two", "three"], 40)], [(["one", "two", "three"], 40)]]

@@ -134,6 +134,30 @@ def test_crowds_are_parted_before_their_windows(spark, monkeypatch, keep, heavy)
     assert len(counts) == 1 and (heavy == 1 or counts[0] < 10_000)  # all windows of the crowds are 31,555 and 25,141
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_windows_of_small_crowds_are_no_rows(spark, monkeypatch, keep):
+    """Parts that few others share a name with are judged in blocks, lone ones not at all, though their stretches were dealt to many tasks."""
+    counts, compare = [], suffix_dedup.equal_windows
+    monkeypatch.setattr(suffix_dedup, "equal_windows", lambda rows, how: (counts.append(rows.count()), compare(rows, how))[1])
+    rng = random.Random(11)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    around = lambda: "".join(rng.choice("stuvwxyz ") for _ in range(90))
+    texts = [around() + passage + around() for _ in range(60)]
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(docs_of(spark, texts), length=160, core=40, keep=keep, crowd=20, heavy=59).collect()}
+    assert got == {i: int(g.sum()) for i, g in enumerate(repeated_bytes([t.encode() for t in texts], 160, keep))}
+    assert len(counts) == 1 and counts[0] < 1500
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_equal_in_gives_runs(keep):
+    h, doc, begin = np.array([5, 6, 7, 5, 6, 8, 5]), np.array([1, 1, 1, 2, 2, 2, 3]), np.array([10, 11, 12, 40, 41, 42, 0])
+    doc, key, at = repeats.equal_in([h, h, doc, doc * 0, repeats.pack(begin, np.ones(7, dtype=np.int64))], keep)
+    assert list(zip(doc.tolist(), *(x.tolist() for x in repeats.unpack(at)))) == [(1, 10, 2)][: keep == "none"] + [(2, 40, 2), (3, 0, 1)]
+    h, begin = np.zeros(1200, dtype=np.int64), np.arange(1200)
+    _, _, at = repeats.equal_in([h, h, h, h, repeats.pack(begin, np.ones(1200, dtype=np.int64))], keep)
+    assert repeats.unpack(at)[1].tolist() == ([511, 511, 178] if keep == "none" else [511, 511, 177])
+
+
 def test_longest_previous_factors():
     rng = random.Random(2)
     data = np.frombuffer("".join(rng.choice("ab") for _ in range(400)).encode(), dtype=np.uint8)

@@ -7,6 +7,11 @@ shared. So a set that has enough shingles of its own there is linked with nothin
 has in common with others. Sets that share such a shingle and whose sizes allow it are chained, and
 the chains' components are the blocks: families of copies.
 
+Crowds. A family of more sets than a block holds (one common phrase can chain thousands that are not
+similar) is not searched as it is. Its sets are laid side by side as sketches of some bytes each: bits by
+the parity of how many shingles fall on them, of which no more differ between two sets than shingles
+do. Only sets that the bits and the sizes allow to be similar stay together, as families of their own.
+
 Search. Within a block, each set asks the others' inverted lists which documents reach the overlap
 that the threshold needs: short lists are merged through a heap, the long ones are only probed by
 binary search for the candidates that the merge leaves (DivideSkip).
@@ -185,6 +190,96 @@ def _edges(a: np.ndarray, b: np.ndarray, key: np.ndarray | None, size: np.ndarra
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *ends], names=["a", "b", "edge_key", "edge_size"])
 
 
+def size_classes(percent: int, most: int = 1 << 31) -> np.ndarray:
+    """Least sizes of classes such that two similar sets are of one class or of two that follow each other."""
+    least = [1]
+    while least[-1] < most:
+        least.append(max(least[-1] + 1, -(-100 * least[-1] // percent)))
+    return np.array(least)
+
+
+def sketch(shingles: np.ndarray, most: int = 1 << 16) -> np.ndarray:
+    """A bit for each of at least twice as many places as there are shingles: whether an odd number of them falls there."""
+    bits = min(most, max(64, 1 << (2 * len(shingles) - 1).bit_length()))
+    at = (mix(shingles, 4) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, n: int) -> np.ndarray:
+    """The sketch of ``n`` words that the same shingles have."""
+    while len(bits) > n:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def reach_sketches(sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> list[int]:
+    """For each set, the first set that links of possibly similar sets lead to: no more of their bits differ than shingles may."""
+    n = min(map(len, sketches), default=1)
+    order = np.argsort(sizes, kind="stable")
+    sizes, bits = sizes[order], np.array([folded(sketches[i], n) for i in order]).reshape(-1, n).T.copy()
+    root, open_ = np.full(len(order), -1), np.ones(len(order), dtype=bool)
+    low, high = np.searchsorted(sizes, -(-percent * sizes // 100)), np.searchsorted(sizes, 100 * sizes // percent, "right")
+    for seed in range(len(order)):
+        if root[seed] >= 0:
+            continue
+        root[seed], open_[seed], waiting = seed, False, [seed]
+        while waiting:
+            x = waiting.pop()
+            at = slice(low[x], high[x])
+            if not open_[at].any():
+                continue
+            apart = np.bitwise_count(bits[:, at] ^ bits[:, x : x + 1]).sum(axis=0, dtype=np.int64)
+            both = sizes[at] + sizes[x]
+            found = low[x] + np.flatnonzero(open_[at] & (apart <= both + 2 * (-percent * both // (100 + percent))))
+            root[found], open_[found] = seed, False
+            waiting.extend(found.tolist())
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = order[root]
+    return out.tolist()
+
+
+def parted_crowds(texts: DataFrame, crowds: DataFrame, k: int, percent: int, piece: int) -> DataFrame:
+    """(node, root) of the sets of ``crowds`` (node, rep_key, k1, k2, root) that may be similar to another, by families that are still linked.
+
+    What is exchanged are sketches. Sets of one family and size class are cut by hash into pieces of about ``piece``, and
+    every two pieces of one class or of two that follow each other are laid side by side.
+    """
+    bounds = size_classes(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, raw in text_groups(batches):
+            keys = zip(rows.column("k1").to_pylist(), rows.column("k2").to_pylist())
+            made = [(i, s) for i, (s, key) in enumerate(zip(shingle_sets(raw, k), keys)) if set_keys(s) == key]
+            at, sizes = pa.array([i for i, _ in made], pa.int64()), np.array([len(s) for _, s in made], dtype=np.int64)
+            columns = [rows.column("node").take(at), rows.column("root").take(at), pa.array(sizes), pa.array(np.searchsorted(bounds, sizes, "right")), pa.array([sketch(s).tobytes() for _, s in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "root", "size", "class", "bits"])
+
+    found = texts.join(crowds, texts["key"] == crowds["rep_key"]).select("node", "root", "k1", "k2", "text")
+    found = landed(found.mapInArrow(run, "node bigint, root bigint, size bigint, class bigint, bits binary").dropDuplicates(["node"]))
+    cuts = found.groupBy("root", "class").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("_cuts"))
+    near = lambda step, name: cuts.select("root", (F.col("class") - step).alias("class"), F.col("_cuts").alias(name))
+    cuts = cuts.join(near(1, "_above"), ["root", "class"], "left").join(near(-1, "_below"), ["root", "class"], "left")
+    cut = F.pmod(F.xxhash64("node"), F.col("_cuts")).cast("int")
+    with_ = lambda many, low, high, of: F.when(F.col(many).isNotNull(), F.transform(F.sequence(F.lit(0), F.col(many) - 1), lambda j: F.struct(low.alias("low"), high.alias("high"), *of(j)))).otherwise(F.array())
+    own, pair = F.col("class"), lambda i, j: (i.alias("i"), j.alias("j"))
+    sides = F.concat(
+        with_("_cuts", own, own, lambda j: pair(F.least(F.col("_cut"), j), F.greatest(F.col("_cut"), j))),
+        with_("_above", own, own + 1, lambda j: pair(F.col("_cut"), j)),
+        with_("_below", own - 1, own, lambda j: pair(j, F.col("_cut"))),
+    )
+    laid = found.join(cuts, ["root", "class"]).withColumn("_cut", cut).select("node", "root", "size", "bits", F.explode(sides).alias("_side"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        nodes = group["node"].to_numpy()
+        root = reach_sketches(group["size"].to_numpy(), [np.frombuffer(b, dtype=np.uint64) for b in group["bits"]], percent)
+        links = [(nodes[i], nodes[r]) for i, r in enumerate(root) if i != r]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # heavy for its bytes, by which tasks would be merged
+    laid = laid.select("node", "size", "bits", "root", "_side.*").repartition(tasks, "root", "low", "high", "i", "j")
+    return stable(component_members(laid.groupBy("root", "low", "high", "i", "j").applyInPandas(compare, "a bigint, b bigint")))
+
+
 class InvertedLists:
     """Inverted lists over some sets, from which documents that were reached drop out."""
 
@@ -257,7 +352,7 @@ def reach(sets: list[np.ndarray], percent: int) -> list[int]:
     return root
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: int = 600) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: int = 600, piece: int = 4000) -> DataFrame:
     """doc_id, n_shingles, component_id, key and kept for every row.
 
     Words are lower-cased (A-Z) runs of bytes other than 0x20 and 0x09 to 0x0D; a set is the
@@ -266,8 +361,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: in
     hash of doc_id and text; kept marks one document of each component (equal rows are marked alike).
 
     Null or empty texts, or texts without a word: n_shingles 0, linked with nothing, kept. Equal sets
-    are one node from the start. Blocks above ``block`` sets are cut by hash and every two pieces
-    searched together, so a task holds 2 x ``block`` sets at most. A null doc_id takes part like any
+    are one node from the start. Families above ``block`` sets are parted by sketches (``parted_crowds``); blocks that
+    are still larger are cut by hash and every two pieces searched together, so a task holds 2 x ``block`` sets
+    at most, or 2 x ``piece`` sketches. A null doc_id takes part like any
     other, but names no component: one of null doc_ids only has a null component_id. Of texts under
     one doc_id each has its own set and its own links. Repeated rows each give a row; an empty table gives
     none. Other columns are not read.
@@ -276,10 +372,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: in
     executor and by the worker. All Python runs within the call; the session keeps its own setting.
     """
     with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
-        return _components(docs, k, percent, block)
+        return _components(docs, k, percent, block, piece)
 
 
-def _components(docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
+def _components(docs: DataFrame, k: int, percent: int, block: int, piece: int) -> DataFrame:
     spark = docs.sparkSession
     texts = keyed(docs)
     narrow = stable(shingle_table(texts, k))
@@ -291,7 +387,16 @@ def _components(docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
     meeting = stable(first_shingles(texts, classes, narrow.count(), k, percent))
     family = component_members(chains(meeting, percent)).withColumnRenamed("node", "_k1")
     members = stable(classes.join(family, F.col("k1") == F.col("_k1")).select("node", "rep_key", "k1", "k2", "root"))
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
+    many_of = lambda rows: rows.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = stable(many_of(members))
+    if not sizes.where(F.col("_n") > block).isEmpty():
+        # read once more from here on: the texts that stand for a set of a family
+        texts = landed(texts.select("key", "text").join(members.select("rep_key").distinct(), F.col("key") == F.col("rep_key"), "left_semi"))
+        crowds = members.join(sizes.where(F.col("_n") > block).select("root"), "root", "left_semi")
+        parts = parted_crowds(texts, crowds, k, percent, piece)
+        others = members.join(sizes.where(F.col("_n") > block).select("root"), "root", "left_anti")
+        members = stable(others.unionByName(crowds.drop("root").join(parts, "node")))
+        sizes = many_of(members)
     total = members.count()
     many = max(1, total // (block // 2))
     cuts = F.ceil(F.col("_n") / block).cast("int")

@@ -342,6 +342,34 @@ def test_jaccard_components(spark, corpus, block):
     assert got == dict(enumerate(brute_components(texts)))
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sketches_leave_no_pair_out(percent):
+    rng = np.random.default_rng(8)
+    sets = []
+    for n in [1, 2, 3, 9, 10, 31, 32, 33, 60, 64, 70, 300, 5000] * 6:
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        sets += [a, np.unique(np.append(rng.permutation(a)[: len(a) - len(a) // 11], rng.integers(0, 2**63, n // 12).astype(np.uint64)))]
+    root, sizes = jaccard_join.reach_sketches(np.array([len(s) for s in sets]), [jaccard_join.sketch(s) for s in sets], percent), list(map(len, sets))
+    links = [(i, j) for i, s in enumerate(sets) for j, t in enumerate(sets[:i]) if 100 * len(both := np.intersect1d(s, t)) >= percent * (len(s) + len(t) - len(both))]
+    assert len(links) > 20 and all(root[i] == root[j] for i, j in links) and len(set(root)) > 60
+    classes = np.searchsorted(jaccard_join.size_classes(percent), sizes, "right")
+    assert all(abs(classes[i] - classes[j]) <= 1 for i, j in links)
+
+
+@pytest.mark.parametrize("piece", [4000, 5])
+def test_crowds_are_parted_before_their_texts_are_sent(spark, monkeypatch, piece):
+    """Texts of one common phrase are one family, few of them are near copies: pieces of six sets would have each text sent once a piece."""
+    rng, sent = random.Random(12), []
+    phrase, tail = " ".join(f"p{i}" for i in range(12)), lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    texts = [f"{phrase} {tail(rng.randint(2, 14))}" for _ in range(80)]
+    texts += [f"{phrase} {x} {y}" for x in (tail(20), tail(12)) for y in ("", "a", "b")]
+    parted = jaccard_join.parted_crowds
+    monkeypatch.setattr(jaccard_join, "parted_crowds", lambda texts, crowds, *a: (sent.append((crowds.count(), (found := parted(texts, crowds, *a)).count())), found)[1])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs_of(spark, texts), block=6, piece=piece).collect()}
+    assert got == dict(enumerate(brute_components(texts))) and len(set(c for _, c in got.values())) < 83
+    assert len(sent) == 1 and sent[0][0] > 40 and sent[0][1] < sent[0][0] // 2
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_leading_shingles_leave_no_pair_out(percent):
     rng = np.random.default_rng(4)

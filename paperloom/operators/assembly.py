@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.phrases import Phrases
-from paperloom.functions.scores import term_score
+from paperloom.functions.phrases import Phrases, once
+from paperloom.functions.scores import term_scores
 from paperloom.operators import graph
 
 PREVIEW = ("work_id", "title", "year", "cited_by_count", "topic", "subfield", "doi", "venue", "authors", "is_open_access")
@@ -63,8 +63,16 @@ def depth_limit(ranked: DataFrame, depth: str, key: str = "query_id") -> DataFra
 
 def scope_score(text: Column, topic: Column, domain: Column, aspect: Column, scope: str) -> Column:
     """How well a text meets a query of topic, domain and aspect terms (arrays; an empty domain or aspect is met by all)."""
-    t = term_score(text, topic)
-    d, a = (F.when(F.size(x) > 0, term_score(text, x)).otherwise(1.0) for x in (domain, aspect))
+    return scope_scores(text, topic, domain, aspect, (scope,))[0]["score"]
+
+
+def scope_scores(text: Column, topic: Column, domain: Column, aspect: Column, scopes: tuple[str, ...]) -> Column:
+    """(scope, score) of a text for each of ``scopes``, as an array; the text is read once."""
+    own = lambda s: F.array(*(F.struct(F.lit(scope).alias("scope"), _scope_score(s[0], F.when(F.size(domain) > 0, s[1]).otherwise(1.0), F.when(F.size(aspect) > 0, s[2]).otherwise(1.0), scope).alias("score")) for scope in scopes))
+    return once(term_scores(text, [topic, domain, aspect]), own)
+
+
+def _scope_score(t: Column, d: Column, a: Column, scope: str) -> Column:
     if scope == "intersection":
         return t * d * (0.5 + 0.5 * a)
     if scope in ("topic_focused", "domain_focused"):
@@ -75,8 +83,14 @@ def scope_score(text: Column, topic: Column, domain: Column, aspect: Column, sco
 
 def scope_filter(works: DataFrame, topic: Column, domain: Column, aspect: Column, scope: str, least: float = 0.2) -> DataFrame:
     """Works whose scope score is ``least`` or more, with the score; order by it and work_id to list them."""
+    return scopes_filter(works, topic, domain, aspect, (scope,), least).drop("scope")
+
+
+def scopes_filter(works: DataFrame, topic: Column, domain: Column, aspect: Column, scopes: tuple[str, ...], least: float = 0.2) -> DataFrame:
+    """A row (scope, scope_score) for each scope by which a work has ``least`` or more; each work is read once for all of them."""
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))
-    return works.withColumn("scope_score", scope_score(text, topic, domain, aspect, scope)).where(F.col("scope_score") >= least)
+    scored = works.withColumn("_s", F.explode(F.filter(scope_scores(text, topic, domain, aspect, scopes), lambda s: s["score"] >= least)))
+    return scored.select(*works.columns, F.col("_s.scope").alias("scope"), F.col("_s.score").alias("scope_score"))
 
 
 def method_of(text: Column) -> Column:

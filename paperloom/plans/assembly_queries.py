@@ -70,11 +70,8 @@ TOPIC, DOMAIN, ASPECT = ("of the", "der und", "que los"), ("that is", "von den m
 )
 def scope_filtered(spark, d):  # noqa: ANN001
     terms = [F.array(*map(F.lit, x)) for x in (TOPIC, DOMAIN, ASPECT)]
-    out = None
-    for scope in ("intersection", "topic_focused", "domain_focused", "broad"):
-        part = assembly.scope_filter(works(spark, d), *terms, scope).select("work_id", F.lit(scope).alias("scope"), F.round("scope_score", 6).alias("score"))
-        out = part if out is None else out.union(part)
-    return out
+    found = assembly.scopes_filter(works(spark, d), *terms, ("intersection", "topic_focused", "domain_focused", "broad"))
+    return found.select("work_id", "scope", F.round("scope_score", 6).alias("score"))
 
 
 TERMS = ", ".join(f"('{method}', '{term}')" for method, terms in assembly.METHODS.items() for term in terms)

@@ -181,3 +181,11 @@ def test_only_hits_are_grouped(spark):
 def test_titles_are_parted_once_not_once_a_pair(spark, tables):
     plan = catalog.QUERIES["title_similarity_of_peers"](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan[: plan.index("Join Inner")] and "split(" in plan[plan.index("Join Inner") :]
+
+
+def test_texts_are_read_once_for_all_scopes(spark, tables):
+    plan = catalog.QUERIES["scope_filtered"](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Relation [") == 1
+    row = spark.createDataFrame([("deep nets for fish", None, "")], "t string, n string, e string")
+    terms = [F.array(F.lit("deep nets")), F.array(F.lit("deep fish")), F.array(F.lit(None).cast("string"))]
+    assert row.select(*(scores.term_scores(F.col(c), terms).alias(c) for c in "tne")).first() == ([1.0, 1.0, 0.0], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0])

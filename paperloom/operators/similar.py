@@ -4,12 +4,67 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.tables import stable
 
 
+def all_pairs(rows: DataFrame, by: list[str], key: str, text: str, words: str, block: int = 1000) -> DataFrame:
+    """(a, b, similarity), a < b: every pair of one ``by`` with the Jaccard similarity of its words; 1 if the texts are equal, 0 if one is empty.
+
+    ``words`` has no repeats. All pairs are asked for, so rows grow with the square of a group; a group is dealt to
+    blocks of about ``block``, and every two blocks are one task's, in numpy.
+    """
+    n = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_cuts"))
+    own = F.pmod(F.xxhash64(key), F.col("_cuts")).cast("int")
+    dealt = rows.where(F.col(key).isNotNull()).join(n, by).select(*by, F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"), F.col(words).alias("_words"), own.alias("_own"), F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)).alias("_other"))
+    dealt = dealt.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).drop("_other")
+    return dealt.groupBy(*by, "_i", "_j").applyInArrow(_block_pairs, "a bigint, b bigint, similarity double")
+
+
+def _block_pairs(rows: pa.Table) -> pa.Table:
+    rows = rows.combine_chunks()
+    number = lambda name: rows.column(name).to_numpy()
+    coded = lambda array: array.dictionary_encode().indices.to_numpy()
+    chunk = lambda name: rows.column(name).chunk(0) if rows.column(name).num_chunks == 1 else pa.concat_arrays(rows.column(name).chunks)
+    keys, own, lists = number("_key"), number("_own"), chunk("_words")
+    said, sizes = coded(chunk("_text")), lists.value_lengths().to_numpy()
+    empty = np.array(pc.equal(chunk("_text"), "").to_numpy(zero_copy_only=False))
+    word = coded(lists.flatten())
+    ends = np.append(0, np.cumsum(sizes))
+    order = np.argsort(keys, kind="stable")
+    place = np.empty(len(keys), dtype=np.int64)
+    place[order] = np.arange(len(keys))
+    owner = place[np.repeat(np.arange(len(keys)), sizes)]
+    by_word = np.lexsort((owner, word))
+    held, bounds = owner[by_word], np.append(0, np.cumsum(np.bincount(word, minlength=1)))
+    lists_of = [word[ends[i] : ends[i + 1]] for i in order]
+    keys, own, said, sizes, empty = (x[order] for x in (keys, own, said, sizes, empty))
+    crossed = rows.column("_i")[0] != rows.column("_j")[0]
+    out: list[tuple] = []
+    for x in range(len(keys) - 1):
+        after = np.searchsorted(keys, keys[x], "right")
+        if after == len(keys):
+            break
+        met = [held[bounds[w] : bounds[w + 1]] for w in lists_of[x]]
+        both = np.bincount(np.concatenate(met), minlength=len(keys))[after:] if met else np.zeros(len(keys) - after, dtype=np.int64)
+        whole = sizes[x] + sizes[after:] - both
+        alike = both / np.maximum(whole, 1)
+        alike[said[after:] == said[x]] = 1.0
+        alike[empty[after:] | empty[x]] = 0.0
+        if crossed:
+            other = own[after:] != own[x]
+            out.append((np.full(np.count_nonzero(other), keys[x]), keys[after:][other], alike[other]))
+        else:
+            out.append((np.full(len(alike), keys[x]), keys[after:], alike))
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)]
+    return pa.table({"a": columns[0], "b": columns[1], "similarity": columns[2]})
+
+
 def rare_first(sets: DataFrame, by: list[str], key: str, members: str) -> DataFrame:
     """(by, key, _m, _d, _n): the different members of each set in one order within each ``by``, rare ones first, how many sets have each, and how many they are."""
     rows = sets.select(*by, key, F.explode(F.array_distinct(members)).alias("_x")).where(F.col("_x").isNotNull())

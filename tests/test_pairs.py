@@ -21,3 +21,10 @@ def test_all_pairs_in_blocks(spark, tables, block):
     alike = lambda x, y: 0.0 if not x[3] or not y[3] else 1.0 if x[2] == y[2] else len(set(x[3]) & set(y[3])) / len(set(x[3]) | set(y[3]))
     assert sorted(map(tuple, got)) == sorted((x[1], y[1], alike(x, y)) for x in rows for y in rows if x[0] is not None and x[0] == y[0] and x[1] < y[1])
     assert "FlatMapGroupsInArrow" in plan(catalog.QUERIES["title_similarity_of_peers"](spark, tables))
+
+
+def test_a_title_of_many_is_the_work_of_many_tasks(spark, tables):
+    said = plan(catalog.QUERIES["entity_match"](spark, tables))
+    assert "regexp_replace" not in said[: said.index("Join Inner")] and "_other" in said
+    rows = spark.createDataFrame([("t", i) for i in range(25)] + [("u", 1)], "k string, m int")
+    assert sorted(map(tuple, graph.pairs(rows, "k", "m", 4).collect())) == [(i, j) for i in range(25) for j in range(i + 1, 25)]

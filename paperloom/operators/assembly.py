@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.phrases import Phrases, once
 from paperloom.functions.scores import term_scores
+from paperloom.functions.text import hashed
 from paperloom.operators import graph
+from paperloom.tables import landed
 
 PREVIEW = ("work_id", "title", "year", "cited_by_count", "topic", "subfield", "doi", "venue", "authors", "is_open_access")
 
@@ -108,15 +110,26 @@ def dimension_words(text: Column) -> Column:
     return F.array_except(words, F.array(*map(F.lit, DIMENSION_STOP)))
 
 
-def dimensions_overlap(name_a: Column, name_b: Column, body_a: Column, body_b: Column) -> Column:
-    """Whether two dimensions say the same: by the words of their names (Jaccard 0.4), by kin words, or by their texts (0.5)."""
+def dimension_overlaps(edges: DataFrame, works: DataFrame) -> DataFrame:
+    """(from_id, to_id, overlap): whether two linked works, taken as dimensions named by their titles, say the same.
+
+    Texts are parted once a work; what is exchanged for an edge are the words of names and, as 64-bit hashes, of texts.
+    """
+    worded = landed(works.select("work_id", dimension_words(F.col("title")).alias("_n"), hashed(dimension_words(F.col("abstract"))).alias("_x")))
+    side = lambda key, s: worded.select(F.col("work_id").alias(key), F.col("_n").alias(f"_n{s}"), F.col("_x").alias(f"_x{s}"))
+    pairs = edges.join(side("to_id", "b"), "to_id").join(side("from_id", "a"), "from_id")
+    return pairs.select("from_id", "to_id", dimensions_overlap(*map(F.col, ("_na", "_nb", "_xa", "_xb"))).alias("overlap"))
+
+
+def dimensions_overlap(a: Column, b: Column, body_a: Column, body_b: Column) -> Column:
+    """Whether two dimensions say the same: by the words of their names (Jaccard 0.4), by kin words, or by those of their texts (0.5; words or hashes)."""
     alike = lambda x, y: F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(0.0)
-    a, b = dimension_words(name_a), dimension_words(name_b)
     kin = F.lit(False)
     for words in DIMENSION_KIN:
         x, y = (F.array_intersect(side, F.array(*map(F.lit, words))) for side in (a, b))
         kin = kin | ((F.size(x) > 0) & (F.size(y) > 0) & (F.size(F.array_union(x, y)) >= 2))
-    return (alike(a, b) >= 0.4) | kin | (alike(dimension_words(body_a), dimension_words(body_b)) >= 0.5)
+    near = 2 * F.least(F.size(body_a), F.size(body_b)) >= F.greatest(F.size(body_a), F.size(body_b))  # else half of all words can't be shared
+    return (alike(a, b) >= 0.4) | kin | (near & (alike(body_a, body_b) >= 0.5))
 
 
 def map_build(works: DataFrame, edges: DataFrame) -> DataFrame:

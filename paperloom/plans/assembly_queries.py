@@ -115,10 +115,7 @@ KIN = " OR ".join(
 )
 def dimension_overlap(spark, d):  # noqa: ANN001
     """Whether two linked works, taken as dimensions named by their titles, say the same."""
-    w = works(spark, d)
-    side = lambda key, s: w.select(F.col("work_id").alias(key), F.col("title").alias(f"n_{s}"), F.col("abstract").alias(f"x_{s}"))
-    e = doc_edges(spark, d).distinct().join(side("from_id", "a"), "from_id").join(side("to_id", "b"), "to_id")
-    return e.select("from_id", "to_id", assembly.dimensions_overlap(F.col("n_a"), F.col("n_b"), F.col("x_a"), F.col("x_b")).alias("overlap"))
+    return assembly.dimension_overlaps(doc_edges(spark, d).distinct(), works(spark, d))
 
 
 @query(

@@ -28,3 +28,7 @@ def test_a_title_of_many_is_the_work_of_many_tasks(spark, tables):
     assert "regexp_replace" not in said[: said.index("Join Inner")] and "_other" in said
     rows = spark.createDataFrame([("t", i) for i in range(25)] + [("u", 1)], "k string, m int")
     assert sorted(map(tuple, graph.pairs(rows, "k", "m", 4).collect())) == [(i, j) for i in range(25) for j in range(i + 1, 25)]
+
+
+def test_dimensions_are_parted_once_a_work(spark, tables):
+    assert "regexp_extract_all" not in plan(catalog.QUERIES["dimension_overlap"](spark, tables))

@@ -32,3 +32,18 @@ def test_a_title_of_many_is_the_work_of_many_tasks(spark, tables):
 
 def test_dimensions_are_parted_once_a_work(spark, tables):
     assert "regexp_extract_all" not in plan(catalog.QUERIES["dimension_overlap"](spark, tables))
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 100_000])
+def test_query_similarity_whatever_terms_are_sent(spark, frequent):
+    works = spark.createDataFrame([(1, "deep nets", "deep learning for fish"), (2, None, "fish fish river"), (3, "the", None), (4, "river deep", "mountain")], "work_id long, title string, abstract string")
+    queries = spark.createDataFrame([(7, "deep fish the fish"), (8, "unknown river"), (9, "the")], "query_id long, query string")
+    docs = works.select(F.col("work_id").alias("doc"), F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))).alias("text"))
+    found = retrieval.tfidf_query_similarity(works, queries, pairs=2, frequent=frequent)
+    want = {}
+    for q in queries.collect():
+        whole = docs.union(spark.createDataFrame([(0, q["query"])], "doc long, text string"))
+        vectors = retrieval.tfidf_vectors(whole, idf_extra=0).withColumn("set_id", F.lit(1))
+        want |= {(q["query_id"], r["b"]): r["cosine"] for r in retrieval.pairwise_cosine(vectors).where("a = 0").collect()}
+    got = {(r["query_id"], r["work_id"]): r["similarity"] for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)

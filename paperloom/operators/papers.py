@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.phrases import Phrases, once
-from paperloom.functions.text import OVERLAP_STOP_WORDS, english_or_other, jaccard, keywords, normalize_title, tokens
+from paperloom.functions.text import OVERLAP_STOP_WORDS, english_or_other, hashed, jaccard, keywords, normalize_title, tokens
+from paperloom.tables import landed
 
 # Least relevance by expansion and hop.
 HOP_THRESHOLDS = {"narrow": (0.4, 0.5, 0.6), "foundations": (0.2, 0.3, 0.4), "wide": (0.1, 0.15, 0.2)}
@@ -213,10 +214,15 @@ def suspicious_citations(works: DataFrame, patterns: list[str]) -> DataFrame:
     return works.where((F.col("cited_by_count") >= 10_000) & (((F.col("year") >= 2018) & (F.col("cited_by_count") > 30_000)) | generic))
 
 
-def cross_domain(pairs: DataFrame, least: float = 0.05) -> DataFrame:
-    """Pairs (title_a, abstract_a, title_b, abstract_b, ...) whose titles or abstracts share enough words."""
-    words = lambda c: F.array_distinct(tokens(F.col(c)))
-    return pairs.where((jaccard(words("title_a"), words("title_b")) >= least) | (jaccard(words("abstract_a"), words("abstract_b")) >= least))
+def cross_domain(edges: DataFrame, works: DataFrame, least: float = 0.05) -> DataFrame:
+    """Edges (from_id, to_id) between works whose titles or abstracts share enough words.
+
+    Texts are parted once a work; what is exchanged for an edge are the words of both as 64-bit hashes.
+    """
+    worded = landed(works.select("work_id", hashed(F.array_distinct(tokens(F.col("title")))).alias("_t"), hashed(F.array_distinct(tokens(F.col("abstract")))).alias("_x")))
+    side = lambda key, s: worded.select(F.col("work_id").alias(key), F.col("_t").alias(f"_t{s}"), F.col("_x").alias(f"_x{s}"))
+    pairs = edges.join(side("to_id", "b"), "to_id").join(side("from_id", "a"), "from_id")
+    return pairs.where((jaccard(F.col("_ta"), F.col("_tb")) >= least) | (jaccard(F.col("_xa"), F.col("_xb")) >= least)).select("from_id", "to_id")
 
 
 def grounding_consistency(texts: DataFrame, pattern: str) -> DataFrame:

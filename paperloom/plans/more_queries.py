@@ -32,9 +32,7 @@ def _jac(a: str, b: str) -> str:
 
 @query(with_(WORKS, DOC_EDGES) + f", p AS (SELECT from_id, to_id, {TOK.format('a.title')} AS ta, {TOK.format('b.title')} AS tb, {TOK.format('a.abstract')} AS xa, {TOK.format('b.abstract')} AS xb FROM (SELECT DISTINCT * FROM doc_edges) JOIN works a ON a.work_id = from_id JOIN works b ON b.work_id = to_id) SELECT from_id, to_id FROM p WHERE {_jac('ta', 'tb')} OR {_jac('xa', 'xb')}")
 def cross_domain_filter(spark, d):  # noqa: ANN001
-    w = works(spark, d)
-    side = lambda key, s: w.select(F.col("work_id").alias(key), F.col("title").alias(f"title_{s}"), F.col("abstract").alias(f"abstract_{s}"))
-    return papers.cross_domain(doc_edges(spark, d).distinct().join(side("from_id", "a"), "from_id").join(side("to_id", "b"), "to_id")).select("from_id", "to_id")
+    return papers.cross_domain(doc_edges(spark, d).distinct(), works(spark, d))
 
 
 @query(with_(WORKS, DOC_EDGES) + ", f AS (SELECT DISTINCT from_id AS node_id, to_id AS work_id FROM doc_edges), w AS (SELECT f.node_id, f.work_id, b.title FROM f JOIN works a ON a.work_id = node_id JOIN works b ON b.work_id = f.work_id WHERE b.cited_by_count >= 30 AND b.year < 2010 AND a.subfield = b.subfield) SELECT node_id, work_id FROM w WHERE NOT EXISTS (SELECT 1 FROM works s WHERE s.work_id = w.node_id AND lower(s.title) = lower(w.title))")

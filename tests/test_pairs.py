@@ -47,3 +47,7 @@ def test_query_similarity_whatever_terms_are_sent(spark, frequent):
         want |= {(q["query_id"], r["b"]): r["cosine"] for r in retrieval.pairwise_cosine(vectors).where("a = 0").collect()}
     got = {(r["query_id"], r["work_id"]): r["similarity"] for r in found.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_domains_are_parted_once_a_work(spark, tables):
+    assert "regexp_extract_all" not in plan(catalog.QUERIES["cross_domain_filter"](spark, tables))

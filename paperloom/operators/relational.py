@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.tables import landed
+
 
 def load_by_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key is among ``ids``; ids without a row drop out."""
@@ -17,14 +19,40 @@ def membership(asked: DataFrame, present: DataFrame, by: list[str]) -> DataFrame
     return asked.join(there, by, "left").withColumn("missing", F.col("_there").isNull()).drop("_there")
 
 
-def array_overlap_join(a: DataFrame, b: DataFrame, left: str, right: str, array: str, each_once: bool = False) -> DataFrame:
-    """(left, right, shared) of rows whose arrays share a member: an equi-join on the members.
+def array_overlap_join(a: DataFrame, b: DataFrame, left: str, right: str, array: str, each_once: bool = False, carry: int = 64, block: int = 2000) -> DataFrame:
+    """(left, right, shared) of rows whose arrays share a member: an equi-join on the members. ``left`` and ``right`` are unique.
 
     ``each_once``: only pairs with ``left`` below ``right``, for a table joined with itself.
+
+    Arrays of at most ``carry`` members go along, so a pair is counted where it first meets and no pair is
+    exchanged; pairs with a longer one are counted by key. The rows of a member that more than ``block`` rows of
+    either side have are dealt to blocks, and each pair of blocks meets on its own.
     """
-    x, y = a.select(left, F.explode(F.array_distinct(array)).alias("_m")), b.select(right, F.explode(F.array_distinct(array)).alias("_m"))
-    met = x.join(y, "_m").where(F.col(left) < F.col(right)) if each_once else x.join(y, "_m")
-    return met.groupBy(left, right).agg(F.count(F.lit(1)).alias("shared"))
+    whole = lambda rows, key: rows.select(key, F.array_compact(F.array_distinct(array)).alias("_a"))
+    x, y = whole(a, left), whole(b, right)
+    members = lambda rows: rows.select(F.explode("_a").alias("_m"))
+    often = lambda rows: rows.groupBy("_m").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+    crowds = often(members(x)) if each_once else often(members(x)).unionByName(often(members(y))).groupBy("_m").agg(F.max("_n").alias("_n"))
+    crowds = landed(crowds.select("_m", F.ceil(F.col("_n") / block).cast("int").alias("_blocks")))
+    dealt = not crowds.isEmpty()
+
+    def side(rows: DataFrame, key: str, name: str, own: str, other: str) -> DataFrame:
+        carried = F.when(F.size("_a") <= carry, F.col("_a")).alias(f"_c{name}")
+        rows = rows.select(key, carried, F.posexplode("_a").alias(f"_i{name}", "_m"))
+        if not dealt:
+            return rows
+        rows = rows.join(crowds, "_m", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+        return rows.withColumn(own, F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+
+    met = side(x, left, "x", "_p", "_q").join(side(y, right, "y", "_q", "_p"), ["_m", "_p", "_q"] if dealt else ["_m"])
+    if each_once:
+        met = met.where(F.col(left) < F.col(right))
+    short = F.col("_cx").isNotNull() & F.col("_cy").isNotNull()
+    before = F.arrays_overlap(F.slice("_cx", 1, F.col("_ix")), F.col("_cy"))
+    found = met.where(short & ((F.col("_ix") == 0) | ~before)).select(left, right, F.size(F.array_intersect("_cx", "_cy")).cast("long").alias("shared"))
+    if x.where(F.size("_a") > carry).isEmpty() and (each_once or y.where(F.size("_a") > carry).isEmpty()):
+        return found
+    return found.unionByName(met.where(~short).groupBy(left, right).agg(F.count(F.lit(1)).alias("shared")))
 
 
 def either_key(rows: DataFrame, keys: DataFrame, a: str, b: str) -> DataFrame:

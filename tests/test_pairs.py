@@ -51,3 +51,17 @@ def test_query_similarity_whatever_terms_are_sent(spark, frequent):
 
 def test_domains_are_parted_once_a_work(spark, tables):
     assert "regexp_extract_all" not in plan(catalog.QUERIES["cross_domain_filter"](spark, tables))
+
+
+@pytest.mark.parametrize("carry, block", [(64, 2000), (2, 3), (64, 3)])
+@pytest.mark.parametrize("each_once", [True, False])
+def test_overlaps_are_counted_where_pairs_meet(spark, carry, block, each_once):
+    rng = random.Random(6)
+    rows = [(i, [rng.choice([1, 2, 3, 4, 5, None, 1]) for _ in range(rng.randint(0, 5))]) for i in range(20)] + [(30, None)]
+    a, b = (spark.createDataFrame(rows, f"{k} int, p array<int>") for k in "ab")
+    got = relational.array_overlap_join(a, b, "a", "b", "p", each_once, carry, block)
+    shared = lambda x, y: len(set(x or []) & set(y or []) - {None})
+    assert sorted(map(tuple, got.collect())) == [(i, j, shared(x, y)) for i, x in rows for j, y in rows if shared(x, y) and (i < j or not each_once)]
+    if carry == 64:
+        said = plan(got)
+        assert "Aggregate" not in said[: said.index("Join Inner")]

@@ -141,8 +141,8 @@ def bibliographic_coupling(edges: DataFrame, percent: int = 20, k: int = 15, blo
     classes = stable(classes)
     works = stable(lists.join(classes.select("refs", "list_id"), "refs").select("list_id", F.col("from_id").alias("work_id")))
     pairs = similar_sets(classes.select("list_id", "refs"), [], "list_id", "refs", percent, block=block).withColumn("coupling", F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")))
-    pairs = pairs.select("a", "b", "coupling")
-    both = pairs.union(pairs.select(F.col("b"), F.col("a"), "coupling")).union(classes.where("_works > 1").select(F.col("list_id").alias("a"), F.col("list_id").alias("b"), F.lit(1.0)))
+    ways = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
+    both = pairs.select(ways.alias("_w"), "coupling").select(F.col("_w.x").alias("a"), F.col("_w.y").alias("b"), "coupling").union(classes.where("_works > 1").select(F.col("list_id").alias("a"), F.col("list_id").alias("b"), F.lit(1.0)))
     within = Window.partitionBy("list_id").orderBy("work_id")
     first = works.withColumn("_r", F.row_number().over(within)).where(F.col("_r") <= k + 1).select(F.col("list_id").alias("b"), F.col("work_id").alias("other_id"))
     best = Window.partitionBy("a").orderBy(F.desc("coupling"), "other_id")

@@ -130,14 +130,17 @@ def similar_sets(sets: DataFrame, by: list[str], key: str, members: str, percent
     shared = F.array_intersect("_ma", "_mb")
     met = _met(ordered.where(F.col("_n") <= carry), by, key, percent, strict, contained, block, carry)
     met = met.where(F.least(F.col("_na") - F.col("_ia"), F.col("_nb") - F.col("_ib")) >= F.col("_needed"))  # at the first shared member no other came before
-    short = met.withColumn("_s", shared).where(F.get("_s", F.lit(0)) == F.col("_x")).select(*by, "a", "b", F.size("_s").alias("both"), F.col("_na").alias("n_a"), F.col("_nb").alias("n_b"))
+    met = met.where((F.col("_ia") == 0) | ~F.arrays_overlap(F.slice("_ma", 1, F.col("_ia")), F.col("_mb")))
+    whole = lambda both: F.col("_na") if contained else F.col("_na") + F.col("_nb") - both
+    enough = lambda both: (100 * both > percent * whole(both)) if strict else (100 * both >= percent * whole(both))
+    judged = F.explode(F.filter(F.array(F.size(shared)), enough)).alias("both")  # an array of one, so that sets are intersected once
+    short = met.select(*by, "a", "b", judged, F.col("_na").alias("n_a"), F.col("_nb").alias("n_b"))
     full = short
     if not ordered.where(F.col("_n") > carry).isEmpty():
         pairs = _counted(_met(ordered, by, key, percent, strict, contained, block, 0).where(F.greatest("_na", "_nb") > carry), by)
         side = lambda name: ordered.select(*by, F.col(key).alias(name), F.col("_m").alias(f"_m{name}"))
-        full = short.union(pairs.join(side("a"), [*by, "a"]).join(side("b"), [*by, "b"]).select(*by, "a", "b", F.size(shared).alias("both"), F.col("_na").alias("n_a"), F.col("_nb").alias("n_b")))
-    whole = F.col("n_a") if contained else F.col("n_a") + F.col("n_b") - F.col("both")
-    return full.where((100 * F.col("both") > percent * whole) if strict else (100 * F.col("both") >= percent * whole))
+        full = short.union(pairs.join(side("a"), [*by, "a"]).join(side("b"), [*by, "b"]).select(*by, "a", "b", judged, F.col("_na").alias("n_a"), F.col("_nb").alias("n_b")))
+    return full
 
 
 def keep_first(items: DataFrame, links: DataFrame, by: list[str], key: str, order: list[str]) -> DataFrame:

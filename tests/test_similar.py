@@ -105,3 +105,9 @@ def test_pairs_of_short_sets_are_not_exchanged(spark):
     found = similar.similar_sets(spark.createDataFrame(some_sets(1), SETS), ["g"], "k", "words", 40)
     dealt = re.findall(r"hashpartitioning\(([^)]*)\)", found._jdf.queryExecution().executedPlan().toString())
     assert dealt and not any("a#" in keys for keys in dealt)
+
+
+def test_pairs_of_lists_are_made_once(spark):
+    edges = spark.createDataFrame([(i, j) for i in range(8) for j in range(i % 3, 4)], "from_id int, to_id int")
+    plan = graph.bibliographic_coupling(edges, k=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") == 1
